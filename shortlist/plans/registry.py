@@ -1,8 +1,7 @@
-"""The registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from shortlist.plans import q_digest, q_ingest, q_model, q_pages, q_reports, q_rules, q_stream  # noqa: F401  they register their queries
+from shortlist.plans.base import ORACLE, QUERIES
+from shortlist.plans.q_rules import flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE", "QUERIES", "flagship"]
