@@ -62,7 +62,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keyed = staged(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    digests = keyed.select("row_key", "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
-    kept = decide(staged(digests, "digests")).where("kept").select("row_key")
-    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
+    name = "exact_row"
+    while name in docs.columns:
+        name += "_"
+    keyed = staged(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+    digests = keyed.select(F.col(name).alias("row_key"), "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
+    kept = decide(staged(digests, "digests")).where("kept").select(F.col("row_key").alias(name))
+    return keyed.join(kept, name, "left_semi").select(*docs.columns)

@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +118,7 @@ class OrdinalModel:
 
     def tails(self, texts: list[str]) -> np.ndarray:
         """P(grade >= g) for each grade but the least, one row a text."""
-        s = np.array([float(value @ self.weights[number]) for number, value in map(self.features.of, texts)])
+        s = np.array([float(value @ self.weights[number]) for number, value in map(self.features.of, texts)] or np.zeros(0))
         return _logistic(s[:, None] - self.cuts[None, :])
 
 
@@ -140,16 +140,17 @@ def grade(docs: DataFrame, model: OrdinalModel, at_least: int, threshold: float
     """One row per document: doc_id, expected_grade, tail_probability of ``at_least``, keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         grades = np.array(own.grades, float)
-        for frame in frames:
-            tails = own.tails(frame["text"].fillna("").tolist())
+        place = np.searchsorted(grades, at_least)
+        for batch in batches:
+            tails = own.tails([t.as_py() or "" for t in batch.column("text")])
             expected = grades[0] + tails @ np.diff(grades)
             chance = np.concatenate([np.ones((len(tails), 1)), tails], axis=1)
-            place = np.searchsorted(grades, at_least)
             tail = chance[:, place] if place < len(grades) else np.zeros(len(tails))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "expected_grade": expected, "tail_probability": tail, "keep": tail >= threshold})
+            columns = [batch.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= threshold)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, expected_grade double, tail_probability double, keep boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, keep boolean")

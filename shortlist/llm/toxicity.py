@@ -29,7 +29,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -225,12 +224,12 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Data
     """One row per document: doc_id, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            own = shared.value.scores(frame["text"].fillna("").tolist())
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": own, "predicted": (own >= threshold).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = shared.value.scores([t.as_py() or "" for t in batch.column("text")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.float64()), pa.array((own >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
