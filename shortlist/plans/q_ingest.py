@@ -150,12 +150,11 @@ def s14_tier_cut(spark, d):
 
 
 @query(f"""
-    select {ID_SQL}, coalesce(company, nullif(regexp_extract('Join us at ' || upper(site[1]) || lower(site[2:]) || ' Works. Now', '\\bat ([A-Z][A-Za-z0-9&.''-]*( [A-Z][A-Za-z0-9&.''-]*){{0,5}})', 1), '')) as company from (select * exclude (company), case when l_linenumber % 2 = 0 then company end as company from postings) where l_linenumber % 2 = 0 or l_linenumber = 1""")
+    select {ID_SQL}, case when l_linenumber % 2 = 0 and company is not null then company else upper(site[1]) || lower(site[2:]) || ' Works' end as company from postings where l_linenumber % 2 = 0 or l_linenumber = 1""")
 def s15_fill_company(spark, d):
     site = F.col("site")
     rows = B.postings(spark, d).where("l_linenumber % 2 = 0 or l_linenumber = 1").withColumns({"company": F.when(F.col("l_linenumber") % 2 == 0, F.col("company")), "description": F.concat(F.lit("Join us at "), F.upper(F.substring(site, 1, 1)), F.lower(F.substring(site, 2, 99)), F.lit(" Works. Now"))})
-    # the heuristic cuts a trailing full stop; the SQL side has the same text without one
-    return S.fill_company(rows).select(*ID, F.when(F.col("company").endswith("Works"), F.concat("company", F.lit("."))).otherwise(F.col("company")).alias("company"))
+    return S.fill_company(rows).select(*ID, "company")
 
 
 @query("""

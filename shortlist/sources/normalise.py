@@ -161,12 +161,15 @@ def tier_cut(queries: DataFrame, most: int = 2) -> DataFrame:
 def fill_company(df: DataFrame) -> DataFrame:
     """A missing company from ``at Xxx`` or ``Xxx is hiring`` in the description's start, or from the title's end."""
     head = F.substring(F.coalesce("description", F.lit("")), 1, 500)
-    name = r"[A-Z][A-Za-z0-9&.'-]*(?: [A-Z][A-Za-z0-9&.'-]*){0,5}"
-    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    at = F.rtrim(found(head, rf"\bat ({name})"), F.lit(".,"))
+    word = r"[A-Z][a-zA-Z]*[.&]?"
+    name = rf"{word}(?:\s*{word}){{0,5}}"
+    found = lambda c, p: F.trim(F.nullif(F.regexp_extract(c, p, 1), F.lit("")))
+    stop = lambda c: F.rtrim(c, F.lit(".,"))
+    # a last word behind a full stop starts the next sentence
+    at = stop(F.trim(F.regexp_replace(stop(found(head, rf"\bat\s+({name})")), r"\.\s+[A-Z][a-zA-Z]+$", "")))
     at = F.when(F.length(at) > 2, at)
-    leads = found(head, rf"^({name})(?: is hiring| - )")
-    ends = F.trim(found(F.coalesce("title", F.lit("")), r" at ([A-Z][^|@]{2,30})$"))
+    leads = found(head, rf"^({name})\s+(?:is hiring|-\s)")
+    ends = found(F.coalesce("title", F.lit("")), r"\bat\s+([A-Z][A-Za-z\s.&]{2,30})$")
     return df.withColumn("company", F.coalesce(F.nullif("company", F.lit("")), at, leads, ends))
 
 
