@@ -27,6 +27,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -106,7 +107,7 @@ class WordEncoder:
     line feed, so the ids of a text are those of its pieces, in order.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 600_000):
+    def __init__(self, path: str, end_id: int, memo: int = 1_000_000):
         self.path, self.end_id, self.memo, self.tokenizer = path, end_id, memo, None
 
     def __getstate__(self):
@@ -122,7 +123,6 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        self.parts: list[np.ndarray] = []
 
     @staticmethod
     def vocabulary(path: str) -> int:
@@ -136,18 +136,18 @@ class WordEncoder:
             self._open()
         if len(self.known) > self.memo:
             self._forget()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list(dict.fromkeys(w for own in words for w in own if w not in known))
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words, known = list(chain.from_iterable(split)), self.known
+        fresh = list(set(words).difference(known))
         for i in range(0, len(fresh), 20_000):
             some = fresh[i : i + 20_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for own in ids for x in own), np.uint32, int(sizes.sum()))])
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((known[w] for own in words for w in own), np.int64, int(per_text.sum()))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        per_text = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         start, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
         made = np.repeat(start - (ends - size), size)
