@@ -108,5 +108,10 @@ class RangeHash:
             cls._powers[seed] = known = (both[0], both[1])
         return known
 
+    def every(self, width: int) -> np.ndarray:
+        """The hash of each range of ``width`` bytes."""
+        n = max(0, len(self.sums) - width)
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.uint64(width))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))

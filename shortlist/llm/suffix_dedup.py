@@ -29,8 +29,8 @@ in the sorted order decide, so no group is ever gathered.
 
 Null and empty texts, and texts shorter than ``length``, lose nothing. Repeated
 rows are repeats of each other. An empty table gives an empty result. Other
-columns of the input are left alone; results join back by (doc_id, hash of the
-text), null ids included.
+columns of the input are left alone. Null and repeated doc_ids are told apart by
+a number of their own.
 """
 
 from __future__ import annotations
@@ -46,9 +46,11 @@ from pyspark.sql import functions as F
 from .common import RangeHash, pieces, staged
 
 GRAM = 16
+PIECE = 3 << 19  # characters that are hashed at a time
 #: Kinds of rows: a block, a suffix, and a run of suffixes that are known to repeat.
 BLOCK, SUFFIX, KNOWN = 0, 1, 2
-ROWS = "core long, span long, doc_id {}, th long, start int, size int, kind byte"
+#: ``at`` packs a run's start (32 bits), its number of suffixes (30) and its kind (2): shuffled rows stay short.
+ROWS = "core long, span long, row long, at long"
 
 
 class Suffixes:
@@ -60,12 +62,9 @@ class Suffixes:
         self.ends = np.cumsum([len(t) for t in texts])
         self.begins = self.ends - [len(t) for t in texts]
         self.one, self.two = RangeHash(self.data, 11), RangeHash(self.data, 12)
-        n = len(self.data)
-        gram = np.arange(max(0, n - GRAM + 1))
-        anchors = np.flatnonzero(self.one.of(gram, gram + GRAM) % np.uint64(spacing) == 0) if len(gram) else gram
+        anchors = np.flatnonzero(self.one.every(GRAM) % np.uint64(spacing) == 0)
         owner = np.searchsorted(self.ends, anchors, "right")
         self.anchors = anchors[anchors + GRAM <= self.ends[owner]] if len(anchors) else anchors
-        del gram
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """Per string start: its document's number, and the distance to its first anchor (-1: none inside)."""
@@ -111,8 +110,8 @@ def _repeats_here(core: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.nd
     return local, np.sort(order[place < 2])
 
 
-def _rows(sfx: Suffixes, first, count, core, span, kind: int, batch, base: int, ids, hashes, schema) -> list[pa.RecordBatch]:
-    """Rows to sort, and the runs of suffixes that already repeat within the batch."""
+def _rows(sfx: Suffixes, first, count, core, span, kind: int, rows: np.ndarray) -> list[pa.RecordBatch]:
+    """Rows to sort, and the runs of suffixes that already repeat within the batch; ``rows`` are the documents' keys."""
     if not len(first):
         return []
     local, send = _repeats_here(core, span)
@@ -120,13 +119,8 @@ def _rows(sfx: Suffixes, first, count, core, span, kind: int, batch, base: int,
 
     def add(at, size, c, s, k):
         doc = np.searchsorted(sfx.ends, at, "right")
-        take = pa.array(doc + base)
-        out.append(
-            pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)), pa.array(s.view(np.int64)), ids.take(take), hashes.take(take), pa.array((at - sfx.begins[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(len(at), k, np.int8))],
-                schema=schema,
-            )
-        )
+        packed = ((at - sfx.begins[doc]) << 32) | (size << 2) | k
+        out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (c.view(np.int64), s.view(np.int64), rows[doc], packed)], names=["core", "span", "row", "at"]))
 
     add(first[send], count[send], core[send], span[send], kind)
     if local.any():
@@ -134,78 +128,71 @@ def _rows(sfx: Suffixes, first, count, core, span, kind: int, batch, base: int,
         order = np.argsort(at, kind="stable")
         at, size = at[order], size[order]
         doc = np.searchsorted(sfx.ends, at, "right")
-        new = np.concatenate([[True], (at[1:] != at[:-1] + size[:-1]) | (doc[1:] != doc[:-1])])
-        edge = np.flatnonzero(new)
+        edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + size[:-1]) | (doc[1:] != doc[:-1])]))
         total = np.add.reduceat(size, edge)
-        spread = pa.array(at[edge]).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        spread = at[edge].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         add(at[edge], total, spread, np.zeros(len(edge), np.uint64), KNOWN)
     return out
 
 
-def _schema(docs: DataFrame) -> tuple[str, pa.Schema]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    ddl = ROWS.format(docs.schema["doc_id"].dataType.simpleString())
-    kinds = [pa.int64(), pa.int64(), to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), pa.int32(), pa.int32(), pa.int8()]
-    return ddl, pa.schema(list(zip(["core", "span", "doc_id", "th", "start", "size", "kind"], kinds, strict=True)))
-
-
 def _first_pass(docs: DataFrame, length: int, spacing: int, block: int) -> DataFrame:
-    ddl, schema = _schema(docs)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, texts in pieces(batch.column("text"), 8 << 20):
+            keys = batch.column("row").to_numpy()
+            for base, texts in pieces(batch.column("text"), PIECE):
                 sfx = Suffixes([t.encode() for t in texts], length, spacing, block)
+                rows = keys[base : base + len(texts)]
                 starts, away = sfx.runs()
-                ids, hashes = batch.column("doc_id"), batch.column("th")
-                yield from _rows(sfx, *sfx.blocks(starts, away), BLOCK, batch, base, ids, hashes, schema)
+                yield from _rows(sfx, *sfx.blocks(starts, away), BLOCK, rows)
                 lone = starts[away < 0]
                 if len(lone):
-                    yield from _rows(sfx, lone, np.ones(len(lone), np.int64), sfx.one.of(lone, lone + length), sfx.two.of(lone, lone + length), SUFFIX, batch, base, ids, hashes, schema)
+                    yield from _rows(sfx, lone, np.ones(len(lone), np.int64), sfx.one.of(lone, lone + length), sfx.two.of(lone, lone + length), SUFFIX, rows)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.select("row", "text").mapInArrow(run, ROWS)
 
 
-def _second_pass(opened: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The suffixes of opened blocks; ``opened`` has doc_id, th, text and a list ``open`` of (start, size)."""
-    ddl, schema = _schema(docs)
+def _second_pass(opened: DataFrame, length: int) -> DataFrame:
+    """The suffixes of opened blocks; ``opened`` has row, text and a list ``open`` of packed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, texts in pieces(batch.column("text"), 8 << 20):
+            keys = batch.column("row").to_numpy()
+            for base, texts in pieces(batch.column("text"), PIECE):
                 sfx = Suffixes([t.encode() for t in texts], length, 1 << 62, 1)
                 lists = batch.column("open").slice(base, len(texts))
-                pairs = lists.flatten()
+                packed = lists.flatten().to_numpy()
                 doc = np.repeat(np.arange(len(texts)), lists.value_lengths().fill_null(0).to_numpy())
-                start, size = (pairs.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                start, size = packed >> 32, (packed >> 2) & (2**30 - 1)
                 at = np.repeat(start + sfx.begins[doc] - np.cumsum(size) + size, size) + np.arange(size.sum()) if len(size) else start
                 at = np.unique(at)
-                yield from _rows(sfx, at, np.ones(len(at), np.int64), sfx.one.of(at, at + length), sfx.two.of(at, at + length), SUFFIX, batch, base, batch.column("doc_id"), batch.column("th"), schema)
+                yield from _rows(sfx, at, np.ones(len(at), np.int64), sfx.one.of(at, at + length), sfx.two.of(at, at + length), SUFFIX, keys[base : base + len(texts)])
 
-    return opened.mapInArrow(run, ddl)
+    return opened.mapInArrow(run, ROWS)
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
     """Order rows by their digits and mark those that repeat (``same``) or share their core alone (``open``)."""
     order = Window.partitionBy("core").orderBy("span")
     before, after = F.lag("span").over(order), F.lead("span").over(order)
+    kind = F.col("at").bitwiseAND(F.lit(3))
     found = rows.withColumns({"before": before, "after": after})
-    same = (F.col("kind") == KNOWN) | F.coalesce((F.col("before") == F.col("span")) | (F.col("after") == F.col("span")), F.lit(False))
+    same = (kind == KNOWN) | F.coalesce((F.col("before") == F.col("span")) | (F.col("after") == F.col("span")), F.lit(False))
     # the first and the last row of each run of equal spans see the other spans of their core
     differs = F.coalesce(F.col("before") != F.col("span"), F.lit(False)) | F.coalesce(F.col("after") != F.col("span"), F.lit(False))
-    return found.select("doc_id", "th", "start", "size", same.alias("same"), ((F.col("kind") == BLOCK) & differs).alias("open")).where("same or open")
+    return found.select("row", "at", same.alias("same"), ((kind == BLOCK) & differs).alias("open")).where("same or open")
 
 
 def _per_document(flags: DataFrame) -> DataFrame:
-    pair = F.struct("start", "size")
-    lists = [F.collect_list(F.when(F.col(k), pair)).alias(k) for k in ("same", "open")]
-    return flags.groupBy(F.col("doc_id").alias("flag_id"), F.col("th").alias("flag_th")).agg(*lists)
+    return flags.groupBy("row").agg(*[F.collect_list(F.when(F.col(k), F.col("at"))).alias(k) for k in ("same", "open")])
 
 
-def _with_flags(docs: DataFrame, flags: DataFrame) -> DataFrame:
-    on = docs["doc_id"].eqNullSafe(F.col("flag_id")) & (docs["th"] == F.col("flag_th"))
-    return docs.join(flags, on, "left").drop("flag_id", "flag_th")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): doc_id itself is the key where every one is there once, else a number given for the purpose."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if whole and docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return own.select(F.col("doc_id").cast("long").alias("row"), "doc_id", "text")
+    return staged(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "keyed")
 
 
 def _cover(n: int, runs: list[tuple[np.ndarray, np.ndarray]], length: int) -> np.ndarray:
@@ -216,21 +203,20 @@ def _cover(n: int, runs: list[tuple[np.ndarray, np.ndarray]], length: int) -> np
     return np.cumsum(edge[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, length: int = 400, spacing: int = 128, block: int = 64) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 400, spacing: int = 64, block: int = 64) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, removed (list of byte ranges), kept (the remaining bytes or null if all stay), kept_sha256."""
     if not 2 * GRAM <= block + GRAM < length:
         raise ValueError("a string must be longer than a block and an anchor")
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    flags = _per_document(_sorted(_first_pass(own, length, spacing, block)))
-    joined = _with_flags(own, flags)
+    own = _keyed(docs)
+    joined = own.join(_per_document(_sorted(_first_pass(own, length, spacing, block))), "row", "left")
     flagged = F.coalesce(F.size("same") + F.size("open"), F.lit(0)) > 0
     # documents without any repeated core are done; only their digest goes on
     first = staged(
-        joined.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.when(flagged, F.col("text")).alias("text"), F.when(~flagged, F.sha2("text", 256)).alias("sha"), F.when(flagged, F.col("same")).alias("same"), F.when(flagged, F.col("open")).alias("open")),
+        joined.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(flagged, F.col("text")).alias("text"), F.when(~flagged, F.sha2("text", 256)).alias("sha"), F.when(flagged, F.col("same")).alias("same"), F.when(flagged, F.col("open")).alias("open")),
         "repeats",
     )
-    opened = first.where(F.size("open") > 0).select("doc_id", "th", "text", "open")
-    late = _per_document(_sorted(_second_pass(opened, own, length))).select("flag_id", "flag_th", F.col("same").alias("late"))
+    opened = first.where(F.size("open") > 0).select("row", "text", "open")
+    late = _per_document(_sorted(_second_pass(opened, length))).select("row", F.col("same").alias("late"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +229,8 @@ def find_repeats(docs: DataFrame, length: int = 400, spacing: int = 128, block:
                     removed.append(0), spans.append([]), kept.append(None), digest.append(sha.as_py())
                     continue
                 data = np.frombuffer(text.as_py().encode(), np.uint8)
-                runs = [tuple(x.values.field(k).to_numpy().astype(np.int64) for k in (0, 1)) for x in (lists["same"][i], lists["late"][i]) if x.is_valid and len(x)]
+                packed = [x.values.to_numpy() for x in (lists["same"][i], lists["late"][i]) if x.is_valid and len(x)]
+                runs = [(x >> 32, (x >> 2) & (2**30 - 1)) for x in packed]
                 gone = _cover(len(data), runs, length)
                 step = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 rest = data[~gone].tobytes()
@@ -256,4 +243,4 @@ def find_repeats(docs: DataFrame, length: int = 400, spacing: int = 128, block:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], names)
 
     out = f"doc_id {kind}, n_bytes long, n_removed long, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string"
-    return _with_flags(first, late).drop("open", "th").mapInArrow(run, out)
+    return first.drop("open").join(late, "row", "left").mapInArrow(run, out)
