@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, mix, pieces, staged
 
+#: Characters of text that are hashed at a time.
+PIECE = 3 << 19
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -80,25 +82,43 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def profiles(docs: DataFrame, width: int, percent: int, sets: bool) -> DataFrame:
-    """(doc_id, n, d1, d2) and the prefix (array) or, if ``sets``, all shingles (binary)."""
+def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, d1, d2, shingles): the size and digest of each set, and the shingles of its prefix."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
-    last = pa.binary() if sets else pa.list_(pa.int64())
+    last = pa.list_(pa.int64())
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", last)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in pieces(batch.column("text"), 8 << 20):
+            for start, texts in pieces(batch.column("text"), PIECE):
                 found = shingle_sets(texts, width)
                 digests = [_digest(x) for x in found]
-                tail = [x.astype("<u8").tobytes() if sets else x[: prefix_length(len(x), percent)].view(np.int64) for x in found]
-                cols = [pa.array([len(x) for x in found], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(tail, last)]
+                prefixes = [x[: prefix_length(len(x), percent)].view(np.int64) for x in found]
+                cols = [pa.array([len(x) for x in found], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(prefixes, last)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *cols], schema=schema)
 
-    out = f"doc_id {kind.simpleString()}, n long, d1 long, d2 long, shingles {'binary' if sets else 'array<bigint>'}"
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, d1 long, d2 long, shingles array<bigint>")
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(rep, bucket, reps, n, shingles) of the members (rep, bucket, reps) of buckets, from the texts."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("rep", to_arrow_type(kind)), ("bucket", pa.int64()), ("reps", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in pieces(batch.column("text"), PIECE):
+                found = shingle_sets(texts, width)
+                own = batch.slice(start, len(texts)).select(["rep", "bucket", "reps"])
+                cols = [pa.array([len(x) for x in found], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own.columns, *cols], schema=schema)
+
+    wanted = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select("rep", "bucket", "reps", "text")
+    return wanted.mapInArrow(run, f"rep {kind.simpleString()}, bucket long, reps long, n long, shingles binary").where("n > 0")
 
 
 # --- signature trees ---------------------------------------------------------
@@ -258,13 +278,11 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.join(counts, "token")
 
 
-def _round(members: DataFrame, sets: DataFrame, percent: int, part: int) -> DataFrame:
-    """(bucket, rep) -> (rep, root): the reps of each part of a bucket, connected by its signature tree."""
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps")).where("reps > 1")
+def _round(sets: DataFrame, percent: int, part: int) -> DataFrame:
+    """(bucket, reps, rep, n, shingles) -> (rep, root): the reps of each part of a bucket, connected by its signature tree."""
     parts = F.ceil(F.col("reps") / part).cast("int")
-    dealt = members.join(counts, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    rows = dealt.join(sets, "rep").select("bucket", "part", "rep", "n", "shingles")
-    kind = members.schema["rep"].dataType.simpleString()
+    rows = sets.where("reps > 1").select("bucket", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "rep", "n", "shingles")
+    kind = sets.schema["rep"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(frames, ["bucket", "part"]):
@@ -280,11 +298,10 @@ def _round(members: DataFrame, sets: DataFrame, percent: int, part: int) -> Data
     return ordered.mapInPandas(run, f"rep {kind}, root {kind}").where("rep != root").distinct()
 
 
-def _heavy_last(sets: DataFrame, percent: int, heavy: DataFrame) -> DataFrame:
-    """(rep, n, token): prefixes in the order with frequent shingles last; a class without any keeps its own."""
-    tokens = sets.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
-    touched = tokens.join(heavy, "token", "left_semi").select("rep").distinct()
-    same = tokens.join(touched, "rep", "left_anti").select("rep", "n", "token")
+def _heavy_last(shared: DataFrame, sets: DataFrame, percent: int, heavy: DataFrame) -> DataFrame:
+    """(token, rep): the shared prefixes, those with frequent shingles anew in the order that has these last."""
+    touched = shared.join(heavy, "token", "left_semi").select("rep").distinct()
+    same = shared.join(touched, "rep", "left_anti").select("token", "rep")
     kind = sets.schema["rep"].dataType.simpleString()
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,7 +314,7 @@ def _heavy_last(sets: DataFrame, percent: int, heavy: DataFrame) -> DataFrame:
     ranked = marked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("turn", "token"))).alias("order"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("long") + 1
     moved = ranked.select("rep", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("x")).select("rep", "n", F.col("x.token").alias("token"))
-    return same.unionByName(moved)
+    return same.unionByName(moved.select("token", "rep")).distinct()
 
 
 def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> DataFrame:
@@ -307,7 +324,10 @@ def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> Dat
     holds sizes from g**k to before g**(k+1), g the ratio of sizes that can link, in
     as many parts as it needs; a tile is joined with itself and the next one.
     """
-    by_label = members.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("reps")).where("a != b")
+    who = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"who{seed}") for seed in (1, 2)]
+    by_label = members.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("reps"), *who).where("a != b")
+    # copies share many shingles: of buckets with the same classes one is enough
+    by_label = by_label.groupBy("reps", "who1", "who2").agg(F.min("token").alias("token"))
     rows = members.join(by_label.select("token", "reps"), "token")
     step = 1.001 * math.log(100 / percent) if percent < 100 else 1.0  # a little more than the ratio that can link
     tile = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
@@ -350,19 +370,47 @@ def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> Dat
     return ordered.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+def _pairwise(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose ``values`` (rep, n, value) pass ``test(n_a, value_a, n_b, value_b)``."""
+    left = values.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("value").alias("va"))
+    right = values.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("value").alias("vb"))
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(frame["sa"], frame["sb"], strict=True)]
-            yield frame.loc[good, ["a", "b"]]
+            good = [test(*row) for row in zip(frame["na"], frame["va"], frame["nb"], frame["vb"], strict=True)]
+            yield frame.loc[np.array(good, bool), ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, small: int = 500_000) -> DataFrame:
+    """The pairs that the exact test links.
+
+    Bitmaps eight times as wide as the trees' refute nearly all others first, so
+    that few whole sets travel. The ids of few pairs are broadcast, so that only
+    what they need is shuffled.
+    """
+
+    def needed(of: DataFrame) -> DataFrame:
+        own = sets.select("rep", "n", F.col("shingles").alias("value"))
+        if of.count() > small:
+            return own
+        ids = of.select(F.col("a").alias("rep")).unionByName(of.select(F.col("b").alias("rep"))).distinct()
+        return own.join(F.broadcast(ids), "rep", "left_semi")
+
+    def may_link(na: int, va: bytes, nb: int, vb: bytes) -> bool:
+        x, y = np.frombuffer(va, np.uint64), np.frombuffer(vb, np.uint64)
+        words = min(len(x), len(y))
+        maps = Bitmaps(np.array([na, nb]), np.stack([fold(x, words), fold(y, words)]))
+        shared = int(np.bitwise_count(maps.words[0] & maps.words[1]).sum())
+        return bool(_can_link(min(na, nb, shared + int(maps.excess.min())), na, nb, percent))
+
+    wide = _bitmaps(needed(pairs).select("rep", "n", F.col("value").alias("shingles")), 8).withColumnRenamed("bits", "value")
+    near = staged(_pairwise(pairs, wide, may_link), "near-pairs")
+    return _pairwise(near, needed(near), lambda na, va, nb, vb: linked(np.frombuffer(va, "<u8"), np.frombuffer(vb, "<u8"), percent))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the least node of each component, by least-label contraction."""
     labels = None
@@ -390,36 +438,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, set_first (the doc_id that stands for its set)."""
-    own = staged(profiles(docs, width, percent, sets=False), "profiles")
+    own = staged(profiles(docs, width, percent), "profiles")
     digest = ["n", "d1", "d2"]
     classes = own.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.any_value("shingles").alias("prefix")).where("rep is not null")
-    tokens = classes.select("rep", "n", "d1", "d2", F.explode("prefix").alias("token"))
-    shared = staged(_shared(tokens.select("token", "rep")), "shared")
+    shared = staged(_shared(classes.select("rep", F.explode("prefix").alias("token"))), "shared")
+    # a class goes to its first shared shingle; texts are read again rather than all sets kept
     first = shared.groupBy("rep").agg(F.min("token").alias("bucket"))
-    # the sets of classes that share a shingle; their texts are read again rather than all sets kept
-    wanted = docs.select("doc_id", "text").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = profiles(wanted, width, percent, sets=True).withColumnRenamed("doc_id", "rep").where("n > 0")
-    sets = staged(sets.select("rep", "n", "shingles"), "sets")
-    members = staged(first, "members")
-    edges, live = [], members
-    while True:
-        found = staged(_round(live, sets, percent, part), "round")
-        edges.append(found)
-        large = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps")).where(F.col("reps") > part).select("bucket")
-        live = staged(live.join(large, "bucket", "left_semi").join(found.select("rep"), "rep", "left_anti"), "members")
-        if live.isEmpty() or live.groupBy("bucket").count().where("count > 1").isEmpty() or found.isEmpty():
-            break
-    joined = edges[0]
-    for more in edges[1:]:
-        joined = joined.unionByName(more)
-    so_far = components(joined.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    labelled = sets.select("rep", "n").distinct().join(so_far.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    counts = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps"))
+    sets = staged(_sets(docs, first.join(counts, "bucket"), width), "sets")
+    found = staged(_round(sets, percent, part), "round")
+    joined, large = found, sets.where(F.col("reps") > part)
+    while not found.isEmpty() and not large.isEmpty():
+        # one class of each connected part of a large bucket goes on
+        live = large.drop("reps").join(joined.select("rep"), "rep", "left_anti")
+        left = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps"))
+        live = staged(live.join(left, "bucket"), "live")
+        found = staged(_round(live, percent, part), "round")
+        joined, large = joined.unionByName(found), live.where(F.col("reps") > part)
+    links = joined.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    so_far = components(links).withColumnRenamed("node", "rep")
+    labelled = sets.select("rep", "n").distinct().join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     heavy = staged(shared.where(F.col("reps") > part).select("token").distinct(), "heavy")
-    order = _heavy_last(_with_prefix(sets, percent), percent, heavy).select("token", "rep").distinct()
+    order = shared.select("token", "rep").distinct() if heavy.isEmpty() else _heavy_last(shared, sets, percent, heavy)
     members = staged(order.join(labelled, "rep"), "prefixes")
-    pairs = staged(_across(members, _bitmaps(sets), percent, part), "pairs")
-    late = _verified(pairs, sets, percent)
-    links = joined.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(late)
+    pairs = staged(_across(members, _bitmaps(sets).drop("n"), percent, part), "pairs")
+    links = links.unionByName(_verified(pairs, sets, percent))
     final = components(links).withColumnRenamed("node", "rep")
     of_class = classes.select(*digest, "rep").join(final, "rep", "left").select(*digest, "rep", F.coalesce("label", "rep").alias("component_id"))
     out = own.select("doc_id", *digest).join(of_class, digest, "left")
@@ -428,22 +471,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), *found)
 
 
-def _with_prefix(sets: DataFrame, percent: int) -> DataFrame:
-    kind = sets.schema["rep"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["prefix"] = [np.frombuffer(b, "<i8")[: prefix_length(n, percent)] for b, n in zip(frame["shingles"], frame["n"], strict=True)]
-            yield frame
-
-    return sets.mapInPandas(run, f"rep {kind}, n long, shingles binary, prefix array<bigint>")
-
-
-def _bitmaps(sets: DataFrame) -> DataFrame:
+def _bitmaps(sets: DataFrame, times: int = 1) -> DataFrame:
+    """(rep, n, bits) of (rep, n, shingles); ``times`` widens the bitmaps."""
     kind = sets.schema["rep"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"rep": frame["rep"], "bits": [bitmap(np.frombuffer(b, "<u8"), bitmap_words(n)).tobytes() for b, n in zip(frame["shingles"], frame["n"], strict=True)]})
+            bits = [bitmap(np.frombuffer(b, "<u8"), times * bitmap_words(n)).tobytes() for b, n in zip(frame["shingles"], frame["n"], strict=True)]
+            yield pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "bits": bits})
 
-    return sets.select("rep", "n", "shingles").mapInPandas(run, f"rep {kind}, bits binary")
+    return sets.select("rep", "n", "shingles").mapInPandas(run, f"rep {kind}, n long, bits binary")
