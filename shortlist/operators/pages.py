@@ -387,7 +387,7 @@ def enrich_queue(postings: DataFrame, skip: list[str], ranks: DataFrame, per_sit
     """Pending rows, at most so many per site, with the site's rank (known sites first)."""
     todo = postings.where(F.col("detail_scraped_at").isNull() & ~F.col("site").isin(skip))
     capped = todo.withColumn("queue_place", F.row_number().over(Window.partitionBy("site").orderBy(*order))).where(F.col("queue_place") <= per_site)
-    return capped.join(F.broadcast(ranks.limit(10_000)), "site", "left").withColumn("site_rank", F.coalesce("site_rank", F.lit(1_000_000)))
+    return capped.join(ranks, "site", "left").withColumn("site_rank", F.coalesce("site_rank", F.lit(1_000_000)))
 
 
 def enrich_stats(results: DataFrame) -> DataFrame:

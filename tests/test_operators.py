@@ -128,3 +128,12 @@ def test_summary_and_packing(spark):
     lines = spark.createDataFrame([("p", i, "x" * 40) for i in range(5)], "by string, i int, line string")
     assert sorted((r.part, r.lines) for r in digest.pack_messages(lines, "by", ["i"], 100).collect()) == [(1, 2), (2, 2), (3, 1)]
     assert one(spark, F.array_join(X.csv_items(F.col("t")), "|"), t=" a, ,b ,") == "a|b"
+
+
+def test_queue_takes_every_rank(spark):
+    n = 12_000  # more sites than a broadcast cap of 10,000 would keep
+    site = F.format_string("s%05d", F.col("id"))
+    todo = spark.range(n).select("id", site.alias("site"), F.lit(None).cast("timestamp").alias("detail_scraped_at"))
+    ranks = spark.range(n - 1).select(site.alias("site"), F.col("id").cast("int").alias("site_rank"))
+    got = pages.enrich_queue(todo, [], ranks, 1, ["id"])
+    assert got.count() == n and got.where("site_rank <> id").select("id", "site_rank").collect() == [(n - 1, 1_000_000)]
