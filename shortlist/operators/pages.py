@@ -94,9 +94,10 @@ def resolve_url(df: DataFrame, bases: DataFrame, url: str = "url", never: list[s
 
 
 def resolve_all(df: DataFrame, bases: DataFrame, order: list[str], **rules) -> DataFrame:
-    """Rewrite keys to absolute URLs; a row whose new URL is taken keeps its old one and becomes url_merged.
+    """Rewrite keys to absolute URLs; a row whose new URL is taken keeps its old one and becomes url_merged, with the reason.
 
     Of rows with one new URL, one that had it already wins, then the first by ``order``.
+    Relative application URLs, if there is such a column, are rewritten in the same way.
     """
     found = resolve_url(df, bases, **rules)
     absolute = F.col("url").startswith("http://") | F.col("url").startswith("https://")
@@ -105,7 +106,14 @@ def resolve_all(df: DataFrame, bases: DataFrame, order: list[str], **rules) -> D
     ranked = found.withColumns({"absolute": absolute, "target": target}).withColumn("rn", F.row_number().over(winner))
     outcome = F.when(F.col("absolute"), "absolute").when(F.col("resolved").isNull(), "failed").when(F.col("rn") > 1, "merged").otherwise("resolved")
     out = ranked.withColumn("outcome", outcome)
-    return out.withColumns({"status": F.when(F.col("outcome") == "merged", "url_merged").otherwise(F.col("status")), "url": F.when(F.col("outcome") == "resolved", F.col("resolved")).otherwise(F.col("url"))}).drop("absolute", "target", "rn", "resolved")
+    merged = F.col("outcome") == "merged"
+    old = F.col("status_reason") if "status_reason" in df.columns else F.lit(None).cast("string")
+    reason = F.when(merged, F.concat(F.lit("canonical URL collided with "), "resolved")).otherwise(old)
+    out = out.withColumns({"status": F.when(merged, "url_merged").otherwise(F.col("status")), "status_reason": reason, "url": F.when(F.col("outcome") == "resolved", F.col("resolved")).otherwise(F.col("url"))}).drop("absolute", "target", "rn", "resolved")
+    if "application_url" not in df.columns:
+        return out
+    own = F.col("application_url")
+    return resolve_url(out, bases, **(rules | {"url": "application_url"})).withColumn("application_url", F.when(F.lower(own).startswith("http"), own).otherwise(F.coalesce("resolved", own))).drop("resolved")
 
 
 def resolve_counts(resolved: DataFrame) -> DataFrame:

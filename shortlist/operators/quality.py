@@ -45,7 +45,8 @@ def validate_letter(text: Column, mode: str = "normal", terms: list[str] = BANNE
         warnings.append(F.when(words > 275, F.concat(F.lit("long: "), words.cast("string"))))
     errors.append(F.coalesce(*[F.when(low.contains(p), F.lit(f"self-talk: {p}")) for p in self_talk]))
     errors.append(F.when(~F.trim(low).startswith(salutation), "no salutation"))
-    errors += [F.when(low.rlike(p), "false claim") for p in (claims or [])[:1]]
+    if claims:
+        errors.append(F.coalesce(*[F.when(low.rlike(p), "false claim") for p in claims]))
     return _verdict(errors, warnings)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shortlist.functions import text as X
-from shortlist.operators import digest, filters, lifecycle, pages, responses
+from shortlist.operators import digest, filters, lifecycle, pages, quality, responses
 from shortlist.sources import normalise as S
 
 
@@ -137,3 +137,22 @@ def test_queue_takes_every_rank(spark):
     ranks = spark.range(n - 1).select(site.alias("site"), F.col("id").cast("int").alias("site_rank"))
     got = pages.enrich_queue(todo, [], ranks, 1, ["id"])
     assert got.count() == n and got.where("site_rank <> id").select("id", "site_rank").collect() == [(n - 1, 1_000_000)]
+
+
+def test_every_claim_pattern_counts(spark):
+    claims = [r"\bi built acme\b", r"\bacme i made\b", r"\bmy acme\b"]
+    verdict = quality.validate_letter(F.col("t"), claims=claims)
+    for said, want in [("I built Acme", ["false claim"]), ("Acme I made", ["false claim"]), ("My Acme", ["false claim"]), ("I built Acme. My Acme", ["false claim"]), ("Acme", [])]:
+        got = one(spark, verdict, t=f"Dear team, {said}.")
+        assert (got.passed, got.errors) == (not want, want)
+    assert one(spark, quality.validate_letter(F.col("t"), claims=[]), t="Dear team, my Acme.").passed
+
+
+def test_resolving_gives_reasons_and_application_urls(spark):
+    rows = [(1, "a", "/p", "apply/1", None), (2, "a", "p", "https://x.example/1", "old"), (3, "c", "q", "/r", None), (4, "a", "https://a.example/z", None, None), (5, "a", "/y", "", None), (6, "a", "/w", "mailto:x", None)]
+    df = spark.createDataFrame(rows, "k int, site string, url string, application_url string, status_reason string").withColumn("status", F.lit("active"))
+    got = {r.k: r for r in pages.resolve_all(df, spark.createDataFrame([("a", "https://a.example/")], "site string, base string"), ["k"]).collect()}
+    assert [got[k].application_url for k in range(1, 7)] == ["https://a.example/apply/1", "https://x.example/1", "/r", None, "", "mailto:x"]
+    assert [got[k].status_reason for k in range(1, 7)] == [None, "canonical URL collided with https://a.example/p", None, None, None, None]
+    assert [got[k].status for k in (1, 2, 3)] == ["active", "url_merged", "active"] and got[2].url == "p"
+    assert "application_url" not in pages.resolve_all(df.drop("application_url"), spark.createDataFrame([], "site string, base string"), ["k"]).columns
