@@ -19,7 +19,7 @@ an empty set and links with nothing). Shingles are 64-bit hashes.
    frequent shingles last in the order, and only where its classes still differ in
    component. The same trees give the pairs across components; their sets are
    compared exactly. Buckets larger than ``part`` are cut by size into tiles, each
-   tile being joined with the tiles of reachable sizes.
+   tile being joined with the tiles of reachable sizes, a part with a part at a time.
 5. Components come from the links by repeated least-label contraction.
 
 Nothing is capped: every pair that can reach the threshold is in some bucket.
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, mix, pieces, staged
@@ -317,14 +317,19 @@ def _heavy_last(shared: DataFrame, sets: DataFrame, percent: int, heavy: DataFra
     return same.unionByName(moved.select("token", "rep")).distinct()
 
 
-def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> DataFrame:
-    """(token, rep, n, label) -> pairs (a, b) of reps with different labels that the trees leave.
+def _blocks(n: Column) -> Column:
+    """The numbers from 0 to before n; none for null."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    A bucket of more than ``part`` reps is cut into tiles of similar size: tile k
-    holds sizes from g**k to before g**(k+1), g the ratio of sizes that can link, in
-    as many parts as it needs; a tile is joined with itself and the next one.
+
+def _placed(members: DataFrame, percent: int, part: int) -> DataFrame:
+    """(token, rep, n, label) -> (token, rep, n, label, places), the places in blocks that meet: tile, slot, guest, side.
+
+    A block (side 0) of a tile has about ``part`` reps at most. It meets itself
+    (guest -1), each block before it in its tile, and each of the previous tile,
+    one guest block (side 1) at a time.
     """
-    who = [F.bit_xor(F.xxhash64(F.lit(seed), "rep")).alias(f"who{seed}") for seed in (1, 2)]
+    who = [F.bit_xor(F.xxhash64(F.lit(seed), "rep", "n")).alias(f"who{seed}") for seed in (1, 2)]
     by_label = members.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("reps"), *who).where("a != b")
     # copies share many shingles: of buckets with the same classes one is enough
     by_label = by_label.groupBy("reps", "who1", "who2").agg(F.min("token").alias("token"))
@@ -333,40 +338,53 @@ def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> Dat
     tile = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
     small = F.col("reps") <= part
     rows = rows.withColumn("tile", F.when(small, F.lit(-1)).otherwise(tile))
-    tiles = rows.where(~small).groupBy("token", "tile").agg(F.count(F.lit(1)).alias("here"))
-    rows = rows.join(tiles, ["token", "tile"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("here") / part), F.lit(1)).cast("int"))
-    # each rep once as the probing side of its own tile and the next one, and once for its own part
-    neighbours = tiles.select("token", (F.col("tile") - 1).alias("tile"), F.ceil(F.col("here") / part).cast("int").alias("next_parts"))
-    rows = rows.join(neighbours, ["token", "tile"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    home = rows.select("token", "rep", "n", "label", "tile", F.col("own").alias("slot"), F.lit(0).alias("side"))
-    spread = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p > F.col("own"))
-    sideways = rows.select("token", "rep", "n", "label", "tile", F.explode(spread).alias("slot"), F.lit(1).alias("side"))
-    onward = rows.where("next_parts is not null").select(
-        "token", "rep", "n", "label", (F.col("tile") + 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.col("next_parts") - 1)).alias("slot"), F.lit(1).alias("side")
-    )
-    placed = home.unionByName(sideways).unionByName(onward).join(maps, "rep")
+    tiles = rows.where(~small).groupBy("token", "tile").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    for name, shift in (("next", -1), ("previous", 1)):
+        rows = rows.join(tiles.select("token", (F.col("tile") + shift).alias("tile"), F.col("parts").alias(name)), ["token", "tile"], "left")
+    rows = rows.join(tiles, ["token", "tile"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    own, parts = F.col("own"), F.col("parts")
+
+    def place(tile: Column, slot: Column, guest: Column, side: int) -> Column:
+        return F.struct(tile.alias("tile"), slot.alias("slot"), guest.alias("guest"), F.lit(side).alias("side"))
+
+    met = F.concat(F.array(F.lit(-1)), _blocks(own), F.transform(_blocks(F.col("previous")), lambda p: parts + p))
+    home = F.transform(met, lambda p: place(F.col("tile"), own, p, 0))
+    sideways = F.transform(F.filter(_blocks(parts), lambda p: p > own), lambda p: place(F.col("tile"), p, own, 1))
+    onward = F.transform(_blocks(F.col("next")), lambda p: place(F.col("tile") + 1, p, F.col("next") + own, 1))
+    return rows.select("token", "rep", "n", "label", F.concat(home, sideways, onward).alias("places"))
+
+
+def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> DataFrame:
+    """(token, rep, n, label) -> pairs (a, b) of reps with different labels that the trees leave.
+
+    A bucket of more than ``part`` reps is cut into tiles of similar size: tile k
+    holds sizes from g**k to before g**(k+1), g the ratio of sizes that can link, in
+    as many parts as it needs; a tile is joined with itself and the next one, a part
+    with a part at a time.
+    """
+    placed = _placed(members, percent, part).join(maps, "rep").withColumn("place", F.explode("places")).select("token", "place.*", "rep", "n", "label", "bits")
     kind = members.schema["rep"].dataType.simpleString()
+    keys = ["token", "tile", "slot", "guest"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _grouped(frames, ["token", "tile", "slot"]):
+        for group in _grouped(frames, keys):
             if group["label"].nunique() < 2:
                 continue
-            own, guests = (group[group["side"] == k] for k in (0, 1))
-            joins = [(own, None)] if len(own) else []
-            if len(own) and len(guests):
-                joins.append((pd.concat([guests, own]), len(guests)))
-            for rows_, split in joins:
-                if rows_["label"].nunique() < 2:
+            guests = int((group["side"] == 1).sum())
+            split = None
+            if group["guest"].iloc[0] >= 0:
+                if guests in (0, len(group)):
                     continue
-                sizes = rows_["n"].to_numpy()
-                raw = [np.frombuffer(b, np.uint64) for b in rows_["bits"]]
-                words = min(map(len, raw))
-                made = Bitmaps(sizes, np.stack([fold(r, words) for r in raw]))
-                reps = rows_["rep"].to_numpy()
-                for i, j in tree_pairs(made, rows_["label"].to_numpy(), percent, split):
-                    yield pd.DataFrame({"a": np.minimum(reps[i], reps[j]), "b": np.maximum(reps[i], reps[j])})
-
-    ordered = placed.repartition("token", "tile", "slot").sortWithinPartitions("token", "tile", "slot", "side", "n", "rep")
+                group, split = pd.concat([group[group["side"] == 1], group[group["side"] == 0]]), guests
+            sizes = group["n"].to_numpy()
+            raw = [np.frombuffer(b, np.uint64) for b in group["bits"]]
+            words = min(map(len, raw))
+            made = Bitmaps(sizes, np.stack([fold(r, words) for r in raw]))
+            reps = group["rep"].to_numpy()
+            for i, j in tree_pairs(made, group["label"].to_numpy(), percent, split):
+                yield pd.DataFrame({"a": np.minimum(reps[i], reps[j]), "b": np.maximum(reps[i], reps[j])})
+
+    ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "side", "n", "rep")
     return ordered.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -198,6 +199,28 @@ def test_jaccard_against_brute_force(spark):
         assert got == _components(rows, width, percent)
 
 
+def test_jaccard_groups_are_bounded(spark):
+    part, sizes = 32, [100 + k % 40 for k in range(1000)]  # several tiles of many parts in one bucket
+    members = spark.createDataFrame([(7, k, n, k) for k, n in enumerate(sizes)], "token long, rep long, n long, label long")
+    placed = jaccard_join._placed(members, 90, part).select("rep", F.explode("places").alias("p")).select("rep", "p.*")
+    assert placed.groupBy("tile", "slot", "guest").count().agg(F.max("count")).first()[0] <= 4 * part
+    met = collections.Counter()
+    for _, group in placed.toPandas().groupby(["tile", "slot", "guest"]):
+        own, guests = (group[group.side == k].rep.tolist() for k in (0, 1))
+        itself = group.guest.iloc[0] == -1
+        met.update(frozenset(x) for x in (itertools.combinations(own, 2) if itself else itertools.product(own, guests)))
+    wanted = {frozenset((i, j)) for i, j in itertools.combinations(range(len(sizes)), 2) if 100 * min(sizes[i], sizes[j]) >= 90 * max(sizes[i], sizes[j])}
+    assert wanted <= met.keys() and set(met.values()) == {1}
+
+
+def test_jaccard_ids_with_two_sets_do_not_cancel(spark):
+    rows = [(1, 5, 10), (1, 5, 11), (1, 7, 10), (2, 6, 10), (2, 6, 11), (2, 7, 10)]
+    members = spark.createDataFrame([(*r, r[1]) for r in rows], "token long, rep long, n long, label long")
+    bits = jaccard_join.bitmap(np.arange(10, dtype=np.uint64), 1).tobytes()
+    maps = spark.createDataFrame([(k, bits) for k in (5, 6, 7)], "rep long, bits binary")
+    assert {tuple(r) for r in jaccard_join._across(members, maps, 80, 512).collect()} == {(5, 7), (6, 7)}
+
+
 def test_jaccard_edges(edges, empty):
     got = jaccard_join.near_duplicates(edges, 3, 90).collect()
     assert len(got) == len(EDGES)
