@@ -2,9 +2,10 @@
 
 Lines that start with ``>`` are quotes; the number of ``>`` is their level. Runs of
 lines of one level are passages. A passage is normalised (lower case, white space
-collapsed) and its hash joined to the hashes of whole messages and of their
-paragraphs earlier in the same conversation. A message replies to the last
-earlier message that its outermost linked passage comes from. A message whose
+collapsed) and its hash looked up among the hashes of whole messages, of their
+paragraphs and of their runs of as many lines as the passage has, earlier in the
+same conversation. A message replies to the last earlier message that its
+outermost linked passage comes from. A message whose
 reply skips back starts a branch; the messages after it belong to that branch.
 
 ``order_key`` sorts a conversation into reply order: a branch follows the message
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 QUOTE = r"^[ \t]*>[> \t]*"
+LINE_END = r"\r?\n"
 
 
 def _normal(text: Column) -> Column:
@@ -38,19 +40,36 @@ def _turn(column: Column) -> Column:
 def _passages(lines: DataFrame) -> DataFrame:
     """(row_key, conv_id, turn, at, level, line) -> runs of one level, blank lines ending a run."""
     order = Window.partitionBy("row_key").orderBy("at")
-    kind = F.when(F.trim("line") == "", F.lit(-1)).otherwise(F.col("level"))
+    kind = F.when(~F.col("line").rlike(r"\S"), F.lit(-1)).otherwise(F.col("level"))
     marked = lines.withColumn("kind", kind).withColumn("new", F.coalesce((F.col("kind") != F.lag("kind").over(order)).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(order)).where("kind >= 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ")
-    return runs.groupBy("row_key", "conv_id", "turn", "run", "level").agg(_normal(joined).alias("passage"))
+    return runs.groupBy("row_key", "conv_id", "turn", "run", "level").agg(_normal(joined).alias("passage"), F.count(F.lit(1)).cast("int").alias("lines"))
 
 
 def _lines(messages: DataFrame) -> DataFrame:
     prefix = F.regexp_extract("raw", QUOTE, 0)
-    split = messages.select("row_key", "conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "raw"))
+    split = messages.select("row_key", "conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END)).alias("at", "raw"))
     return split.select("row_key", "conv_id", "turn", "at", F.length(F.regexp_replace(prefix, "[^>]", "")).alias("level"), F.regexp_replace("raw", QUOTE, "").alias("line"))
 
 
+def _line_runs(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, lengths) -> (conv_id, from_turn, passage): consecutive lines of its own, as many as a length says."""
+    lines = F.filter(F.transform(F.split("text", LINE_END), lambda x: F.when(~x.rlike(QUOTE), _normal(x))), lambda x: x != "")
+    fits = F.filter("lengths", lambda k: k <= F.size("own_lines"))
+    runs = messages.select("conv_id", F.col("turn").alias("from_turn"), lines.alias("own_lines"), "lengths").select("*", F.explode(fits).alias("length"))
+    starts = F.explode(F.sequence(F.lit(1), F.size("own_lines") - F.col("length") + 1)).alias("first")
+    return runs.select("conv_id", "from_turn", "own_lines", "length", starts).select("conv_id", "from_turn", F.array_join(F.slice("own_lines", F.col("first"), F.col("length")), " ").alias("passage"))
+
+
+def _last_before(quoted: DataFrame, originals: DataFrame) -> DataFrame:
+    """``quoted`` with from_turn: the last earlier turn with the same passage, without pairing all of its copies."""
+    key = ["conv_id", "hash", "size"]
+    every = quoted.unionByName(originals.select(*key, F.col("from_turn").alias("turn"), "from_turn"), allowMissingColumns=True)
+    earlier = Window.partitionBy(*key).orderBy(F.col("turn").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    return every.withColumn("from_turn", F.max("from_turn").over(earlier)).where("row_key is not null")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, content, n_quotes, n_linked, reply_to, order_key."""
     own = messages.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -62,15 +81,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     else:
         passages = _passages(_lines(quoting))
         quoted = passages.where("level > 0 and passage != ''")
-        talks = quoting.select("conv_id").distinct()
-        near = own.join(talks, "conv_id", "left_semi").withColumn("row_key", F.monotonically_increasing_id())
-        near = staged(near, "near")
-        body = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(QUOTE)), "\n")
-        whole = near.select("conv_id", F.col("turn").alias("from_turn"), F.xxhash64(_normal(body)).alias("hash"), F.length(_normal(body)).alias("size"))
-        parts = _passages(_lines(near)).where("level = 0").select("conv_id", F.col("turn").alias("from_turn"), F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
-        originals = whole.unionByName(parts).where("size > 0").distinct()
-        hashed = quoted.select("row_key", "conv_id", "turn", "level", "run", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
-        found = hashed.join(originals, ["conv_id", "hash", "size"], "left").withColumn("from_turn", F.when(F.col("from_turn") < F.col("turn"), F.col("from_turn")))
+        hashed = staged(quoted.select("row_key", "conv_id", "turn", "level", "run", "lines", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size")), "quoted")
+        talks = hashed.groupBy("conv_id").agg(F.collect_set("lines").alias("lengths"))
+        near = staged(own.join(talks, "conv_id").withColumn("row_key", F.monotonically_increasing_id()), "near")
+        body = F.array_join(F.filter(F.split("text", LINE_END), lambda x: ~x.rlike(QUOTE)), "\n")
+        whole = near.select("conv_id", F.col("turn").alias("from_turn"), _normal(body).alias("passage"))
+        parts = _passages(_lines(near)).where("level = 0").select("conv_id", F.col("turn").alias("from_turn"), "passage")
+        passages = whole.unionByName(parts).unionByName(_line_runs(near)).where("passage != ''")
+        originals = passages.select("conv_id", "from_turn", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
+        found = _last_before(hashed, originals.join(hashed.select("conv_id", "hash", "size").distinct(), ["conv_id", "hash", "size"], "left_semi").distinct())
         per_run = found.groupBy("row_key", "run", "level").agg(F.max("from_turn").alias("from_turn"))
         rank = F.when(F.col("from_turn").isNotNull(), F.struct(-F.col("level"), F.col("from_turn")))
         linked = per_run.groupBy("row_key").agg(F.count(F.lit(1)).cast("int").alias("n_quotes"), F.count("from_turn").cast("int").alias("n_linked"), F.max(rank)["from_turn"].cast("long").alias("reply_to"))

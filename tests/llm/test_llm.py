@@ -281,6 +281,32 @@ def test_quotes_link_and_order(spark):
     assert chat.link_quotes(df.where("false")).count() == 0
 
 
+def test_quoted_lines_link(spark):
+    rows = [
+        (1, 0, "one\ntwo  x\nthree\nfour\n\nfive"),
+        (1, 1, "other\r\ntext\r\n\r\nlast words"),
+        (1, 2, "> Two x\nyes"),  # one line
+        (1, 3, "> two x\n> three\nyes"),  # consecutive lines
+        (1, 4, "> one\n> three\nno"),  # not consecutive
+        (1, 5, "> other\r\n> text\r\nyes"),  # a paragraph with carriage returns
+        (1, 6, "> four\n> five\nyes"),  # over the end of a paragraph
+        (1, 7, "> last words\n\n> two x\n> > one\nyes"),
+        (1, 8, "> later\nno"),
+        (1, 9, "later"),
+        (2, 3, "> one\nanother conversation"),
+        (3, 1, "ok"), (3, 2, "ok"), (3, 5, "> ok"), (3, 5, "ok"), (3, 6, "ok"),
+        (None, 2, "> one"), (1, None, "> one"), (1, None, "one"),
+    ]
+    df = spark.createDataFrame([(*r[:2], "user", r[2]) for r in rows], "conv_id long, turn long, role string, text string")
+    got = chat.link_quotes(df).collect()
+    assert len(got) == len(rows)
+    found = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in got if r.n_quotes}
+    assert found == {
+        (1, 2): (1, 1, 0), (1, 3): (1, 1, 0), (1, 4): (1, 0, None), (1, 5): (1, 1, 1), (1, 6): (1, 1, 0), (1, 7): (3, 3, 1),
+        (1, 8): (1, 0, None), (2, 3): (1, 0, None), (3, 5): (1, 1, 2), (None, 2): (1, 0, None), (1, None): (1, 0, None),
+    }
+
+
 # 7
 
 
