@@ -55,7 +55,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoder = token_files.WordEncoder(vocabulary, end_id=1)
+    encoder = token_files.WordEncoder(vocabulary, end_id=1, special=True)
     path = token_files.new_path(spark)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     token_files.write_files(_table(spark, sf_dir, "documents"), path, encoder, encoder.vocabulary(vocabulary), files)

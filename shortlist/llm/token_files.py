@@ -104,20 +104,22 @@ class WordEncoder:
     """Encodes texts through a ``tokenizers`` file, each distinct piece between blanks once per worker.
 
     The file's normaliser and splitter never join characters over a blank or a
-    line feed, so the ids of a text are those of its pieces, in order.
+    line feed, nor do its special tokens hold one, so the ids of a text are those
+    of its pieces, in order. With ``special``, special tokens in a text get their own
+    ids, as a plain call of the library gives; otherwise they are text like any other.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 1_000_000):
-        self.path, self.end_id, self.memo, self.tokenizer = path, end_id, memo, None
+    def __init__(self, path: str, end_id: int, memo: int = 1_000_000, special: bool = False):
+        self.path, self.end_id, self.memo, self.special, self.tokenizer = path, end_id, memo, special, None
 
     def __getstate__(self):
-        return {"path": self.path, "end_id": self.end_id, "memo": self.memo, "tokenizer": None}
+        return {"path": self.path, "end_id": self.end_id, "memo": self.memo, "special": self.special, "tokenizer": None}
 
     def _open(self) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not self.special
         self._forget()
 
     def _forget(self) -> None:

@@ -329,6 +329,18 @@ def test_token_files(spark, edges, empty):
         assert token_files.with_starts(token_files.read_files(spark, out)).count() == n
 
 
+def test_query_gives_the_ids_of_a_plain_call(spark, tmp_path):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, "a <|endoftext|> b"), (2, "x<|startoftext|>y\n<|EndOfText|>"), (3, "plain")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op7_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, t in rows:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 11, 16, 17, 31, 32])
 def test_packing(bits):
     ids = np.random.Generator(np.random.PCG64(bits)).integers(0, 2**bits, 1000).astype(np.uint32)
