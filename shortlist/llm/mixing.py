@@ -148,6 +148,12 @@ def mix(
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
-    """The mixed rows with their documents: one for each draw of at least half of the document, in no order."""
-    draws = mixed.select(key, F.explode(F.filter("places", lambda x: 2 * x["words"] >= F.col("size"))).alias("place")).select(key)
-    return docs.join(draws, key)
+    """The mixed rows with their documents, shard and position: one for each draw of at least half of the document.
+
+    Rows are in order of shard and position, over and within partitions, so files
+    written from them hold the shards one after the other, each shuffled.
+    """
+    draws = mixed.select(key, F.explode(F.filter("places", lambda x: 2 * x["words"] >= F.col("size"))).alias("place"))
+    placed = docs.join(draws.select(key, "place.shard", "place.position"), key)
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(files, "shard", "position").sortWithinPartitions("shard", "position", key)

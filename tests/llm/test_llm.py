@@ -383,6 +383,16 @@ def test_mixing(spark):
     assert set(drawn) <= set(range(16))
 
 
+def test_repeated_rows_are_in_shard_order(spark):
+    docs = frame(spark, [(i, "w " * (1 + i % 50)) for i in range(300)], extra=False).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
+    mixed = staged(mixing.mix(docs, ["doc_id"], words_per_block=200), "mixed")
+    out = mixing.repeat_rows(docs, mixed, "doc_id").withColumn("part", F.spark_partition_id()).collect()
+    order = [(r.part, r.shard, r.position) for r in out]
+    assert order == sorted(order) and [x[1:] for x in order] == sorted(x[1:] for x in order)
+    draws = [(r.doc_id, p.shard, p.position) for r in mixed.collect() for p in r.places if 2 * p.words >= r.size]
+    assert sorted((r.doc_id, r.shard, r.position) for r in out) == sorted(draws) and len({x[1] for x in draws}) > 1
+
+
 def test_splitting_tree_keeps_counts():
     quotas = np.array([100, 7, 0, 31])
     counts = mixing.split_quotas(quotas, 5, 1)
