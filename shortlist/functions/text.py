@@ -44,15 +44,26 @@ def contains_phrase(c: Column, phrase: str) -> Column:
     return F.coalesce(c, F.lit("")).rlike(phrase_pattern(phrase))
 
 
+def contains_any(c: Column, phrases: list[str]) -> Column:
+    """Whether the text holds one of the phrases: one pattern for all of them."""
+    every = "|".join(phrase_pattern(p).removeprefix("(?iuU)") for p in phrases)
+    return F.coalesce(c, F.lit("")).rlike(f"(?iuU)(?:{every})")
+
+
 def matched_phrases(c: Column, phrases: list[str]) -> Column:
     """The phrases that the text holds, in their order."""
     hits = [F.when(contains_phrase(c, p), F.lit(p)) for p in phrases]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    if len(hits) < 2:
+        return F.array_compact(F.array(*hits)) if hits else none
+    return F.when(contains_any(c, phrases), F.array_compact(F.array(*hits))).otherwise(none)
 
 
 def first_phrase(c: Column, phrases: list[str]) -> Column:
     hits = [F.when(contains_phrase(c, p), F.lit(p)) for p in phrases]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    if len(hits) < 2:
+        return hits[0] if hits else F.lit(None).cast("string")
+    return F.when(contains_any(c, phrases), F.coalesce(*hits))
 
 
 def first_items(items: Column, n: int) -> Column:
@@ -88,7 +99,7 @@ HEADINGS = ["about us", "about the company", "job description", "responsibilitie
 
 def clean_description(c: Column, headings: list[str] = HEADINGS) -> Column:
     """Scraped text without markdown, links, bullets and headings."""
-    out = F.coalesce(c, F.lit(""))
+    out = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\-"), F.lit("-")), F.lit("\\*"), F.lit("*"))
     out = F.regexp_replace(out, r"\[([^\]]+)\]\([^)]+\)", "$1")
     out = F.regexp_replace(out, r"https?://[^ \t\n\r]+", "")
     out = F.regexp_replace(out, "[`*_>#]+", "")

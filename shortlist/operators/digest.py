@@ -15,10 +15,12 @@ HISTORY_RULES = {"first_notified_at": "keep", "last_seen_at": "replace", "fit_sc
 
 def with_fingerprints(df: DataFrame) -> DataFrame:
     """Add ``primary_fp`` (apply URL, else URL, else role) and ``role_fp`` (title, company, location)."""
-    apply_url, url = canonical(F.col("application_url")), canonical(F.col("url"))
-    role = F.concat(F.lit("role:"), F.concat_ws("|", *[canonical(F.col(c)) for c in ("title", "company", "location")]))
-    basis = F.when(apply_url != "", F.concat(F.lit("application_url:"), apply_url)).when(url != "", F.concat(F.lit("url:"), url)).otherwise(role)
-    return df.withColumns({"primary_fp": F.sha2(basis, 256), "role_fp": F.sha2(role, 256)})
+    # the canonical texts are columns first: each is made once, though several branches use it
+    named = {"primary_fp": canonical(F.col("application_url")), "role_fp": F.concat(F.lit("role:"), F.concat_ws("|", *[canonical(F.col(c)) for c in ("title", "company", "location")]))}
+    apply_url, role = F.col("primary_fp"), F.col("role_fp")
+    url = canonical(F.col("url"))
+    basis = F.when(apply_url != "", F.concat(F.lit("application_url:"), apply_url)).otherwise(F.coalesce(F.concat(F.lit("url:"), F.nullif(url, F.lit(""))), role))
+    return df.withColumns(named).withColumns({"primary_fp": F.sha2(basis, 256), "role_fp": F.sha2(role, 256)})
 
 
 def threshold(min_score: int, cards: bool) -> int:
@@ -74,9 +76,10 @@ def link_of(df_apply: Column, url: Column) -> Column:
 def card_text(urgent: int = 9, most: int = 1200) -> Column:
     """One posting as a card of at most ``most`` characters."""
     mark = F.when(F.col("fit_score") >= urgent, "🔥").otherwise("⭐")
+    # fixed values: what stands for missing parts
     part = lambda names, empty: html_escape(F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(empty)))
     title, link = part(["title"], "Untitled"), html_escape(link_of(F.col("application_url"), F.col("url")))
-    score = F.col("fit_score").cast("string")
+    score = F.coalesce("fit_score", F.lit(7)).cast("string")
     head = F.when(link != "", F.concat(mark, F.lit(" <b>["), score, F.lit(']</b> <a href="'), link, F.lit('">'), title, F.lit("</a>"))).otherwise(F.concat(mark, F.lit(" <b>["), score, F.lit("] "), title, F.lit("</b>")))
     place = F.concat(part(["company", "site"], "Unknown company"), F.lit(" · "), part(["location"], "Location unclear"))
     text = html_escape(short_summary(F.coalesce(F.nullif("full_description", F.lit("")), "description")))

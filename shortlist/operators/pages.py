@@ -6,6 +6,7 @@ import html as entities
 import json
 import re
 from collections.abc import Callable, Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,19 +15,40 @@ from pyspark.sql import functions as F
 
 # --- native text functions ---------------------------------------------------
 
-#: Named entities that the native versions decode, besides numeric ones.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+#: All named entities of HTML 5, and what numeric ones below 160 stand for where that is no letter of their own.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+NUMBERED = {str(n): entities.unescape(f"&#{n};") for n in range(160)}
+
+
+def _known(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
 def decode_entities(c: Column) -> Column:
-    for name, char in ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Named and numeric entities that end in a semicolon; what is none stays as it is."""
+    numbered, named = _known(NUMBERED), _known(NAMED)
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.conv(F.substr(name, F.lit(2)), 10, 10))
+        number = digits.cast("long")
+        odd = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        text = F.when(name.startswith("#"), F.when(odd, "\ufffd").when(number < 160, F.try_element_at(numbered, number.cast("string"))).otherwise(letter)).otherwise(F.try_element_at(named, name))
+        kept = F.coalesce(F.concat(text, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
+        return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(kept)
+
+    def whole(text: Column) -> Column:
+        pieces = F.split(text, "&")
+        rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded)
+        return F.when(text.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(text)
+
+    return F.element_at(F.transform(F.array(c), whole), 1)  # the argument is evaluated once
 
 
 def strip_html(c: Column) -> Column:
     """Text of HTML: no scripts or styles, a newline for blocks, single spaces, at most one blank line."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<script[^>]*>.*?(</script>|\z)|<style[^>]*>.*?(</style>|\z)", "")
     out = F.regexp_replace(out, r"(?i)<(br|p|div|li|tr|h[1-6])(\s[^>]*)?/?>", "\n")
     out = F.regexp_replace(out, r"(?i)</(p|div|li|tr)\s*>", "\n")
     out = decode_entities(F.regexp_replace(out, "(?s)<[^>]*>", ""))
@@ -37,7 +59,7 @@ def strip_html(c: Column) -> Column:
 def html_to_lines(c: Column) -> Column:
     """HTML (only if it has both angle brackets) as trimmed lines without blank ones; list items get a dash."""
     text = F.coalesce(c, F.lit(""))
-    out = F.regexp_replace(text, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
+    out = F.regexp_replace(text, r"(?is)<script[^>]*>.*?(</script>|\z)|<style[^>]*>.*?(</style>|\z)", "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
     out = F.regexp_replace(out, r"(?i)<li(\s[^>]*)?>", "\n- ")
     out = F.regexp_replace(out, r"(?i)</?(p|div|h[1-4]|tr)(\s[^>]*)?>|</li\s*>", "\n")
@@ -59,7 +81,7 @@ def join_url(base: Column, url: Column) -> Column:
     tail = F.regexp_extract(url, r"([?#].*)$", 1)
     own = F.regexp_extract(url, "^([^?#]*)", 1)
     merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), own))
-    parts = F.split(F.substring(merged, 2, 100000), "/")
+    parts = F.split(F.substr(merged, F.lit(2)), "/")
     start = F.array().cast("array<string>")
 
     def fold(acc, x):
@@ -170,16 +192,14 @@ class Node:
         return "".join(out)
 
 
+_GENERATED = re.compile(r"\S{30,}|[a-z]{1,2}-\d+")
+
+
 def _tidy(attrs: dict[str, str]) -> dict[str, str]:
-    out = {}
-    for k, v in attrs.items():
-        if k == "class":
-            kept = [c for c in v.split() if len(c) < 30 and not re.match(r"^[a-z]{1,2}-\d+$", c)]
-            if kept:
-                out[k] = " ".join(kept[:3])
-        elif k in KEEP_ATTRS or k.startswith(("data-", "aria-")):
-            out[k] = v
-    return out
+    """The attributes that say something: at most three class names, none that a build tool seems to have made."""
+    said = {k: v for k, v in attrs.items() if k in KEEP_ATTRS or k.partition("-")[0] in ("data", "aria")}
+    names = [n for n in said.pop("class", "").split() if not _GENERATED.fullmatch(n)]
+    return said | ({"class": " ".join(names[:3])} if names else {})
 
 
 class _Builder(HTMLParser):
@@ -217,6 +237,7 @@ def parse(html: str | None) -> Node:
 Selector = tuple[str, str, str, str]
 DESCRIPTION_SELECTORS: list[Selector] = [("", "id", "=", "job-description"), ("", "class", "word", "job-description"), ("", "class", "*=", "job-description"), ("", "data-testid", "*=", "description"), ("article", "class", "*=", "job")]
 APPLY_SELECTORS: list[Selector] = [("a", "href", "*=", "apply"), ("a", "class", "*=", "apply"), ("a", "data-testid", "*=", "apply"), ("a", "aria-label", "*=", "pply")]
+# fixed values: where the main part of a page is looked for (main, article, [role="main"], #content, .content)
 MAIN_SELECTORS: list[Selector] = [("main", "", "", ""), ("article", "", "", ""), ("", "role", "=", "main"), ("", "id", "=", "content"), ("", "class", "word", "content")]
 
 
@@ -322,6 +343,11 @@ def extract_json_ld(pages: DataFrame) -> DataFrame:
     return _map_pages(pages, "ld_blocks int, ld_description string, ld_apply_url string", lambda top: (len(json_ld_blocks(top)), *from_json_ld(top)))
 
 
+def _two_tiers(top: Node) -> tuple[str | None, ...]:
+    text, url = from_json_ld(top)
+    return (text, url, None, None) if text and url else (text, url, description_of(top, DESCRIPTION_SELECTORS), apply_url_of(top, APPLY_SELECTORS))
+
+
 def extract_css(pages: DataFrame, description: list[Selector] = DESCRIPTION_SELECTORS, apply: list[Selector] = APPLY_SELECTORS) -> DataFrame:
     """(.., html) -> (.., css_description, css_apply_url)."""
     return _map_pages(pages, "css_description string, css_apply_url string", lambda top: (description_of(top, description), apply_url_of(top, apply)))
@@ -341,10 +367,7 @@ def cascade(pages: DataFrame, key: str, model_rows: DataFrame | None = None) ->
 
     Rows that tier 1 solves never reach the patterns, except for a missing apply URL.
     """
-    first = extract_json_ld(pages.select(key, "html"))
-    open_pages = pages.select(key, "html").join(first.where("ld_description is null or ld_apply_url is null").select(key), key, "left_semi")
-    second = extract_css(open_pages)
-    joined = first.join(second, key, "left")
+    joined = _map_pages(pages.select(key, "html"), "ld_description string, ld_apply_url string, css_description string, css_apply_url string", _two_tiers)
     if model_rows is not None:
         joined = joined.join(model_rows.select(key, F.col("full_description").alias("m_description"), F.col("application_url").alias("m_url")), key, "left")
     else:
@@ -363,7 +386,12 @@ def model_extract_requests(pages: DataFrame, key: str, cut: int = 30_000) -> Dat
 # --- fetch outcomes and merging ----------------------------------------------
 
 PERMANENT = [404, 410, 451]  # fixed values: pages that will not come back
-CLOSED = ["position closed", "no longer accepting", "job has expired", "position has been filled"]
+# fixed values: what pages of closed postings say
+CLOSED = [
+    "position closed", "no longer accepting", "job has expired", "position has been filled", "listing is no longer available",
+    "this position is no longer available", "we are no longer accepting", "job expired", "closed position", "application deadline has passed",
+    "application period has ended", "this role has been filled", "this vacancy has been closed", "position is no longer open",
+]
 
 
 def classify_fetch(status: Column, error: Column, permanent: list[int] = PERMANENT) -> Column:

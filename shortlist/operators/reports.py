@@ -98,10 +98,10 @@ def dashboard_list(df: DataFrame, min_score: int = 5, preview: int = 300) -> Dat
 
 
 def with_breaks(df: DataFrame, order: list[str]) -> DataFrame:
-    """Mark where the score changes in a list and how many rows share the score."""
-    counts = df.groupBy("fit_score").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*order)).alias("head"))
-    joined = df.join(F.broadcast(counts.where("fit_score between 1 and 10")), "fit_score")
-    return joined.withColumn("new_section", F.struct(*order) == F.col("head")).drop("head")
+    """Mark where the score changes in a list and how many rows share the score; rows without a score are a section too."""
+    counts = df.groupBy(F.col("fit_score").alias("section")).agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(*order)).alias("head"))
+    joined = df.join(counts, F.col("fit_score").eqNullSafe(F.col("section")))
+    return joined.withColumn("new_section", F.struct(*order) == F.col("head")).drop("head", "section")
 
 
 def search(df: DataFrame, min_score: int, text: str) -> DataFrame:

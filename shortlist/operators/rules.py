@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.functions.text import collapse, contains_phrase, first_items, first_phrase, matched_phrases
@@ -63,12 +63,12 @@ def _result(score, fit, gap, keywords, rule) -> Column:
     return F.struct(as_col(score).cast("int").alias("score"), as_col(fit).alias("fit"), as_col(gap).alias("gap"), as_col(keywords).alias("keywords"), as_col(rule).alias("rule"))
 
 
-def score_by_rules(prefs: Preferences) -> Column:
-    """struct<score, fit, gap, keywords, rule>, or null where no rule decides."""
+def score_by_rules(prefs: Preferences, title: Column | None = None, text: Column | None = None) -> Column:
+    """struct<score, fit, gap, keywords, rule>, or null where no rule decides; ``title`` and ``text`` may stand for what is made of the columns."""
     p = prefs.cleaned()
     if p.is_empty():
         return F.lit(None).cast("struct<score:int,fit:string,gap:string,keywords:string,rule:string>")
-    title, text = collapse(F.col("title")), posting_text()
+    title, text = title if title is not None else collapse(F.col("title")), text if text is not None else posting_text()
     company = F.coalesce(F.nullif(collapse(F.col("company")), F.lit("")), F.lit("unknown company"))
     rejected, breakers = first_phrase(title, p.reject_roles), matched_phrases(text, p.dealbreakers)
     rules = [
@@ -94,6 +94,13 @@ def score_by_rules(prefs: Preferences) -> Column:
     return F.coalesce(*rules)
 
 
+def with_rule_result(df: DataFrame, prefs: Preferences, name: str = "rule_result") -> DataFrame:
+    """``df`` with ``score_by_rules`` as a column; title and text are made once, and most rows are told from one pattern a list."""
+    title, text = collapse(F.col("title")), posting_text()
+    made = df.withColumns({"__rule_title": title, "__rule_text": text})
+    return made.withColumn(name, score_by_rules(prefs, F.col("__rule_title"), F.col("__rule_text"))).drop("__rule_title", "__rule_text")
+
+
 def apply_hard_caps(result: Column, prefs: Preferences) -> Column:
     """The first cap that matches and lowers the score takes effect, with a note in ``gap``."""
     text, out = posting_text(), []
@@ -102,6 +109,7 @@ def apply_hard_caps(result: Column, prefs: Preferences) -> Column:
             continue
         hits = matched_phrases(text, cap.patterns)
         name = F.lit(cap.name) if cap.name else first_items(hits, 2)
+        # fixed value: the note of a cap
         note = F.concat(F.lit(" [hard capped by preference '"), name, F.lit("']"))
         lower = (F.size(hits) > 0) & (result["score"] > cap.max_score)
         capped = _result(max(1, min(10, cap.max_score)), result["fit"], F.trim(F.concat(F.coalesce(result["gap"], F.lit("")), note)), result["keywords"], result["rule"])
@@ -118,6 +126,7 @@ def apply_location_boosts(result: Column, prefs: Preferences) -> Column:
         label = F.lit(boost.name) if boost.name else first_items(hits, 2)
         raised = _result(
             score,
+            # fixed value: the note of a boost
             F.trim(F.concat(F.coalesce(result["fit"], F.lit("")), F.lit("\n- location boost: "), label)),
             result["gap"],
             F.btrim(F.concat(F.coalesce(result["keywords"], F.lit("")), F.lit(", "), first_items(hits, 3)), F.lit(" ,")),
@@ -142,30 +151,58 @@ def adjusted(df: DataFrame, result: str, prefs: Preferences) -> DataFrame:
 
 def route(df: DataFrame, prefs: Preferences) -> tuple[DataFrame, DataFrame]:
     """(rows that a rule decides, with their result; rows that need a model)."""
-    scored = df.withColumn("rule_result", score_by_rules(prefs))
+    scored = with_rule_result(df, prefs)
     return scored.where(F.col("rule_result").isNotNull()), scored.where(F.col("rule_result").isNull()).drop("rule_result")
 
 
-def score_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(profile, key, score, rule) for every profile of ``phrases`` (profile, kind, ord, phrase).
+def phrase_table(spark: SparkSession, prefs: dict[str, Preferences]) -> DataFrame:
+    """Preference sets as rows (profile, kind, ord, phrase, max_score, name) for ``score_many``."""
+    rows = []
+    for profile, given in prefs.items():
+        p = given.cleaned()
+        lists = {"reject": p.reject_roles, "dealbreaker": p.dealbreakers, "target": p.target_roles, "adjacent": p.adjacent_roles, "positive": p.positive_signals, "negative": p.negative_signals}
+        rows += [(profile, kind, i, phrase, None, None) for kind, phrases in lists.items() for i, phrase in enumerate(phrases)]
+        rows += [(profile, "cap", i, phrase, 10 if c.max_score is None else c.max_score, c.name) for i, c in enumerate(p.hard_caps) for phrase in c.patterns]
+    return spark.createDataFrame(rows, PHRASE_COLUMNS)
+
 
-    The distinct texts of title and signals are matched once for each phrase; the
-    phrase table is a configuration of bounded size, and only matches are kept.
+PHRASE_COLUMNS = "profile string, kind string, ord int, phrase string, max_score int, name string"
+
+
+def score_many(postings: DataFrame, phrases: DataFrame, key: str, at_once: int = 20_000) -> DataFrame:
+    """(profile, key, score, rule) for every profile of ``phrases`` (``PHRASE_COLUMNS``), as ``score_by_rules`` gives them.
+
+    Each posting meets the phrases in broadcasts of about ``at_once`` rows; only the
+    counts of matches by profile are shuffled. ``key`` names each posting.
     """
-    text = postings.select(key, F.lower(collapse(F.col("title"))).alias("title"), F.lower(posting_text()).alias("text"))
-    edge = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}_]", " "), F.lit(" "))
-    padded = text.select(key, edge(F.col("title")).alias("title"), edge(F.col("text")).alias("text"))
-    wanted = F.concat(F.lit(" "), F.lower("phrase"), F.lit(" "))
-    where = F.when(F.col("kind").isin("target", "adjacent", "reject"), F.col("title")).otherwise(F.col("text"))
-    hits = padded.join(F.broadcast(phrases), where.contains(wanted))
+    text = postings.select(key, collapse(F.col("title")).alias("title"), posting_text().alias("text"))
+    padded = text.withColumns({"low_title": F.lower("title"), "low_text": F.lower("text")})
+    # the pattern of phrase_pattern, made in the JVM
+    pattern = F.concat(F.lit(r"(?iuU)(?<!\w)"), F.regexp_replace("phrase", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
+    in_title = F.col("kind").isin("target", "adjacent", "reject")
+    table = phrases.select("profile", "kind", "ord", F.lower("phrase").alias("low_phrase"), pattern.alias("pattern"), in_title.alias("in_title"), F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
+    blocks = phrases.count() // at_once + 1
+    # a plain search comes first, so that few patterns are tried
+    plain = F.when(F.col("in_title"), F.col("low_title")).otherwise(F.col("low_text")).contains(F.col("low_phrase"))
+    match = plain & F.expr("case when in_title then title else text end rlike pattern")
+    hits = None
+    for k in range(blocks):
+        own = padded.join(F.broadcast(table.where(F.pmod(F.xxhash64("profile", "kind", "low_phrase"), F.lit(blocks)) == k)), match).select("profile", key, "kind", "ord", "most", "name")
+        hits = own if hits is None else hits.unionByName(own)
     kinds = ["reject", "dealbreaker", "target", "adjacent", "positive", "negative"]
-    counts = hits.groupBy("profile", key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    low_cap = F.when((F.col("kind") == "cap") & (F.col("most") <= 4), F.struct("ord", "most", "name"))
+    counts = hits.groupBy("profile", key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.min(low_cap).alias("cap"))
+    signals = phrases.groupBy("profile").agg((F.count_if(F.col("kind") == "positive") == 0).alias("no_signals"))
     n = F.col
-    score = F.when(n("reject") > 0, 2).when(n("dealbreaker") > 0, 2)
-    score = score.when((n("target") > 0) & (n("positive") >= 2), F.when((n("positive") >= 3) & (n("negative") == 0), 9).otherwise(8))
-    score = score.when((n("adjacent") > 0) & (n("positive") >= 2) & (n("negative") == 0), 7)
-    rule = F.when(n("reject") > 0, "reject_role").when(n("dealbreaker") > 0, "dealbreaker").when(score >= 8, "target_role_match").when(score == 7, "adjacent_role_match")
-    return counts.select("profile", key, score.alias("score"), rule.alias("rule")).where("score is not null")
+    enough = n("no_signals") | (n("positive") >= 2)
+    ruled = (
+        F.when(n("reject") > 0, F.struct(F.lit(2).alias("score"), F.lit("reject_role").alias("rule")))
+        .when(n("dealbreaker") > 0, F.struct(F.lit(2).alias("score"), F.lit("dealbreaker").alias("rule")))
+        .when(n("cap").isNotNull(), F.struct(F.greatest(F.lit(1), n("cap.most")).alias("score"), F.concat(F.lit("hard_cap:"), n("cap.name")).alias("rule")))
+        .when((n("target") > 0) & enough, F.struct(F.when((n("positive") >= 3) & (n("negative") == 0), 9).otherwise(8).alias("score"), F.lit("target_role_match").alias("rule")))
+        .when((n("adjacent") > 0) & (n("positive") >= 2) & (n("negative") == 0), F.struct(F.lit(7).alias("score"), F.lit("adjacent_role_match").alias("rule")))
+    )
+    return counts.join(signals, "profile").withColumn("ruled", ruled).select("profile", key, "ruled.score", "ruled.rule").where("score is not null")
 
 
 def derive_preferences(profiles: DataFrame, most: int = 12) -> DataFrame:
@@ -183,5 +220,5 @@ def derive_preferences(profiles: DataFrame, most: int = 12) -> DataFrame:
 
 __all__ = [
     "Boost", "Cap", "Preferences", "adjusted", "apply_adjustments", "apply_hard_caps", "apply_location_boosts",
-    "contains_phrase", "derive_preferences", "posting_text", "route", "score_by_rules", "score_many",
+    "PHRASE_COLUMNS", "contains_phrase", "derive_preferences", "phrase_table", "posting_text", "route", "score_by_rules", "score_many", "with_rule_result",
 ]

@@ -13,9 +13,9 @@ PREFS = Preferences(
     location_boosts=[Boost(["Remote"], 1, 6, 9, "remote"), Boost(["FRANCE", "GERMANY", "NATION_7"], 2, 7, 10, None)],
 )
 
-PHRASES = [
-    *[(p, k, i, x) for p in ("a", "b") for k, xs in (("target", ["widget"]), ("adjacent", ["ring"]), ("positive", ["role", "1-urgent", "2-high", "remote"])) for i, x in enumerate(xs)],
-    ("a", "reject", 0, "rod"),
-    ("b", "dealbreaker", 0, "5-low"),
-    ("b", "negative", 0, "plate"),
-]
+#: Three profiles for scoring against many: the last has no signals, but low caps.
+PROFILES = {
+    "a": Preferences(target_roles=["widget"], adjacent_roles=["ring"], reject_roles=["rod"], positive_signals=["role", "1-urgent", "2-high", "remote"]),
+    "b": Preferences(target_roles=["widget"], adjacent_roles=["ring"], dealbreakers=["5-low"], positive_signals=["role", "1-urgent", "2-high", "remote"], negative_signals=["plate"]),
+    "c": Preferences(target_roles=["widget", "gizmo"], hard_caps=[Cap(["anvil", "bolt"], 3, "heavy"), Cap(["gear"], 1, None), Cap(["ring"], 6, "rings")]),
+}

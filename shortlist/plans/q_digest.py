@@ -76,32 +76,32 @@ LINK = "case when lower(coalesce(application_url, '')) in ('none', 'null', '') t
 
 
 @query(f"""
-    select {ID_SQL}, case when fit_score >= 9 then '🔥' else '⭐' end || ' <b>[' || fit_score || ']</b> <a href="' || {ESC.format(c=LINK)} || '">' || title || '</a>' || chr(10) || coalesce(company, site) || ' · ' || location || chr(10) || chr(10) ||
-        regexp_replace(case when full_description is null then description else split_part(full_description, '. ', 2) end, '[#_.]', '', 'g') as card from postings where fit_score >= 8""")
+    select {ID_SQL}, case when fit_score >= 9 then '🔥' else '⭐' end || ' <b>[' || coalesce(fit_score, 7) || ']</b> <a href="' || {ESC.format(c=LINK)} || '">' || title || '</a>' || chr(10) || coalesce(company, site) || ' · ' || location || chr(10) || chr(10) ||
+        regexp_replace(case when full_description is null then description else split_part(full_description, '. ', 2) end, '[#_.]', '', 'g') as card from postings""")
 def d7_card_text(spark, d):
-    return B.postings(spark, d).where("fit_score >= 8").select(*ID, D.card_text().alias("card"))
+    return B.postings(spark, d).select(*ID, D.card_text().alias("card"))
 
 
-@query(f"""select {ID_SQL}, '• <b>[' || fit_score || ']</b> <a href="' || {ESC.format(c='url')} || '">' || substr(title, 1, 60) || '</a> — ' || substr(coalesce(company, site), 1, 30) || ' · ' || substr(location, 1, 25) || ' — knows ' || site as line from postings where fit_score = 7""")
+@query(f"""select {ID_SQL}, '• <b>[' || coalesce(fit_score, 7) || ']</b> <a href="' || {ESC.format(c='url')} || '">' || substr(title, 1, 60) || '</a> — ' || substr(coalesce(company, site), 1, 30) || ' · ' || substr(location, 1, 25) || ' — knows ' || site as line from postings""")
 def d8_compact_line(spark, d):
     from shortlist.operators.responses import parse_reasoning
 
     none = F.lit(None).cast("string")
-    rows = B.postings(spark, d).where("fit_score = 7").withColumn("fit", parse_reasoning(F.col("score_reasoning"), none, none, none)["fit"])
+    rows = B.postings(spark, d).withColumn("fit", parse_reasoning(F.col("score_reasoning"), none, none, none)["fit"])
     return rows.select(*ID, D.compact_line(F.col("fit")).alias("line"))
 
 
 @query()
 def d9_pack_messages(spark, d):
     """Digest lines of each supplier packed into messages."""
-    rows = B.postings(spark, d).where("fit_score = 7").select(F.col("l_suppkey").alias("profile"), *[F.col(c).alias(f"o_{c}") for c in B.K], D.compact_line(F.lit("")).alias("line"))
+    rows = B.postings(spark, d).select(F.col("l_suppkey").alias("profile"), *[F.col(c).alias(f"o_{c}") for c in B.K], D.compact_line(F.lit("")).alias("line"))
     return D.pack_messages(rows, "profile", [f"o_{c}" for c in B.K], 1000)
 
 
 @query(f"""
-    select {ID_SQL}, cast(case when l_partkey % 4 in (0, 1) then discovered_at else notified_at end as date) as notified, case l_partkey % 4 when 1 then 'posting closed: HTTP 404' when 2 then 'no route' end as notify_error from postings where fit_score >= 9""")
+    select {ID_SQL}, cast(case when l_partkey % 4 in (0, 1) then discovered_at else notified_at end as date) as notified, case l_partkey % 4 when 1 then 'posting closed: HTTP 404' when 2 then 'no route' end as notify_error from postings""")
 def d10_delivery_merge(spark, d):
-    p = keyed(spark, d).where("fit_score >= 9")
+    p = keyed(spark, d)
     kind = F.when(F.col("l_partkey") % 4 == 0, "sent").when(F.col("l_partkey") % 4 == 1, "closed").when(F.col("l_partkey") % 4 == 2, "failed")
     outcomes = p.select("k", kind.alias("outcome"), F.when(F.col("l_partkey") % 4 == 1, "HTTP 404").otherwise("no route").alias("reason"), F.col("discovered_at").alias("at")).where("outcome is not null")
     return D.delivery_merge(p, outcomes, "k").select(*ID, F.col("notified_at").cast("date").alias("notified"), "notify_error")

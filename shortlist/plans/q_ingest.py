@@ -16,20 +16,25 @@ from shortlist.sources import normalise as S
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the folder that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shortlist-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that executors share; it goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="shortlist-"))
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def _ats_raw(spark, d):
     """Search payloads of employers, one per site, as nested rows derived from the postings."""
-    p = B.postings(spark, d).where("l_linenumber <= 3")
+    p = B.postings(spark, d)
     one = F.struct(F.col("title").alias("title"), F.col("location").alias("locationsText"), F.col("discovered_at").cast("string").alias("postedOn"), F.concat(F.lit("/job/"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("externalPath"))
     # one payload per employer and page of its result list, as a portal pages them
     return p.groupBy(F.coalesce("company", F.lit("none")).alias("employer"), (F.col("l_orderkey") % 97).alias("page")).agg(F.collect_list(one).alias("jobPostings"))
 
 
-@query("select coalesce(company, 'none') as employer, title, location, '/job/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as external_path from postings where l_linenumber <= 3")
+@query("select coalesce(company, 'none') as employer, title, location, '/job/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as external_path from postings")
 def s1_flatten_ats_search(spark, d):
     return S.flatten_ats_search(_ats_raw(spark, d)).drop("date_posted")
 
@@ -37,10 +42,10 @@ def s1_flatten_ats_search(spark, d):
 @query("""
     select coalesce(company, 'none') as employer, '/job/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as external_path,
         case when l_partkey % 3 = 0 then '' else coalesce(description, '') end as job_description, case when l_partkey % 3 = 0 then 'detail missing' end as detail_error
-    from postings where l_linenumber <= 3""")
+    from postings""")
 def s2_join_ats_detail(spark, d):
     found = S.flatten_ats_search(_ats_raw(spark, d))
-    detail = B.postings(spark, d).where("l_linenumber <= 3 and l_partkey % 3 <> 0").select(F.coalesce("company", F.lit("none")).alias("employer"), F.concat(F.lit("/job/"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("external_path"), F.col("description").alias("job_description"), F.lit("u").alias("external_url"))
+    detail = B.postings(spark, d).where("l_partkey % 3 <> 0").select(F.coalesce("company", F.lit("none")).alias("employer"), F.concat(F.lit("/job/"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("external_path"), F.col("description").alias("job_description"), F.lit("u").alias("external_url"))
     return S.join_ats_detail(found, detail.dropDuplicates(["employer", "external_path"])).select("employer", "external_path", "job_description", "detail_error")
 
 
@@ -55,9 +60,9 @@ def s3_normalise_ats(spark, d):
 
 @query("""
     select title, company, location, l_partkey as salary_start, case when company is null then '' else 'https://board.example/' || l_orderkey || '-' || l_linenumber || '~' || lower(company) end as url
-    from postings where l_linenumber = 2""")
+    from postings""")
 def s4_flatten_board_docs(spark, d):
-    p = B.postings(spark, d).where("l_linenumber = 2")
+    p = B.postings(spark, d)
     company = F.struct(F.col("company").alias("name"), F.lower("company").alias("slug"))
     doc = F.struct(F.col("title").alias("role"), F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("slug"), company.alias("company"), F.struct(F.col("location").alias("name")).alias("city"), F.struct(F.col("l_partkey").alias("start"), F.col("l_suppkey").alias("end"), F.lit("USD").alias("currency")).alias("salaryRange"))
     raw = p.select(F.struct(F.array(doc).alias("docs")).alias("data"))
@@ -116,9 +121,9 @@ def s10_promote_description(spark, d):
     return S.promote_description(rows, F.col("source")).select("doc_id", "full_description", "detail_scraped_at")
 
 
-@query("select url, title, company, cast(null as varchar) as lang from postings where l_linenumber = 1 union all select url, title, cast(null as varchar), lang from doc_postings")
+@query("select url, title, company, cast(null as varchar) as lang from postings union all select url, title, cast(null as varchar), lang from doc_postings")
 def s11_union_sources(spark, d):
-    a = B.postings(spark, d).where("l_linenumber = 1").select("url", "title", "company")
+    a = B.postings(spark, d).select("url", "title", "company")
     return S.union_sources([a, B.doc_postings(spark, d).select("url", "title", "lang")]).select("url", "title", "company", "lang")
 
 
@@ -150,10 +155,10 @@ def s14_tier_cut(spark, d):
 
 
 @query(f"""
-    select {ID_SQL}, case when l_linenumber % 2 = 0 and company is not null then company else upper(site[1]) || lower(site[2:]) || ' Works' end as company from postings where l_linenumber % 2 = 0 or l_linenumber = 1""")
+    select {ID_SQL}, case when l_linenumber % 2 = 0 and company is not null then company else upper(site[1]) || lower(site[2:]) || ' Works' end as company from postings""")
 def s15_fill_company(spark, d):
     site = F.col("site")
-    rows = B.postings(spark, d).where("l_linenumber % 2 = 0 or l_linenumber = 1").withColumns({"company": F.when(F.col("l_linenumber") % 2 == 0, F.col("company")), "description": F.concat(F.lit("Join us at "), F.upper(F.substring(site, 1, 1)), F.lower(F.substring(site, 2, 99)), F.lit(" Works. Now"))})
+    rows = B.postings(spark, d).withColumns({"company": F.when(F.col("l_linenumber") % 2 == 0, F.col("company")), "description": F.concat(F.lit("Join us at "), F.upper(F.substring(site, 1, 1)), F.lower(F.substring(site, 2, 99)), F.lit(" Works. Now"))})
     return S.fill_company(rows).select(*ID, "company")
 
 
@@ -171,17 +176,17 @@ def s17_text_sink(spark, d):
     from shortlist.operators.digest import compact_line
     from shortlist.streaming.jobs import to_text
 
-    rows = B.postings(spark, d).where("fit_score = 7 and status = 'active'")
+    rows = B.postings(spark, d)
     path = scratch(spark, "digest")
     to_text(rows.select(F.col("l_orderkey").alias("place"), compact_line(F.col("score_reasoning")).alias("line")), path)
     return spark.read.text(path)
 
 
-@query("select status, count(*) as postings, count(distinct url) as urls from postings where fit_score >= 5 group by status")
+@query("select status, count(*) as postings, count(distinct url) as urls from postings group by status")
 def s19_table_sink(spark, d):
     """Postings written as a table partitioned by status, and read back."""
     path = scratch(spark, "postings")
-    B.postings(spark, d).where("fit_score >= 5").select("url", "title", "fit_score", "status").write.partitionBy("status").parquet(path)
+    B.postings(spark, d).select("url", "title", "fit_score", "status").write.partitionBy("status").parquet(path)
     back = spark.read.schema("url string, title string, fit_score int, status string").parquet(path)
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("url").alias("urls"))
 
@@ -221,7 +226,7 @@ def x3_canonical(spark, d):
     return B.table(spark, d, "pages").select("page_id", canon.alias("canon"), F.sha2(canon, 256).alias("digest"))
 
 
-DESCRIBED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), 'https?://[^ \\t\\n\\r]+', '', 'g'), '[`*_>#]+', '', 'g'), '[ \\t\\n\\r]*[-•][ \\t\\n\\r]+', ' ', 'g'), '(?i)\\b(about us|about the company|job description|responsibilities|requirements)\\b[ ]*:?,?', '', 'g'), '[ \\t\\n\\r\\v\\f]+', ' ', 'g'), ' -–—:;,.')"
+DESCRIBED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '\\-', '-'), '\\*', '*'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), 'https?://[^ \\t\\n\\r]+', '', 'g'), '[`*_>#]+', '', 'g'), '[ \\t\\n\\r]*[-•][ \\t\\n\\r]+', ' ', 'g'), '(?i)\\b(about us|about the company|job description|responsibilities|requirements)\\b[ ]*:?,?', '', 'g'), '[ \\t\\n\\r\\v\\f]+', ' ', 'g'), ' -–—:;,.')"
 
 
 @query(f"select doc_id, {DESCRIBED} as clean from documents")
@@ -259,7 +264,7 @@ def f2_registered_sinks(spark, d):
     from shortlist.operators.digest import compact_line
     from shortlist.streaming.jobs import SINKS
 
-    lines = B.postings(spark, d).where("fit_score = 8").select(F.col("l_orderkey").alias("place"), compact_line(F.col("score_reasoning")).alias("line"))
+    lines = B.postings(spark, d).select(F.col("l_orderkey").alias("place"), compact_line(F.col("score_reasoning")).alias("line"))
     out = None
     for name, sink in SINKS.items():
         path = scratch(spark, name)

@@ -51,7 +51,7 @@ def g3_parse_score(spark, d):
 @query()
 def g4_extract_json(spark, d):
     """JSON in responses: plain, fenced, with text around it, and none."""
-    body = F.to_json(F.struct(F.col("attempt").alias("n"), F.substring("raw", 1, 20).alias("t")))
+    body = F.to_json(F.struct(F.col("attempt").alias("n"), F.col("raw").alias("t")))
     text = F.when(F.col("attempt") % 4 == 0, body).when(F.col("attempt") % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\ndone"))).when(F.col("attempt") % 4 == 2, F.concat(F.lit("Here "), body, F.lit(" trailing } brace"))).otherwise("no json")
     return responses.extract_json(B.responses(spark, d).select("url", "attempt", text.alias("response")), "response").select("url", "attempt", "json", "json_error")
 
@@ -63,20 +63,20 @@ def g5_strip_preamble(spark, d):
 
 @query(f"""
     select {ID_SQL}, case when l_partkey % 3 = 0 then cast(l_partkey % 10 + 1 as int) else fit_score end as fit_score, case when l_partkey % 3 = 0 then 'METHOD: model' || chr(10) || 'FIT: f' || l_partkey || chr(10) || 'KEYWORDS: k' else score_reasoning end as score_reasoning,
-        case when l_partkey % 3 = 1 then 'bad reply' end as score_error, cast(case when l_partkey % 3 <> 2 then discovered_at else scored_at end as date) as scored from postings where l_linenumber = 7""")
+        case when l_partkey % 3 = 1 then 'bad reply' end as score_error, cast(case when l_partkey % 3 <> 2 then discovered_at else scored_at end as date) as scored from postings""")
 def g6_merge_scores(spark, d):
-    p = B.postings(spark, d).where("l_linenumber = 7").withColumn("k", F.xxhash64(*B.K))
+    p = B.postings(spark, d).withColumn("k", F.xxhash64(*B.K))
     good = F.col("l_partkey") % 3 == 0
     results = p.where("l_partkey % 3 <> 2").select("k", F.when(good, (F.col("l_partkey") % 10 + 1).cast("int")).alias("score"), F.concat(F.lit("f"), "l_partkey").alias("fit"), F.lit("").alias("gap"), F.lit("k").alias("keywords"), F.when(~good, "bad reply").alias("error"), F.lit("model").alias("method"))
     merged = responses.merge_scores(p, results, "k", F.col("discovered_at"), F.lit(17))
     return merged.select(*ID, "fit_score", "score_reasoning", "score_error", F.col("scored_at").cast("date").alias("scored"))
 
 
-@query(f"select {ID_SQL}, case when l_linenumber = 2 then 'own' else 'knows ' || site end as fit, 'no ' || split_part(split_part(score_reasoning, 'GAP: no ', 2), chr(10), 1) as gap from postings where l_linenumber <= 3")
+@query(f"select {ID_SQL}, case when l_linenumber = 2 then 'own' else 'knows ' || site end as fit, 'no ' || split_part(split_part(score_reasoning, 'GAP: no ', 2), chr(10), 1) as gap from postings")
 def g7_parse_reasoning(spark, d):
     own = F.when(F.col("l_linenumber") == 2, " own ").otherwise("")
     none = F.lit(None).cast("string")
-    return B.postings(spark, d).where("l_linenumber <= 3").withColumn("r", responses.parse_reasoning(F.col("score_reasoning"), own, none, none)).select(*ID, F.col("r.fit").alias("fit"), F.col("r.gap").alias("gap"))
+    return B.postings(spark, d).withColumn("r", responses.parse_reasoning(F.col("score_reasoning"), own, none, none)).select(*ID, F.col("r.fit").alias("fit"), F.col("r.gap").alias("gap"))
 
 
 TERMS = ["idiot", "and", "la", "email", "der"]
@@ -108,7 +108,7 @@ def g10_validate_resume_text(spark, d):
 
 def _resume_json(spark, d):
     n = F.col("doc_id")
-    data = F.struct(F.when(n % 3 != 0, F.col("lang")).alias("title"), F.when(n % 5 != 0, F.substring("text", 1, 60)).alias("summary"), F.lit("invented x").alias("skills"), F.col("source").alias("experience"), F.when(n % 2 == 0, F.lit("school")).alias("education"))
+    data = F.struct(F.when(n % 3 != 0, F.col("lang")).alias("title"), F.when(n % 5 != 0, F.col("text")).alias("summary"), F.lit("invented x").alias("skills"), F.col("source").alias("experience"), F.when(n % 2 == 0, F.lit("school")).alias("education"))
     return B.table(spark, d, "documents").select("doc_id", F.to_json(data).alias("data"))
 
 
@@ -127,8 +127,8 @@ def g12_sanitize_text(spark, d):
 @query()
 def g13_assemble_document(spark, d):
     """Resume texts put together from JSON built of the documents."""
-    entry = F.struct(F.col("source").alias("header"), F.col("lang").alias("subtitle"), F.array(F.substring("text", 1, 30), F.substring("text", 31, 30)).alias("bullets"))
-    data = F.to_json(F.struct(F.col("lang").alias("title"), F.substring("text", 1, 80).alias("summary"), F.create_map(F.lit("Tools"), F.col("source")).alias("skills"), F.array(entry).alias("experience"), F.array(entry).alias("projects"), F.lit("School").alias("education")))
+    entry = F.struct(F.col("source").alias("header"), F.col("lang").alias("subtitle"), F.split("text", "\n").alias("bullets"))
+    data = F.to_json(F.struct(F.col("lang").alias("title"), F.col("text").alias("summary"), F.create_map(F.lit("Tools"), F.col("source")).alias("skills"), F.array(entry).alias("experience"), F.array(entry).alias("projects"), F.lit("School").alias("education")))
     return B.table(spark, d, "documents").select("doc_id", quality.assemble_document(data, F.col("source"), [F.lit("a@example.com"), F.lit("")]).alias("document"))
 
 
@@ -150,9 +150,9 @@ def g15_resolve_attempts(spark, d):
 
 
 @query(f"""
-    select {ID_SQL}, case when l_partkey % 3 = 0 then 'out/' || l_partkey else tailored_resume_path end as tailored_resume_path, case when l_partkey % 3 <> 2 then coalesce(tailor_attempts, 0) + 1 else tailor_attempts end as tailor_attempts from postings where fit_score >= 9""")
+    select {ID_SQL}, case when l_partkey % 3 = 0 then 'out/' || l_partkey else tailored_resume_path end as tailored_resume_path, case when l_partkey % 3 <> 2 then coalesce(tailor_attempts, 0) + 1 else tailor_attempts end as tailor_attempts from postings""")
 def g16_record_attempts(spark, d):
-    p = B.postings(spark, d).where("fit_score >= 9").withColumn("k", F.xxhash64(*B.K))
+    p = B.postings(spark, d).withColumn("k", F.xxhash64(*B.K))
     outcomes = p.where("l_partkey % 3 <> 2").select("k", F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("out/"), "l_partkey")).alias("path"))
     return responses.record_attempts(p, outcomes, "k", F.col("scored_at")).select(*ID, "tailored_resume_path", "tailor_attempts")
 
@@ -188,9 +188,9 @@ def g21_record_usage(spark, d):
     return ledger.select(F.split("stage", r"\|")[1].cast("long").alias("call_id"), "run_id", F.split("stage", r"\|")[0].alias("stage"), "prompt_tokens", "completion_tokens", "total_tokens", "success")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 2 = 0 then 'https://m.example/' || l_partkey else application_url end as application_url from postings where l_linenumber <= 2")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 2 = 0 then 'https://m.example/' || l_partkey else application_url end as application_url from postings")
 def j3_update_by_key(spark, d):
-    p = B.postings(spark, d).where("l_linenumber <= 2").withColumn("k", F.xxhash64(*B.K))
+    p = B.postings(spark, d).withColumn("k", F.xxhash64(*B.K))
     changes = p.where("l_partkey % 2 = 0").select("k", F.concat(F.lit("https://m.example/"), "l_partkey").alias("link"))
     return lifecycle.update_by_key(p, changes, "k", {"application_url": F.col("new_link")}).select(*ID, "application_url")
 

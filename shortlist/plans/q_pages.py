@@ -92,7 +92,7 @@ def h9_clean_content_html(spark, d):
 
 
 DECODE = "replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
-NO_SCRIPT = "regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g')"
+NO_SCRIPT = "regexp_replace(html, '(?is)<script[^>]*>.*?(</script>|$)|<style[^>]*>.*?(</style>|$)', '', 'g')"
 
 
 @query(rf"""
@@ -118,11 +118,11 @@ def h12_cascade(spark, d):
 
 
 @query("""
-    with t as (select doc_id, case when doc_id % 5 in (0, 1) and length(trim(text)) >= 60 then 1 when doc_id % 5 = 3 and length(trim(text)) >= 110 then 2 when doc_id % 5 = 4 then 3 else 0 end as tier from documents where length(text) >= 200)
+    with t as (select doc_id, case when doc_id % 5 in (0, 1) and length(trim(text)) >= 60 then 1 when doc_id % 5 = 3 and length(trim(text)) >= 110 then 2 when doc_id % 5 = 4 then 3 else 0 end as tier from documents)
     select tier, count(*) as pages from t group by tier""")
 def h12_tiers(spark, d):
     model = B.table(spark, d, "documents").where("doc_id % 5 = 4").select("doc_id", F.lit("from a model").alias("full_description"), F.lit(None).cast("string").alias("application_url"))
-    return P.cascade(synthetic(spark, d).where("n >= 200"), "doc_id", model).groupBy(F.coalesce("tier", F.lit(0)).alias("tier")).agg(F.count(F.lit(1)).alias("pages"))
+    return P.cascade(synthetic(spark, d), "doc_id", model).groupBy(F.coalesce("tier", F.lit(0)).alias("tier")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 FETCH = "fetches as (select page_id, url, html, cast(case page_id % 6 when 0 then 404 when 1 then 410 when 2 then 403 when 3 then 500 else 200 end as int) as status, case page_id % 6 when 3 then 'Timeout 30s exceeded' when 5 then 'reset by peer' end as error from pages)"
@@ -139,9 +139,9 @@ def h13_classify_fetch(spark, d):
 
 
 @query(f"""
-    select {ID_SQL}, case when l_partkey % 3 = 0 then 'new text' else full_description end as full_description, case when l_partkey % 3 = 0 then null when l_partkey % 3 = 1 then 'timeout' else detail_error end as detail_error, cast(case when l_partkey % 3 <> 2 then discovered_at else detail_scraped_at end as date) as scraped from postings where l_linenumber = 4""")
+    select {ID_SQL}, case when l_partkey % 3 = 0 then 'new text' else full_description end as full_description, case when l_partkey % 3 = 0 then null when l_partkey % 3 = 1 then 'timeout' else detail_error end as detail_error, cast(case when l_partkey % 3 <> 2 then discovered_at else detail_scraped_at end as date) as scraped from postings""")
 def h14_enrich_merge(spark, d):
-    p = B.postings(spark, d).where("l_linenumber = 4").withColumn("k", F.xxhash64(*B.K))
+    p = B.postings(spark, d).withColumn("k", F.xxhash64(*B.K))
     good = F.col("l_partkey") % 3 == 0
     results = p.where("l_partkey % 3 <> 2").select("k", F.when(good, "new text").alias("full_description"), F.lit("https://x.example").alias("application_url"), F.when(good, "ok").otherwise("error").alias("status"), F.when(~good, "timeout").alias("error"))
     return P.enrich_merge(p, results, "k", F.col("discovered_at")).select(*ID, "full_description", "detail_error", F.col("detail_scraped_at").cast("date").alias("scraped"))

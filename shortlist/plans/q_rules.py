@@ -9,7 +9,7 @@ from shortlist.functions import text as X
 from shortlist.operators import dedup, filters, reports, rules
 from shortlist.plans import bindings as B
 from shortlist.plans.base import query
-from shortlist.plans.prefs import PHRASES, PREFS
+from shortlist.plans.prefs import PREFS, PROFILES
 
 ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 ID_SQL = ", ".join(ID)
@@ -153,7 +153,7 @@ def r4_job_text(spark, d):
 
 @query(f"with {SCORED} select {ID_SQL}, score, rule_keywords as matched, rule from scored")
 def r5_score_by_rules(spark, d):
-    return B.postings(spark, d).withColumn("r", rules.score_by_rules(PREFS)).select(*ID, F.col("r.score").alias("score"), F.col("r.keywords").alias("matched"), F.col("r.rule").alias("rule"))
+    return rules.with_rule_result(B.postings(spark, d), PREFS, "r").select(*ID, F.col("r.score").alias("score"), F.col("r.keywords").alias("matched"), F.col("r.rule").alias("rule"))
 
 
 def _model_result():
@@ -204,20 +204,32 @@ def r10_clean_items(spark, d):
     return B.profiles(spark, d).select("profile", F.array_join(X.csv_items(line), "|").alias("items"))
 
 
-PHRASE_VALUES = ", ".join(f"('{p}', '{k}', {o}, '{x}')" for p, k, o, x in PHRASES)
+def _profile_sql(profile: str, p) -> str:
+    """The score and rule of one profile, in SQL."""
+    any_of = lambda column, phrases: "(" + " or ".join(has(column, x) for x in phrases) + ")" if phrases else "false"
+    good, bad = (f"len({hits('txt', x)})" if x else "0" for x in (p.positive_signals, p.negative_signals))
+    enough = f"{good} >= 2" if p.positive_signals else "true"
+    caps = [(any_of("txt", c.patterns), c) for c in p.hard_caps if c.max_score <= 4]
+
+    def case(reject, dealbreaker, cap, target, adjacent) -> str:
+        low = " ".join(f"when {found} then {cap(c)}" for found, c in caps)
+        return f"""case when {any_of('title', p.reject_roles)} then {reject} when {any_of('txt', p.dealbreakers)} then {dealbreaker} {low}
+            when {any_of('title', p.target_roles)} and {enough} then {target} when {any_of('title', p.adjacent_roles)} and {good} >= 2 and {bad} = 0 then {adjacent} end"""
+
+    score = case(2, 2, lambda c: max(1, c.max_score), f"case when {good} >= 3 and {bad} = 0 then 9 else 8 end", 7)
+    rule = case("'reject_role'", "'dealbreaker'", lambda c: f"'hard_cap:{c.name or 'configured'}'", "'target_role_match'", "'adjacent_role_match'")
+    return f"select '{profile}' as profile, k, {score} as score, {rule} as rule from texts"
 
 
 @query(f"""
-    with phrases(profile, kind, ord, phrase) as (values {PHRASE_VALUES}), texts as (select {ID_SQL}, url || '#' || l_partkey || '#' || l_suppkey as k, title, {TEXT} as txt from postings where l_linenumber <= 2),
-    m as (select profile, k, kind from texts join phrases on contains(' ' || lower(regexp_replace(case when kind in ('target', 'adjacent', 'reject') then title else txt end, '{EDGE}', ' ', 'g')) || ' ', ' ' || regexp_replace(phrase, '{EDGE}', ' ', 'g') || ' ')),
-    c as (select profile, k, count(*) filter (kind = 'reject') as rj, count(*) filter (kind = 'dealbreaker') as db, count(*) filter (kind = 'target') as tg, count(*) filter (kind = 'adjacent') as aj, count(*) filter (kind = 'positive') as ps, count(*) filter (kind = 'negative') as ng from m group by all),
-    s as (select profile, k, case when rj > 0 or db > 0 then 2 when tg > 0 and ps >= 2 then case when ps >= 3 and ng = 0 then 9 else 8 end when aj > 0 and ps >= 2 and ng = 0 then 7 end as score from c)
-    select profile, score, count(distinct k) as postings from s where score is not null group by all""")
+    with texts as (select url || '#' || l_partkey || '#' || l_suppkey as k, title, {TEXT} as txt from postings),
+    s as ({" union all ".join(_profile_sql(k, p) for k, p in PROFILES.items())})
+    select profile, score, rule, count(distinct k) as postings from s where score is not null group by all""")
 def r11_score_many(spark, d):
-    phrases = spark.createDataFrame(PHRASES, "profile string, kind string, ord int, phrase string").withColumn("phrase", F.regexp_replace("phrase", EDGE, " "))
-    rows = B.postings(spark, d).where("l_linenumber <= 2").withColumn("k", F.concat_ws("#", "url", "l_partkey", "l_suppkey"))
+    rows = B.postings(spark, d).withColumn("k", F.concat_ws("#", "url", "l_partkey", "l_suppkey"))
     # the same key may stand on repeated rows: each is matched once
-    return rules.score_many(rows.dropDuplicates(["k"]), phrases, "k").groupBy("profile", "score").agg(F.count_distinct("k").alias("postings"))
+    found = rules.score_many(rows.dropDuplicates(["k"]), rules.phrase_table(spark, PROFILES), "k")
+    return found.groupBy("profile", "score", "rule").agg(F.count_distinct("k").alias("postings"))
 
 
 @query("""
@@ -255,10 +267,10 @@ def w3_digest_dedup(spark, d):
 
 
 @query("""
-    with l as (select *, lag(fit_score) over (order by fit_score desc, site, title, l_orderkey, l_linenumber, l_partkey, l_suppkey) as before from postings where fit_score >= 9)
-    select l_orderkey, l_linenumber, l_partkey, l_suppkey, fit_score, before is null or before <> fit_score as new_section, count(*) over (partition by fit_score) as group_size from l""")
+    with l as (select *, row_number() over (partition by fit_score order by site, title, l_orderkey, l_linenumber, l_partkey, l_suppkey) as before from postings)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, fit_score, before = 1 as new_section, count(*) over (partition by fit_score) as group_size from l""")
 def w7_section_breaks(spark, d):
-    rows = B.postings(spark, d).where("fit_score >= 9")
+    rows = B.postings(spark, d)
     return reports.with_breaks(rows, ["site", "title", *ID]).select(*ID, "fit_score", "new_section", "group_size")
 
 

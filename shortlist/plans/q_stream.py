@@ -53,7 +53,7 @@ def m2_ingest_within_watermark(spark, d):
 def m3_suppress_reposts(spark, d):
     """Postings of two batches; the second one's reposts are held back by the durable history."""
     base = scratch(spark, "m3")
-    rows = B.postings(spark, d).where("fit_score >= 9 and status = 'active'").select(*POSTING)
+    rows = B.postings(spark, d).select(*POSTING)
     schema = _as_files(rows, f"{base}/in", 2)
     jobs.suppress_reposts(jobs.source(spark, f"{base}/in", schema, files=1), f"{base}/history", f"{base}/out", f"{base}/cp", "url").awaitTermination()
     return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("sent"), F.count_distinct("url").alias("urls"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shortlist.operators.dedup import first_per_key
-from shortlist.operators.digest import HISTORY, split_by_history, upsert_history
+from shortlist.operators.digest import HISTORY, history_rows, split_by_history
 
 SINKS: dict[str, Callable[[DataFrame, str], None]] = {}
 
@@ -27,8 +27,8 @@ def register_sink(name: str):
 
 @register_sink("text")
 def to_text(lines: DataFrame, path: str) -> None:
-    """Append ordered digest lines as text files; one digest is one ordered file."""
-    lines.repartitionByRange(1, "place").sortWithinPartitions("place").select("line").write.mode("append").text(path)
+    """Append digest lines as text files in the order of ``place``: what stands in a later part file comes later."""
+    lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("append").text(path)
 
 
 @register_sink("parquet")
@@ -41,9 +41,23 @@ def source(spark: SparkSession, path: str, schema: T.StructType, files: int | No
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def stored(spark: SparkSession, path: str) -> list[str]:
+    """The folders or files at a path, by name; none where there is no such path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
 def enrich_stream(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Work on pending rows batch by batch until none is left; errors are rows of the result."""
-    return pending.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(path)).start()
+    """Work on pending rows batch by batch until none is left; errors are rows of the result.
+
+    Each batch has a folder of its own, so that a batch that is replayed replaces its rows.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return pending.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
 def ingest_deduplicated(rows: DataFrame, key: str, time: str, keep: str = "14 days") -> DataFrame:
@@ -52,43 +66,61 @@ def ingest_deduplicated(rows: DataFrame, key: str, time: str, keep: str = "14 da
     return stamped.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """First row per key over all time: each batch is checked against what is stored."""
+def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 64) -> StreamingQuery:
+    """First row per key over all time: each batch is checked against what earlier ones stored.
+
+    Rows lie in folders by a hash of their key and, in these, by batch: a batch reads
+    the keys of its own buckets alone, and replaces its rows when it is replayed.
+    """
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = first_per_key(batch, key, order)
-        try:
-            known = spark.read.parquet(path).select(key)
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        out = fresh.join(known, key, "left_anti").select(*batch.columns) if known is not None else fresh
-        out.write.mode("append").parquet(path)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        fresh = first_per_key(batch, key, order).withColumns({"bucket": bucket, "batch": F.lit(number)})
+        if stored(spark, path):
+            layout = T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+            met = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+            known = spark.read.schema(layout).parquet(path).where(F.col("bucket").isin(met) & (F.col("batch") < number)).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        writer = fresh.select(*batch.columns, "bucket", "batch").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
+        writer.mode("overwrite").parquet(path)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
 
 
-def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str) -> StreamingQuery:
+def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str, run: str = "") -> StreamingQuery:
     """Pass on postings whose fingerprints the durable history does not know, and add them to it.
 
-    The history is a versioned table: every batch writes the next version beside the
-    last one, so that a failed batch leaves the old version whole.
+    The history is a log: every batch adds the rows of what it sent, in a folder
+    named by run and batch, and a fingerprint in any folder but its own is known. So
+    a batch that is replayed gives the same rows again, and a new run (another
+    ``run`` with a checkpoint of its own) goes on with what earlier ones sent.
+    ``compact_history`` gives one row a fingerprint.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        history = spark.createDataFrame([], HISTORY_SCHEMA) if number == 0 else spark.read.schema(HISTORY_SCHEMA).parquet(f"{history_path}/v{number - 1}")
+        spark, name = batch.sparkSession, f"{run}{number}"
+        own = f"part={name}"
+        others = [f"{history_path}/{x}" for x in stored(spark, history_path) if x.startswith("part=") and x != own]
+        history = spark.read.schema(HISTORY_SCHEMA).parquet(*others) if others else spark.createDataFrame([], HISTORY_SCHEMA)
         fresh = split_by_history(batch, history, key).where(~F.col("seen"))
         # of postings that share a role in one batch the first goes out
         sent = first_per_key(fresh, "role_fp", [key]).select(*batch.columns)
-        sent.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        upsert_history(history, spark.read.schema(sent.schema).parquet(f"{out_path}/batch={number}"), F.col("scored_at").cast("timestamp")).write.mode("overwrite").parquet(f"{history_path}/v{number}")
+        sent.write.mode("overwrite").parquet(f"{out_path}/batch={name}")
+        back = spark.read.schema(sent.schema).parquet(f"{out_path}/batch={name}")
+        history_rows(back, F.col("scored_at").cast("timestamp")).write.mode("overwrite").parquet(f"{history_path}/{own}")
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
 
+def compact_history(spark: SparkSession, history_path: str) -> DataFrame:
+    """One row a fingerprint of a history log: first and last time, and the rest as last sent."""
+    log = spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{history_path}/{x}" for x in stored(spark, history_path) if x.startswith("part=")])
+    rest = F.max_by(F.struct(*HISTORY[3:]), F.struct("last_seen_at", "url"))
+    both = log.groupBy("fingerprint").agg(F.min("first_notified_at").alias("first_notified_at"), F.max("last_seen_at").alias("last_seen_at"), rest.alias("r"))
+    return both.select("fingerprint", "first_notified_at", "last_seen_at", *[F.col(f"r.{c}").alias(c) for c in HISTORY[3:]])
+
+
 HISTORY_SCHEMA = T.StructType([T.StructField(c, T.TimestampType() if c.endswith("_at") else T.IntegerType() if c == "fit_score" else T.StringType()) for c in HISTORY])
 
 

@@ -47,3 +47,22 @@ def test_unicode_boundaries(spark):
     df = spark.createDataFrame([("CAFÉ owner",), ("pythonic",), ("C++ dev",), (None,)], "t string")
     got = [tuple(r) for r in df.select(rules.contains_phrase(F.col("t"), "café"), rules.contains_phrase(F.col("t"), "python"), rules.contains_phrase(F.col("t"), "c++")).collect()]
     assert got == [(True, False, False), (False, False, False), (False, False, True), (False, False, False)]
+
+
+def test_many_profiles_score_as_one_by_one(spark):
+    profiles = {
+        "all": PREFS,
+        "no signals": Preferences(target_roles=["C++ developer", "data engineer"], hard_caps=[Cap(["unpaid"], 0), Cap(["night shift"], 4, "nights"), Cap(["travel"], 6)]),
+        "signals": Preferences(target_roles=["C++ developer"], positive_signals=["sql", "spark (core)"], reject_roles=["café owner"]),
+    }
+    titles = ["Data Engineer", "C++ developer", "C developer", "Analyst", "Café Owner", "intern data engineer", None]
+    texts = ["spark, SQL and C++", "unpaid night shift", "Spark (core) / sql", "night shift travel sql spark", None]
+    rows = [(i * len(texts) + j, t, None, None, x, None) for i, t in enumerate(titles) for j, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, title string, company string, location string, description string, full_description string")
+    for at_once in (20_000, 3):
+        many = {(r.profile, r.k): (r.score, r.rule) for r in rules.score_many(df, rules.phrase_table(spark, profiles), "k", at_once).collect()}
+        for name, prefs in profiles.items():
+            one = {r.k: r.r for r in rules.with_rule_result(df, prefs, "r").collect()}
+            for k, r in one.items():
+                assert many.get((name, k)) == ((r.score, r.rule) if r else None), (name, rows[k])
+    assert len(many) > 20
