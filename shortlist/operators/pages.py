@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 # --- native text functions ---------------------------------------------------
 
-#: All named entities of HTML 5, and what numeric ones below 160 stand for where that is no letter of their own.
+#: All named entities of HTML 5, those that need no semicolon, and what numeric ones below 160 stand for.
 NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
 NUMBERED = {str(n): entities.unescape(f"&#{n};") for n in range(160)}
 
 
@@ -25,18 +26,26 @@ def _known(table: dict[str, str]) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Named and numeric entities that end in a semicolon; what is none stays as it is."""
+    """Named and numeric entities as text; what is none stays as it is."""
     numbered, named = _known(NUMBERED), _known(NAMED)
+    bare_names = f"^({'|'.join(BARE)})"
 
     def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(name.startswith("#"), F.conv(F.substr(name, F.lit(2)), 10, 10))
-        number = digits.cast("long")
+        digits = F.regexp_extract(piece, "^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", 1)
+        number = F.when(digits.rlike("^[xX]"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
         odd = number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
         letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        text = F.when(name.startswith("#"), F.when(odd, "\ufffd").when(number < 160, F.try_element_at(numbered, number.cast("string"))).otherwise(letter)).otherwise(F.try_element_at(named, name))
-        kept = F.coalesce(F.concat(text, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
-        return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(kept)
+        by_number = F.when(odd, "\ufffd").when(number < 160, F.try_element_at(numbered, number.cast("string"))).otherwise(letter)
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(piece, bare_names, 1)
+        rest = lambda n: F.substr(piece, n + 1)
+        return F.when(digits != "", F.concat(by_number, rest(F.length(F.regexp_extract(piece, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 0))))).otherwise(
+            F.coalesce(
+                F.concat(F.try_element_at(named, name), rest(F.length(name) + 1)),
+                F.when(bare != "", F.concat(F.try_element_at(named, bare), rest(F.length(bare)))),
+                F.concat(F.lit("&"), piece),
+            )
+        )
 
     def whole(text: Column) -> Column:
         pieces = F.split(text, "&")

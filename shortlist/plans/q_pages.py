@@ -91,7 +91,8 @@ def h9_clean_content_html(spark, d):
     return P.clean_content_html(B.table(spark, d, "pages").select("page_id", "html"))
 
 
-DECODE = "replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+#: The entities that the pages hold; tests try others.
+DECODE = "regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 NO_SCRIPT = "regexp_replace(html, '(?is)<script[^>]*>.*?(</script>|$)|<style[^>]*>.*?(</style>|$)', '', 'g')"
 
 

@@ -163,7 +163,7 @@ def test_resolving_gives_reasons_and_application_urls(spark):
 def test_entities(spark):
     import html
 
-    for text in ("caf&eacute; &#8217;x &#x1F600; &amp;lt; a & b &nope; &frac12; &#128; &#0; &#xD800; &#1114112; R&D; &&amp;", "plain", "&NotEqualTilde;&#10;y"):
+    for text in ("caf&eacute; &#8217;x &#x1F600; &amp;lt; a & b &nope; &frac12; &#128; &#0; &#xD800; &#1114112; R&D; &&amp;", "plain", "&NotEqualTilde;&#10;y", "&amp &ampx; &copy2024 &notit; &#39x &#x41g &am &#; &#x;"):
         assert one(spark, pages.decode_entities(F.col("t")), t=text) == html.unescape(text)
     assert one(spark, pages.strip_html(F.col("t")), t="<p>caf&eacute;</p><script>let a = 1") == "café"
     assert one(spark, pages.html_to_lines(F.col("t")), t="<li>a&#8217;s<style>p {}") == "- a’s"
