@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The bytes of that white space.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,7 +46,29 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``staged`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def map_batches(df: DataFrame, run, names: list[str], kinds: list[str]) -> DataFrame:
+    """``mapInArrow`` for columns of any name: ``run`` finds and gives columns by position."""
+    safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds))
+
+    def numbered(batches):
+        for batch in run(batches):
+            yield batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
+
+    return safe.mapInArrow(numbered, schema).toDF(*names)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -71,6 +99,26 @@ def pieces(column, most_bytes: int = 16 << 20):
         yield start, values
 
 
+def sample_texts(docs: DataFrame, picked: DataFrame, most: int, max_chars: int) -> list[str]:
+    """Texts of the rows whose doc_id is ``picked``, for a fit on the driver.
+
+    The first ones by a hash of doc_id, at most ``most`` rows and ``max_chars``
+    characters; a text longer than a sixteenth of that is left aside.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= max_chars // 16)
+    sizes = texts.join(F.broadcast(picked), "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"))
+    left, ids = max_chars, set()
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(most).collect():
+        left -= r["size"]
+        if left < 0:
+            break
+        ids.add((r["doc_id"], r["text_hash"]))
+    wanted = docs.sparkSession.createDataFrame(sorted(ids), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long")
+    rows = texts.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "text_hash"]).select("doc_id", "text").distinct().collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
+    return [r["text"] for r in rows]
+
+
 # --- 64-bit hashes of byte ranges, vectorised -------------------------------
 
 
@@ -115,3 +163,15 @@ class RangeHash:
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int, step: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words [begin, end) of a buffer, which stand in order and apart, about ``step`` bytes at a time."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + step)))
+        base = begin[i]
+        out[i:j] = RangeHash(data[base : end[j - 1]], seed).of(begin[i:j] - base, end[i:j] - base)
+        i = j
+    return mix(out)

@@ -6,20 +6,24 @@ text with fewer words is one shingle of all its words; a text without words has
 an empty set and links with nothing). Shingles are 64-bit hashes.
 
 1. Documents with equal sets form a class; the least doc_id stands for it.
-2. Under any total order of shingles, two linked sets share one of their first
-   ``n - ceil(percent * n / 100) + 1`` shingles. Classes that share none leave.
-3. Rounds: each class goes to the bucket of its first shared shingle. A bucket,
+2. Linked sets differ in few shingles, so when hash ranges cut all shingles into
+   more parts than that, some part is equal in both: each set gives a signature a
+   part that it has shingles in (``part_signatures``). Classes that share none leave;
+   passages that many documents hold fill no part, so they bring few together.
+3. Rounds: each class goes to the bucket of its first shared signature. A bucket,
    in parts of at most ``part`` classes, is joined with itself by a signature
    tree: leaves hold bitmaps of sets, nodes the OR of their children's bitmaps and
    the range of sizes, and a traversal of node pairs drops a pair when the largest
    overlap that bitmaps and sizes allow is too small. Pairs already connected are
    skipped, the others are compared exactly. One class of each connected part goes
-   on to the next round, until every bucket is one part.
-4. Completion: every shared shingle of the prefixes is a bucket again, now with
-   frequent shingles last in the order, and only where its classes still differ in
-   component. The same trees give the pairs across components; their sets are
-   compared exactly. Buckets larger than ``part`` are cut by size into tiles, each
-   tile being joined with the tiles of reachable sizes, a part with a part at a time.
+   on to the next round, until every bucket is one part. Up to ``turns`` more rounds
+   take classes that still meet other components to another of their buckets, so
+   that few links are left for the pairs of the next step.
+4. Completion: every shared signature is a bucket again, where its classes still
+   differ in component. The same trees, and wide bitmaps where these leave a pair,
+   give the pairs across components; their sets are compared exactly. Buckets larger
+   than ``part`` are cut by size into tiles, each tile being joined with the tiles of
+   reachable sizes, a part with a part at a time.
 5. Components come from the links by repeated least-label contraction.
 
 Nothing is capped: every pair that can reach the threshold is in some bucket.
@@ -39,22 +43,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mix, pieces, staged
+from .common import BLANK, mix, pieces, release, staged, word_hashes
 
 #: Characters of text that are hashed at a time.
 PIECE = 3 << 19
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [t.encode().lower() for t in texts]
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    blank = _BLANK[data]
+    blank = BLANK[data]
     word = np.flatnonzero(np.diff(np.concatenate([[1], blank, [1]]).astype(np.int8)))
     begin, end = word[0::2], word[1::2]
-    own = mix(RangeHash(data, 31).of(begin, end))
+    own = word_hashes(data, begin, end, 31)
     stops = np.cumsum([len(r) + 1 for r in raw])
     last = np.searchsorted(begin, stops, "left")
     sets, at = [], 0
@@ -71,35 +73,94 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return sets
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def _run_digests(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each run of values."""
+    return np.add.reduceat(mix(values + np.uint64(1)), starts), np.bitwise_xor.reduceat(mix(values * np.uint64(3)), starts)
 
 
-def _digest(values: np.ndarray) -> tuple[int, int]:
-    if not len(values):
-        return 0, 0
-    a, b = mix(values + np.uint64(1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(values * np.uint64(3)))
-    return int(a.view(np.int64)), int(b.view(np.int64))
+def bands(most: int) -> np.ndarray:
+    """The least size of each band of sizes, each half as large again as the one before."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, -(-3 * out[-1] // 2)))
+    return np.array(out)
+
+
+def part_signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """For each non-empty sorted set signatures of which linked sets share one.
+
+    A pair whose larger set has a size in band k meets in scheme k. With u the
+    greatest size of the band, linked sets of a and b differ in at most
+    (a + b) (100 - percent) / (100 + percent) <= 2 u (100 - percent) / (100 + percent)
+    shingles; the scheme cuts the hashes into more parts, so that some are equal. A
+    set with so many empty parts that all equal ones may be empty gives the shingles
+    of its prefix instead, in order of hash; so does its partner, and of these
+    linked sets share one.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if not sizes.sum():
+        return [np.zeros(0, np.uint64) for _ in sets]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    edge = bands(int(100 * sizes.max() // percent) + 1)
+    low = np.searchsorted(edge, sizes, "right") - 1
+    high = np.searchsorted(edge, 100 * sizes // percent, "right") - 1
+    for step in range(int((high - low)[sizes > 0].max()) + 1):
+        band = low + step
+        live = (sizes > 0) & (band <= high)
+        most = edge[np.minimum(band, len(edge) - 2) + 1] - 1
+        apart = 2 * most * (100 - percent) // (100 + percent)
+        parts = np.where(apart > 0, apart + apart // 20 + 4 + np.sqrt(apart).astype(np.int64), 1)
+        keep = live[owner]
+        own, values = owner[keep], flat[keep]
+        place = ((values >> np.uint64(32)) * parts[own].astype(np.uint64)) >> np.uint64(32)
+        cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1])]))
+        scheme = mix(band[own[cut]].astype(np.uint64) + np.uint64(101))
+        made = mix(np.add.reduceat(mix(values * np.uint64(5) + np.uint64(9)), cut) + scheme + place[cut] * np.uint64(0x9E3779B97F4A7C15))
+        filled = np.bincount(own[cut], minlength=len(sets))
+        bound = (sizes + np.minimum(most, 100 * sizes // percent)) * (100 - percent) // (100 + percent)
+        odd = live & (filled <= bound)
+        for k, group in zip(np.flatnonzero(filled).tolist(), np.split(made, np.cumsum(filled[filled > 0])[:-1]), strict=True):
+            out[k].append(group)
+        for k in np.flatnonzero(odd).tolist():
+            n = int(sizes[k])
+            out[k].append(mix(sets[k][: n - -(-percent * n // 100) + 1] + mix(np.uint64(band[k] + 7001) * np.ones(1, np.uint64))))
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set, 0 for an empty one."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = np.zeros((2, len(sets)), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        both[:, full] = _run_digests(np.concatenate(sets), starts)
+    return both[0].view(np.int64), both[1].view(np.int64)
 
 
 def profiles(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, shingles): the size and digest of each set, and the shingles of its prefix."""
+    """(doc_id, n, d1, d2, signatures): the size and digests of each set, and its signatures, once for equal sets that meet."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema["doc_id"].dataType
     last = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shingles", last)])
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signatures", last)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in pieces(batch.column("text"), PIECE):
                 found = shingle_sets(texts, width)
-                digests = [_digest(x) for x in found]
-                prefixes = [x[: prefix_length(len(x), percent)].view(np.int64) for x in found]
-                cols = [pa.array([len(x) for x in found], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(prefixes, last)]
+                digests = _digests(found)
+                first = np.zeros(len(found), bool)
+                first[np.unique(digests[0], return_index=True)[1]] = True
+                made = part_signatures([x if f else x[:0] for x, f in zip(found, first.tolist(), strict=True)], percent)
+                flat, sizes = np.concatenate(made).view(np.int64), np.array([len(x) for x in made])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                cols = [pa.array([len(x) for x in found], pa.int64()), *map(pa.array, digests), lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *cols], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, d1 long, d2 long, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, d1 long, d2 long, signatures array<bigint>")
 
 
 def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -151,10 +212,33 @@ class Bitmaps:
         self.sizes, self.words = sizes, words
         self.excess = sizes - np.bitwise_count(words).sum(axis=1).astype(np.int64)
 
+    def can_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the pairs of rows (i, j) may reach the threshold."""
+        a, b = self.sizes[i], self.sizes[j]
+        shared = np.bitwise_count(self.words[i] & self.words[j]).sum(axis=1).astype(np.int64)
+        return _can_link(np.minimum(shared + np.minimum(self.excess[i], self.excess[j]), np.minimum(a, b)), a, b, percent)
+
+
+def bitmap_words(n: int, bits: int = 2, most: int = 1 << 12) -> int:
+    """64-bit words of the bitmap of a set of n: a power of two with ``bits`` bits a shingle, or ``most``."""
+    return min(most, max(1, 1 << max(0, math.ceil(bits * n / 64) - 1).bit_length()))
+
+
+#: Up to so many shingles a bitmap of 2**16 bits travels as the numbers of its bits, two bytes each.
+SPARSE = 1 << 13
 
-def bitmap_words(n: int) -> int:
-    """64-bit words of the bitmap of a set of n: a power of two with two bits a shingle."""
-    return max(1, 1 << max(0, math.ceil(2 * n / 64) - 1).bit_length())
+
+def wide_bits(values: np.ndarray) -> bytes:
+    """A wide bitmap of a set, for a pair that narrow ones do not rule out."""
+    return np.unique(values.astype("<u2")).tobytes() if len(values) <= SPARSE else bitmap(values, bitmap_words(len(values), 8)).tobytes()
+
+
+def wide_bitmap(n: int, raw: bytes) -> np.ndarray:
+    if n > SPARSE:
+        return np.frombuffer(raw, np.uint64)
+    out = np.zeros(1 << 16, np.uint8)
+    out[np.frombuffer(raw, "<u2")] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 def bitmap(values: np.ndarray, words: int) -> np.ndarray:
@@ -213,10 +297,9 @@ def tree_pairs(maps: Bitmaps, labels: np.ndarray, percent: int, split: int | Non
             keep = (labels[i] != labels[j]) & ((i < j) if x is y else True)
             a, b = maps.sizes[i], maps.sizes[j]
             keep &= (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+            i, j = i[keep], j[keep]
             if len(i):
-                shared = np.bitwise_count(maps.words[i] & maps.words[j]).sum(axis=1).astype(np.int64)
-                good = _can_link(np.minimum(shared + np.minimum(maps.excess[i], maps.excess[j]), np.minimum(a, b)), a, b, percent)
+                good = maps.can_link(i, j, percent)
                 if good.any():
                     yield i[good], j[good]
 
@@ -229,12 +312,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The first row (in order of size) of each row's component within one part of a bucket."""
+def _connect(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> np.ndarray:
+    """The first row (in order of size) of each row's component within one part of a bucket; equal labels are connected."""
     sizes = np.array([len(s) for s in sets])
     words = bitmap_words(int(sizes[-1]))
     maps = Bitmaps(sizes, np.stack([bitmap(s, words) for s in sets]))
-    root = np.arange(len(sets))
+    root = np.unique(labels, return_index=True, return_inverse=True)
+    root = root[1][root[2]]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -242,7 +326,7 @@ def _connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
             i = root[i]
         return i
 
-    for left, right in tree_pairs(maps, np.arange(len(sets)), percent):
+    for left, right in tree_pairs(maps, labels, percent):
         for i, j in zip(left.tolist(), right.tolist(), strict=True):
             a, b = find(i), find(j)
             if a != b and linked(sets[i], sets[j], percent):
@@ -272,49 +356,44 @@ def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 # --- the join ----------------------------------------------------------------
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Rows (token, rep, ..) whose token another rep has too, with its number of reps."""
-    counts = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("reps")).where("reps > 1")
-    return prefixes.join(counts, "token")
+def _shared(signed: DataFrame) -> DataFrame:
+    """(token, d1, reps): rows (token, d1) whose token other sets have too, with the number of its sets; one shuffle, read twice."""
+    once = signed.repartition("token").groupBy("token", "d1").agg(F.lit(1).alias("one"))
+    counts = once.groupBy("token").agg(F.count(F.lit(1)).alias("reps")).where("reps > 1")
+    return once.join(counts.hint("shuffle_hash"), "token").select("token", "d1", "reps")
 
 
-def _round(sets: DataFrame, percent: int, part: int) -> DataFrame:
-    """(bucket, reps, rep, n, shingles) -> (rep, root): the reps of each part of a bucket, connected by its signature tree."""
+def _round(sets: DataFrame, percent: int, part: int, turn: int = 0) -> DataFrame:
+    """(bucket, reps, rep, label, n, shingles) -> links (label, root) in each part of a bucket, connected by its signature tree."""
     parts = F.ceil(F.col("reps") / part).cast("int")
-    rows = sets.where("reps > 1").select("bucket", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), "rep", "n", "shingles")
+    rows = sets.where("reps > 1").select("bucket", F.pmod(F.xxhash64("rep", F.lit(turn)), parts).cast("int").alias("part"), "rep", "label", "n", "shingles")
     kind = sets.schema["rep"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(frames, ["bucket", "part"]):
-            own = [np.frombuffer(b, "<u8") for b in group["shingles"]]
-            root = _connect(own, percent)
-            reps = group["rep"].to_numpy()
-            least: dict[int, object] = {}
-            for r, rep in zip(root.tolist(), reps, strict=True):
-                least[r] = min(least.get(r, rep), rep)
-            yield pd.DataFrame({"rep": reps, "root": [least[r] for r in root.tolist()]})
+            names, labels = np.unique(group["label"].to_numpy(), return_inverse=True)
+            if len(names) < 2:
+                continue
+            root = _connect([np.frombuffer(b, "<u8") for b in group["shingles"]], labels, percent)
+            least: dict[int, int] = {}
+            for r, label in zip(root.tolist(), labels.tolist(), strict=True):
+                least[r] = min(least.get(r, label), label)
+            links = {(label, least[r]) for r, label in zip(root.tolist(), labels.tolist(), strict=True) if least[r] != label}
+            if links:
+                one, two = map(list, zip(*sorted(links), strict=True))
+                yield pd.DataFrame({"label": names[one], "root": names[two]})
 
     ordered = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "n", "rep")
-    return ordered.mapInPandas(run, f"rep {kind}, root {kind}").where("rep != root").distinct()
+    return ordered.mapInPandas(run, f"label {kind}, root {kind}").distinct()
 
 
-def _heavy_last(shared: DataFrame, sets: DataFrame, percent: int, heavy: DataFrame) -> DataFrame:
-    """(token, rep): the shared prefixes, those with frequent shingles anew in the order that has these last."""
-    touched = shared.join(heavy, "token", "left_semi").select("rep").distinct()
-    same = shared.join(touched, "rep", "left_anti").select("token", "rep")
-    kind = sets.schema["rep"].dataType.simpleString()
-
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for rep, n, raw in zip(frame["rep"], frame["n"], frame["shingles"], strict=True):
-                yield pd.DataFrame({"rep": rep, "n": n, "token": np.frombuffer(raw, "<i8"), "at": np.arange(n)})
-
-    every = sets.join(touched, "rep", "left_semi").select("rep", "n", "shingles").mapInPandas(spread, f"rep {kind}, n long, token long, at long")
-    marked = every.join(heavy.withColumn("heavy", F.lit(1)), "token", "left").withColumn("turn", F.coalesce("heavy", F.lit(0)) * (1 << 40) + F.col("at"))
-    ranked = marked.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("turn", "token"))).alias("order"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("long") + 1
-    moved = ranked.select("rep", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("x")).select("rep", "n", F.col("x.token").alias("token"))
-    return same.unionByName(moved.select("token", "rep")).distinct()
+def _labelled(shared: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(token, rep, n, label) of the shared tokens whose classes differ in component, by the links so far."""
+    so_far = components(links).withColumnRenamed("node", "rep")
+    labels = sets.select("rep", "n").distinct().join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members = shared.select("token", "rep").distinct().join(labels, "rep")
+    mixed = members.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    return staged(members.join(mixed.select("token"), "token", "left_semi"), "members")
 
 
 def _blocks(n: Column) -> Column:
@@ -377,58 +456,42 @@ def _across(members: DataFrame, maps: DataFrame, percent: int, part: int) -> Dat
                     continue
                 group, split = pd.concat([group[group["side"] == 1], group[group["side"] == 0]]), guests
             sizes = group["n"].to_numpy()
-            raw = [np.frombuffer(b, np.uint64) for b in group["bits"]]
+            raw = [wide_bitmap(n, b) for n, b in zip(sizes.tolist(), group["bits"], strict=True)]
             words = min(map(len, raw))
-            made = Bitmaps(sizes, np.stack([fold(r, words) for r in raw]))
+            wide = Bitmaps(sizes, np.stack([fold(r, words) for r in raw]))
+            narrow = bitmap_words(int(sizes.max()))
+            narrow = Bitmaps(sizes, np.stack([fold(r, min(narrow, words)) for r in wide.words]))
             reps = group["rep"].to_numpy()
-            for i, j in tree_pairs(made, group["label"].to_numpy(), percent, split):
-                yield pd.DataFrame({"a": np.minimum(reps[i], reps[j]), "b": np.maximum(reps[i], reps[j])})
+            left = []
+            for i, j in tree_pairs(narrow, group["label"].to_numpy(), percent, split):
+                good = wide.can_link(i, j, percent)
+                left.append((reps[i[good]], reps[j[good]]))
+            if left:
+                one, two = map(np.concatenate, zip(*left, strict=True))
+                yield pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two)})
 
     ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "side", "n", "rep")
     return ordered.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def _pairwise(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose ``values`` (rep, n, value) pass ``test(n_a, value_a, n_b, value_b)``."""
-    left = values.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("value").alias("va"))
-    right = values.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("value").alias("vb"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, small: int = 500_000) -> DataFrame:
+    """The pairs that the exact test links; the ids of few pairs are broadcast, so that only the sets that they need are shuffled."""
+    needed = sets.select("rep", "n", "shingles")
+    if pairs.count() <= small:
+        ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        needed = needed.join(F.broadcast(ids), "rep", "left_semi")
+    left = needed.select(F.col("rep").alias("a"), F.col("shingles").alias("va"))
+    right = needed.select(F.col("rep").alias("b"), F.col("shingles").alias("vb"))
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = [test(*row) for row in zip(frame["na"], frame["va"], frame["nb"], frame["vb"], strict=True)]
+            good = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(frame["va"], frame["vb"], strict=True)]
             yield frame.loc[np.array(good, bool), ["a", "b"]]
 
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, small: int = 500_000) -> DataFrame:
-    """The pairs that the exact test links.
-
-    Bitmaps eight times as wide as the trees' refute nearly all others first, so
-    that few whole sets travel. The ids of few pairs are broadcast, so that only
-    what they need is shuffled.
-    """
-
-    def needed(of: DataFrame) -> DataFrame:
-        own = sets.select("rep", "n", F.col("shingles").alias("value"))
-        if of.count() > small:
-            return own
-        ids = of.select(F.col("a").alias("rep")).unionByName(of.select(F.col("b").alias("rep"))).distinct()
-        return own.join(F.broadcast(ids), "rep", "left_semi")
-
-    def may_link(na: int, va: bytes, nb: int, vb: bytes) -> bool:
-        x, y = np.frombuffer(va, np.uint64), np.frombuffer(vb, np.uint64)
-        words = min(len(x), len(y))
-        maps = Bitmaps(np.array([na, nb]), np.stack([fold(x, words), fold(y, words)]))
-        shared = int(np.bitwise_count(maps.words[0] & maps.words[1]).sum())
-        return bool(_can_link(min(na, nb, shared + int(maps.excess.min())), na, nb, percent))
-
-    wide = _bitmaps(needed(pairs).select("rep", "n", F.col("value").alias("shingles")), 8).withColumnRenamed("bits", "value")
-    near = staged(_pairwise(pairs, wide, may_link), "near-pairs")
-    return _pairwise(near, needed(near), lambda na, va, nb, vb: linked(np.frombuffer(va, "<u8"), np.frombuffer(vb, "<u8"), percent))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): the least node of each component, by least-label contraction."""
     labels = None
@@ -454,31 +517,42 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", F.col("to").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: int = 512, turns: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, set_first (the doc_id that stands for its set)."""
-    own = staged(profiles(docs, width, percent), "profiles")
+    signed = staged(profiles(docs, width, percent), "profiles")
+    own = staged(signed.drop("signatures"), "digests")
     digest = ["n", "d1", "d2"]
-    classes = own.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.any_value("shingles").alias("prefix")).where("rep is not null")
-    shared = staged(_shared(classes.select("rep", F.explode("prefix").alias("token"))), "shared")
-    # a class goes to its first shared shingle; texts are read again rather than all sets kept
+    classes = own.where("n > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    # equal sets have equal d1; the classes of a token are found before their least doc_ids travel
+    tokens = staged(_shared(signed.select(F.explode("signatures").alias("token"), "d1")), "tokens")
+    release(signed)
+    shared = staged(tokens.join(classes.select("d1", "rep"), "d1").select("token", "rep", "reps"), "shared")
+    release(tokens)
+    # a class goes to its first shared signature; texts are read again rather than all sets kept
     first = shared.groupBy("rep").agg(F.min("token").alias("bucket"))
     counts = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps"))
-    sets = staged(_sets(docs, first.join(counts, "bucket"), width), "sets")
+    sets = staged(_sets(docs, first.join(counts, "bucket"), width).withColumn("label", F.col("rep")), "sets")
     found = staged(_round(sets, percent, part), "round")
     joined, large = found, sets.where(F.col("reps") > part)
     while not found.isEmpty() and not large.isEmpty():
         # one class of each connected part of a large bucket goes on
-        live = large.drop("reps").join(joined.select("rep"), "rep", "left_anti")
+        live = large.drop("reps").join(joined.select(F.col("label").alias("rep")), "rep", "left_anti")
         left = live.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps"))
         live = staged(live.join(left, "bucket"), "live")
         found = staged(_round(live, percent, part), "round")
         joined, large = joined.unionByName(found), live.where(F.col("reps") > part)
-    links = joined.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    so_far = components(links).withColumnRenamed("node", "rep")
-    labelled = sets.select("rep", "n").distinct().join(so_far, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    heavy = staged(shared.where(F.col("reps") > part).select("token").distinct(), "heavy")
-    order = shared.select("token", "rep").distinct() if heavy.isEmpty() else _heavy_last(shared, sets, percent, heavy)
-    members = staged(order.join(labelled, "rep"), "prefixes")
+    links = joined.select(F.col("label").alias("a"), F.col("root").alias("b"))
+    members = _labelled(shared, sets, links)
+    for turn in range(1, turns + 1):
+        # another bucket for each class that still meets other components
+        other = members.groupBy("rep").agg(F.min(F.struct(F.xxhash64("token", F.lit(turn)).alias("chance"), "token"))["token"].alias("bucket"), F.min("label").alias("label"))
+        sizes = other.groupBy("bucket").agg(F.count(F.lit(1)).alias("reps"))
+        found = staged(_round(sets.select("rep", "n", "shingles").join(other.join(sizes, "bucket"), "rep"), percent, part, turn), "round")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found.select(F.col("label").alias("a"), F.col("root").alias("b")))
+        release(members)
+        members = _labelled(shared, sets, links)
     pairs = staged(_across(members, _bitmaps(sets).drop("n"), percent, part), "pairs")
     links = links.unionByName(_verified(pairs, sets, percent))
     final = components(links).withColumnRenamed("node", "rep")
@@ -489,13 +563,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), *found)
 
 
-def _bitmaps(sets: DataFrame, times: int = 1) -> DataFrame:
-    """(rep, n, bits) of (rep, n, shingles); ``times`` widens the bitmaps."""
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(rep, n, bits) of (rep, n, shingles): the wide bitmaps."""
     kind = sets.schema["rep"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            bits = [bitmap(np.frombuffer(b, "<u8"), times * bitmap_words(n)).tobytes() for b, n in zip(frame["shingles"], frame["n"], strict=True)]
-            yield pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "bits": bits})
+            yield pd.DataFrame({"rep": frame["rep"], "n": frame["n"], "bits": [wide_bits(np.frombuffer(b, "<u8")) for b in frame["shingles"]]})
 
     return sets.select("rep", "n", "shingles").mapInPandas(run, f"rep {kind}, n long, bits binary")
