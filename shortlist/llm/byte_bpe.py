@@ -28,7 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import mix, pieces
+from .common import map_batches, mix, pieces
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -218,37 +218,37 @@ class ByteBPE:
 
 def encode(docs: DataFrame, bpe: ByteBPE, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``token_ids`` (array of int) for ``text``; ``keep`` names the other columns to carry on."""
-    keep = [c for c in docs.columns if c != "token_ids"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(bpe)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "token_ids array<int>"])
+    fields = [(i, f) for i, f in enumerate(docs.schema) if (f.name != "token_ids" if keep is None else f.name in keep)]
+    place, kept = docs.columns.index(text), [i for i, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
-            for start, texts in pieces(batch.column("__text")):
+            for start, texts in pieces(batch.column(place)):
                 ids = [pa.array(coder.encode(t).astype(np.int32), pa.int32()) for t in texts]
-                part = batch.slice(start, len(texts)).select(keep)
+                part = batch.slice(start, len(texts))
                 sizes = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(sizes), pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*keep, "token_ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), column], [str(i) for i in range(len(kept) + 1)])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, out)
+    return map_batches(docs, run, [*(f.name for _, f in fields), "token_ids"], [*(f.dataType.simpleString() for _, f in fields), "array<int>"])
 
 
 def decode(encoded: DataFrame, bpe: ByteBPE, ids: str = "token_ids") -> DataFrame:
     """Add ``decoded`` (binary) for an array of ids; null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(bpe)
-    names = [c for c in encoded.columns if c != "decoded"]
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*names).schema), "decoded binary"])
+    fields = [(i, f) for i, f in enumerate(encoded.schema) if f.name != "decoded"]
+    place, kept = encoded.columns.index(ids), [i for i, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
-            texts = [x.values.to_numpy() if x.is_valid else None for x in batch.column(ids)]
+            texts = [x.values.to_numpy() if x.is_valid else None for x in batch.column(place)]
             made = pa.array([None if x is None else coder.decode(x) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), made], [str(i) for i in range(len(kept) + 1)])
 
-    return encoded.select(*names).mapInArrow(run, out)
+    return map_batches(encoded, run, [*(f.name for _, f in fields), "decoded"], [*(f.dataType.simpleString() for _, f in fields), "binary"])
 
 
 def round_trip(docs: DataFrame, bpe: ByteBPE) -> DataFrame:

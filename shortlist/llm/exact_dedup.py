@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, staged
 
-LAST = 2**63 - 1
-
 
 def normalised(name: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), SPACE, " ")
@@ -33,7 +31,7 @@ def decide(digests: DataFrame, max_hot: int = 1000, counters: int = 20_000) -> D
 
     ``digests`` is read several times: pass a staged table.
     """
-    rank = F.coalesce("doc_id", F.lit(LAST))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id")
     measures = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min_by("row_key", rank).alias("winner")]
     summary = digests.agg(F.expr(f"approx_top_k(hex(digest), {max_hot}, {counters})").alias("top"))
     candidates = summary.select(F.explode("top").alias("c")).where(F.col("c.count") > 1).select(F.unhex("c.item").alias("digest"))
@@ -68,4 +66,4 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     keyed = staged(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
     digests = keyed.select(F.col(name).alias("row_key"), "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
     kept = decide(staged(digests, "digests")).where("kept").select(F.col("row_key").alias(name))
-    return keyed.join(kept, name, "left_semi").select(*docs.columns)
+    return keyed.join(kept, name, "left_semi").drop(name)

@@ -12,7 +12,7 @@ doc_id by one shuffle: documents are dealt to buckets by ranges of doc_id, and t
 first document of each bucket is sent to the bucket above it as well (the very
 first one to the lowest). What the driver sees is one id for each bucket.
 
-Null texts are empty; an empty bag has the empty fingerprint, alike to itself (1)
+doc_ids are whole numbers. Null texts are empty; an empty bag has the empty fingerprint, alike to itself (1)
 and unlike any other (0). Null doc_ids come last; repeated ids are ordered by a
 hash of their text. A single document is its own neighbour. An empty table gives
 an empty result. Other columns are left alone.

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, word_count
+from .common import SPACE, staged, word_count
 
 def targets(sizes: DataFrame, share: float, most: float, weights: list[float]) -> DataFrame:
     """(source, source_size) -> the same with target: shares by weight, capped, the excess shared again.
@@ -148,12 +148,18 @@ def mix(
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
-    """The mixed rows with their documents, shard and position: one for each draw of at least half of the document.
+    """The mixed rows with their documents, ``shard``, ``position`` and ``whole``: one for each draw.
+
+    The last draw of a source may be cut: its text is then the first words of the
+    document, one blank apart, and ``whole`` is false; so the words of the rows are
+    those that ``taken`` counts.
 
     Rows are in order of shard and position, over and within partitions, so files
     written from them hold the shards one after the other, each shuffled.
     """
-    draws = mixed.select(key, F.explode(F.filter("places", lambda x: 2 * x["words"] >= F.col("size"))).alias("place"))
-    placed = docs.join(draws.select(key, "place.shard", "place.position"), key)
-    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(files, "shard", "position").sortWithinPartitions("shard", "position", key)
+    draws = mixed.select(key, "size", F.explode("places").alias("place"))
+    parts = draws.select(key, "place.shard", "place.position", F.col("place.words").alias("mix_words"), (F.col("place.words") == F.col("size")).alias("whole"))
+    placed = docs.join(parts, key)
+    first = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), F.lit(1), F.col("mix_words").cast("int")), " ")
+    cut = placed.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(first)).drop("mix_words")
+    return cut.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position", key)
