@@ -245,7 +245,7 @@ def parse(html: str | None) -> Node:
 #: A selector is (tag or '', attribute or '', how, value): how is '=', '*=' or 'word'.
 Selector = tuple[str, str, str, str]
 DESCRIPTION_SELECTORS: list[Selector] = [("", "id", "=", "job-description"), ("", "class", "word", "job-description"), ("", "class", "*=", "job-description"), ("", "data-testid", "*=", "description"), ("article", "class", "*=", "job")]
-APPLY_SELECTORS: list[Selector] = [("a", "href", "*=", "apply"), ("a", "class", "*=", "apply"), ("a", "data-testid", "*=", "apply"), ("a", "aria-label", "*=", "pply")]
+APPLY_SELECTORS: list[Selector] = [("a", "href", "*=", "apply"), ("a", "class", "*=", "apply"), ("a", "data-testid", "*=", "apply"), ("a", "aria-label", "*=", "pply"), ("button", "class", "*=", "apply"), ("button", "data-testid", "*=", "apply")]
 # fixed values: where the main part of a page is looked for (main, article, [role="main"], #content, .content)
 MAIN_SELECTORS: list[Selector] = [("main", "", "", ""), ("article", "", "", ""), ("", "role", "=", "main"), ("", "id", "=", "content"), ("", "class", "word", "content")]
 
@@ -316,6 +316,10 @@ def apply_url_of(top: Node, selectors: list[Selector]) -> str | None:
         node = next(select(top, s), None)
         if node and node.attrs.get("href") not in (None, "", "#"):
             return node.attrs["href"]
+        if node and node.tag == "button":  # its link may stand beside it
+            beside = next((n.attrs["href"] for n in select(node.parent, ("a", "href", "*=", "")) if n.attrs["href"]), None)
+            if beside:
+                return beside
     for node in select(top, ("a", "", "", "")):
         text, href = node.text().strip().lower(), node.attrs.get("href", "")
         if "apply" in text and len(text) < 50 and href not in ("", "#") and "javascript:" not in href:

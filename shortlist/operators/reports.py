@@ -68,9 +68,14 @@ def dashboard_totals(df: DataFrame, high: int = 7) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(ready).alias("ready"), F.count_if(F.col("fit_score").isNotNull()).alias("scored"), F.count_if(F.col("fit_score") >= high).alias("high_fit"))
 
 
-def discovery_totals(results: DataFrame) -> DataFrame:
-    """Sums over searches by source, and over all (a null source)."""
-    return results.rollup("source").agg(F.sum("new").alias("new"), F.sum("existing").alias("existing"), F.sum("errors").alias("errors"))
+def discovery_totals(results: DataFrame, *by: str) -> DataFrame:
+    """Sums over searches by source (or ``by``: employer and query, say), and over all (nulls)."""
+    return results.rollup(*(by or ["source"])).agg(F.sum("new").alias("new"), F.sum("existing").alias("existing"), F.sum("errors").alias("errors"))
+
+
+def batch_counts(batch: DataFrame, by: str = "site") -> DataFrame:
+    """How many rows of a batch come from each site, the fullest first."""
+    return batch.groupBy(by).agg(F.count(F.lit(1)).alias("postings")).orderBy(F.col("postings").desc(), F.col(by).asc_nulls_last())
 
 
 def usage_totals(ledger: DataFrame, *by: str) -> DataFrame:

@@ -17,11 +17,11 @@ def listed(items: Column, empty: str = "not specified") -> Column:
 
 
 def score_requests(postings: DataFrame, profiles: DataFrame, key: str, cut: int = 6000) -> DataFrame:
-    """One request per undecided posting and profile; ``profiles`` is a small table of candidates."""
+    """One request per undecided posting and profile (Spark broadcasts the profiles if they are few)."""
     posting = F.concat_ws("\n", F.concat(F.lit("TITLE: "), F.coalesce("title", F.lit("N/A"))), F.concat(F.lit("COMPANY: "), F.coalesce("company", "site", F.lit("N/A"))), F.concat(F.lit("LOCATION: "), F.coalesce("location", F.lit("N/A"))), F.concat(F.lit("DESCRIPTION: "), F.substring(F.coalesce("full_description", F.lit("")), 1, cut)))
     summary = F.concat(F.lit("Target role: "), first_non_empty_or("target_role"), F.lit("\nSkills: "), listed(F.col("skills")))
     small = profiles.select("profile", summary.alias("candidate"))
-    return postings.select(key, posting.alias("posting")).crossJoin(F.broadcast(small)).select("profile", key, F.concat("candidate", F.lit("\n\n"), "posting").alias("request"))
+    return postings.select(key, posting.alias("posting")).crossJoin(small).select("profile", key, F.concat("candidate", F.lit("\n\n"), "posting").alias("request"))
 
 
 def first_non_empty_or(*names: str, empty: str = "not specified") -> Column:
@@ -36,6 +36,14 @@ def template_requests(rows: DataFrame, template: str, columns: dict[str, Column]
     return rows.select(key, text.alias("request"))
 
 
+def cover_requests(rows: DataFrame, instructions: str, resume: str, key: str, notes: Column | None = None, cut: int = 6000) -> DataFrame:
+    """Letter requests: instructions (with the last five notes of failed attempts), resume and posting."""
+    listed_notes = F.array_join(F.transform(F.slice(notes, F.greatest(F.lit(1), F.size(notes) - 4), 5), lambda n: F.concat(F.lit("- "), n)), "\n") if notes is not None else F.lit("")
+    head = F.when(F.coalesce(listed_notes, F.lit("")) != "", F.concat(F.lit(instructions + "\nAVOID:\n"), listed_notes)).otherwise(instructions)
+    posting = F.concat_ws("\n", F.concat(F.lit("TITLE: "), F.coalesce("title", F.lit("N/A"))), F.concat(F.lit("COMPANY: "), F.coalesce("site", F.lit("N/A"))), F.concat(F.lit("LOCATION: "), F.coalesce("location", F.lit("N/A"))), F.concat(F.lit("DESCRIPTION: "), F.substring(F.coalesce("full_description", F.lit("")), 1, cut)))
+    return rows.select(key, F.concat_ws("\n\n", head, F.lit("RESUME:\n" + resume), posting).alias("request"))
+
+
 def judge_requests(original: DataFrame, tailored: DataFrame, key: str, skills: list[str], metrics: list[str]) -> DataFrame:
     text = F.concat_ws("\n", F.lit("ALLOWED SKILLS: " + (", ".join(skills) or "N/A")), F.lit("METRICS: " + (", ".join(metrics) or "N/A")), F.lit("ORIGINAL:"), F.col("original"), F.lit("TAILORED:"), F.col("tailored"))
     return original.join(tailored, key).select(key, text.alias("request"))
@@ -165,6 +173,14 @@ def resolve_attempts(attempts: DataFrame, key: str, max_retries: int, lenient: b
     return known.groupBy(key).agg(F.coalesce(first, F.lit("exhausted_retries")).alias("outcome"), F.coalesce(stop, F.max("attempt")).alias("attempts_used"))
 
 
+def resolve_letters(attempts: DataFrame, key: str, max_retries: int) -> DataFrame:
+    """(key, attempt, valid, letter) -> (key, letter, passed, attempts_used): the first valid letter, else the last one tried."""
+    known = attempts.where(F.col("attempt") <= max_retries + 1)
+    good = F.when(F.coalesce("valid", F.lit(False)), F.col("attempt"))
+    first = F.min(good)
+    return known.groupBy(key).agg(F.coalesce(F.min_by("letter", good), F.max_by("letter", "attempt")).alias("letter"), first.isNotNull().alias("passed"), F.coalesce(first, F.max("attempt")).alias("attempts_used"))
+
+
 def record_attempts(postings: DataFrame, outcomes: DataFrame, key: str, at: Column) -> DataFrame:
     """(key, path or null): success sets path and time; the count of attempts grows either way."""
     o = outcomes.select(F.col(key).alias("o_key"), F.col("path").alias("o_path"))

@@ -13,6 +13,7 @@ from shortlist.plans import bindings as B
 from shortlist.plans.base import query
 from shortlist.plans.q_rules import ID, ID_SQL
 from shortlist.sources import normalise as S
+from shortlist.sources import tables
 
 
 def scratch(spark, name: str) -> str:
@@ -191,6 +192,21 @@ def s19_table_sink(spark, d):
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("url").alias("urls"))
 
 
+@query("""
+    with w as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_partkey % 3 = 0 then 'https://m.example/' || l_partkey else application_url end as link, status from postings)
+    select status, count(*) as postings, count(link) as links, count(distinct link) as different from w where status <> 'low_score' group by status""")
+def s19_table_versions(spark, d):
+    """A table written, updated by key, cleared of a status, and read back; each step is a version."""
+    path = scratch(spark, "versions")
+    p = B.postings(spark, d).select(F.xxhash64(*B.K).alias("k"), "l_partkey", F.col("application_url").alias("link"), "status")
+    tables.write_table(p, path, ["status"])
+    changes = p.where("l_partkey % 3 = 0").select("k", F.concat(F.lit("https://m.example/"), "l_partkey").alias("link")).dropDuplicates(["k"])
+    tables.update_table(spark, path, changes, "k", {"link": F.col("new_link")}, ["status"])
+    tables.delete_rows(spark, path, F.col("status") == "low_score", ["status"])
+    assert tables.versions(spark, path) == [1, 2]
+    return tables.read_table(spark, path).groupBy("status").agg(F.count(F.lit(1)).alias("postings"), F.count("link").alias("links"), F.count_distinct("link").alias("different"))
+
+
 @query(f"with {MATRIX} select query, location, case when location like '%1%' then 'Country ' || location else 'default' end as country, case when location like '%2%' then 'B' || location else string_split(location, ',')[1] end as board_location from matrix")
 def s20_map_search_location(spark, d):
     places = _places(spark, d)

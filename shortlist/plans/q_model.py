@@ -169,6 +169,27 @@ def g18_tailor_requests(spark, d):
     return made.select("k.*", "request")
 
 
+@query(f"""
+    select {ID_SQL}, 'Write.' || case when l_linenumber <= 2 then chr(10) || 'AVOID:' || chr(10) || '- too long' || chr(10) || '- ' || site else '' end || chr(10) || chr(10) || 'RESUME:' || chr(10) || 'Spark' || chr(10) || chr(10) || 'TITLE: ' || title || chr(10) || 'COMPANY: ' || site || chr(10) || 'LOCATION: ' || location || chr(10) || 'DESCRIPTION: ' || substr(coalesce(full_description, ''), 1, 6000) as request
+    from postings where fit_score >= 9 and status = 'active'""")
+def g18_cover_requests(spark, d):
+    p = B.postings(spark, d).where("fit_score >= 9 and status = 'active'").withColumn("k", F.struct(*ID))
+    notes = F.when(F.col("l_linenumber") <= 2, F.array(F.lit("too long"), F.col("site")))
+    return responses.cover_requests(p, "Write.", "Spark", "k", notes).select("k.*", "request")
+
+
+@query("""
+    with a as (select run_id as k, row_number() over (partition by run_id order by call_id) as attempt, success and stage <> 'error' as valid, 'letter ' || call_id as letter from usage),
+    f as (select * from a where attempt <= 4)
+    select k, coalesce(arg_min(letter, attempt) filter (valid), arg_max(letter, attempt)) as letter, count(*) filter (valid) > 0 as passed, coalesce(min(attempt) filter (valid), max(attempt)) as attempts_used from f group by k""")
+def g15_resolve_letters(spark, d):
+    from pyspark.sql import Window
+
+    u = B.usage(spark, d)
+    attempts = u.select(F.col("run_id").alias("k"), F.row_number().over(Window.partitionBy("run_id").orderBy("call_id")).alias("attempt"), (F.col("success") & (F.col("stage") != "error")).alias("valid"), F.concat(F.lit("letter "), "call_id").alias("letter"))
+    return responses.resolve_letters(attempts, "k", 3).withColumn("attempts_used", F.col("attempts_used").cast("long"))
+
+
 @query("select url, 'ALLOWED SKILLS: Spark' || chr(10) || 'METRICS: N/A' || chr(10) || 'ORIGINAL:' || chr(10) || full_description || chr(10) || 'TAILORED:' || chr(10) || 'New: ' || full_description as request from doc_postings")
 def g19_judge_requests(spark, d):
     docs = B.doc_postings(spark, d)

@@ -76,6 +76,20 @@ def a8_discovery_totals(spark, d):
     return reports.discovery_totals(per_search)
 
 
+@query("""
+    with p as (select site, location, l_linenumber, count(distinct url) as new, count(*) - count(distinct url) as existing, count(detail_error) as errors from postings group by all)
+    select site, location, cast(sum(new) as bigint) as new, cast(sum(existing) as bigint) as existing, cast(sum(errors) as bigint) as errors from p group by rollup(site, location)""")
+def a8_discovery_by_search(spark, d):
+    """Sums by employer and query, by employer, and over all."""
+    per_search = B.postings(spark, d).groupBy("site", "location", "l_linenumber").agg(F.count_distinct("url").alias("new"), (F.count(F.lit(1)) - F.count_distinct("url")).alias("existing"), F.count("detail_error").alias("errors"))
+    return reports.discovery_totals(per_search, "site", "location")
+
+
+@query("select site, count(*) as postings from postings group by site")
+def a8_batch_counts(spark, d):
+    return reports.batch_counts(B.postings(spark, d))
+
+
 PRICES = [("small-1", 0.5, 1.5, False), ("large-2", 2.0, 8.0, False), ("per-call-3", None, None, True)]
 PRICES_SQL = "prices(p_model, price_in, price_out, per_request) as (values ('small-1', 0.5::double, 1.5::double, false), ('large-2', 2.0, 8.0, false), ('per-call-3', null, null, true))"
 COSTED = f"{PRICES_SQL}, costed as (select usage.*, prompt_tokens / 1e6 * price_in + completion_tokens / 1e6 * price_out as cost, case when per_request then 1 end as request_count from usage left join prices on lower(trim(model)) = p_model)"

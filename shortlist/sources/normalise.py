@@ -125,12 +125,12 @@ def normalise_board_frame(df: DataFrame) -> DataFrame:
 
 
 def search_matrix(queries: DataFrame, locations: DataFrame, tiers: list[int] | None = None, labels: list[str] | None = None) -> DataFrame:
-    """Every query with every location (two small configuration tables); tier 0 by default, the label falls back to the place."""
+    """Every query with every location (Spark broadcasts the smaller table if it is small); tier 0 by default, the label falls back to the place."""
     q = queries.withColumn("tier", F.coalesce("tier", F.lit(0)))
     place = locations.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), "location"))
     q = q.where(F.col("tier").isin(tiers)) if tiers else q
     place = place.where(F.col("label").isin(labels)) if labels else place
-    return q.crossJoin(F.broadcast(place))
+    return q.crossJoin(place)
 
 
 def map_search_location(matrix: DataFrame, countries: DataFrame, boards: DataFrame, default_country: str) -> DataFrame:
