@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import text as X
 from shortlist.operators import digest, filters, lifecycle, pages, quality, reports, responses
 from shortlist.sources import normalise as S
+from shortlist.sources import tables
 from shortlist.streaming import jobs
 
 
@@ -221,3 +222,23 @@ def test_first_row_per_key_over_batches_and_replays(spark, tmp_path):
     done.awaitTermination()
     jobs.enrich_stream(jobs.source(spark, f"{tmp_path}/in1", spark.read.parquet(f"{tmp_path}/in0").schema), lambda b: b, f"{tmp_path}/work", f"{tmp_path}/cpw2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/work").count() == 2
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        tables.read_table(spark, path)
+    tables.write_table(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, x string"), path)
+    tables.update_table(spark, path, spark.createDataFrame([(2, "c"), (9, "z")], "k int, x string"), "k", {"x": F.col("new_x")})
+    assert tables.delete_rows(spark, path, F.col("x") == "a") == 1
+    assert sorted(map(tuple, tables.read_table(spark, path).collect())) == [(2, "c"), (3, None)]
+    assert tables.versions(spark, path) == [1, 2]
+    # a version that was not committed does not count
+    spark.range(1).write.parquet(f"{path}/v3")
+    (tmp_path / "table" / "v3" / "_SUCCESS").unlink()
+    assert sorted(r.k for r in tables.read_table(spark, path).collect()) == [2, 3]
+
+
+def test_link_beside_a_button(spark):
+    df = spark.createDataFrame([(1, '<div><button class="apply-now">Go</button><a href="/go/1">here</a></div>'), (2, "<button class='apply'>Go</button>"), (3, None)], "id int, html string")
+    assert {r.id: r.css_apply_url for r in pages.extract_css(df).collect()} == {1: "/go/1", 2: None, 3: None}
