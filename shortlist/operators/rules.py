@@ -169,26 +169,30 @@ def phrase_table(spark: SparkSession, prefs: dict[str, Preferences]) -> DataFram
 PHRASE_COLUMNS = "profile string, kind string, ord int, phrase string, max_score int, name string"
 
 
-def score_many(postings: DataFrame, phrases: DataFrame, key: str, at_once: int = 20_000) -> DataFrame:
+def _marked(phrases: Column, in_title: bool) -> Column:
+    return F.transform(phrases, lambda p: F.struct(F.lit(in_title).alias("in_title"), p.alias("phrase")))
+
+
+def score_many(postings: DataFrame, phrases: DataFrame, key: str, at_once: int = 200) -> DataFrame:
     """(profile, key, score, rule) for every profile of ``phrases`` (``PHRASE_COLUMNS``), as ``score_by_rules`` gives them.
 
-    Each posting meets the phrases in broadcasts of about ``at_once`` rows; only the
-    counts of matches by profile are shuffled. ``key`` names each posting.
+    Each different phrase is one compiled pattern, whatever number of profiles it
+    serves; ``at_once`` of them are tried in one scan. Only matches are joined with the
+    profiles, and only their counts by profile are shuffled. ``key`` names each posting.
     """
     text = postings.select(key, collapse(F.col("title")).alias("title"), posting_text().alias("text"))
-    padded = text.withColumns({"low_title": F.lower("title"), "low_text": F.lower("text")})
-    # the pattern of phrase_pattern, made in the JVM
-    pattern = F.concat(F.lit(r"(?iuU)(?<!\w)"), F.regexp_replace("phrase", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
-    in_title = F.col("kind").isin("target", "adjacent", "reject")
-    table = phrases.select("profile", "kind", "ord", F.lower("phrase").alias("low_phrase"), pattern.alias("pattern"), in_title.alias("in_title"), F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
-    blocks = phrases.count() // at_once + 1
-    # a plain search comes first, so that few patterns are tried
-    plain = F.when(F.col("in_title"), F.col("low_title")).otherwise(F.col("low_text")).contains(F.col("low_phrase"))
-    match = plain & F.expr("case when in_title then title else text end rlike pattern")
+    wanted = phrases.withColumn("in_title", F.col("kind").isin("target", "adjacent", "reject"))
+    # a configuration: its different phrases meet on the driver
+    different = sorted((r["in_title"], r["phrase"]) for r in wanted.select("in_title", "phrase").distinct().collect())
     hits = None
-    for k in range(blocks):
-        own = padded.join(F.broadcast(table.where(F.pmod(F.xxhash64("profile", "kind", "low_phrase"), F.lit(blocks)) == k)), match).select("profile", key, "kind", "ord", "most", "name")
+    for start in range(0, len(different) or 1, at_once):
+        block = different[start : start + at_once]
+        found = [matched_phrases(F.col(column), [p for title, p in block if title == flag]) for column, flag in (("title", True), ("text", False))]
+        told = F.concat(_marked(found[0], True), _marked(found[1], False))
+        own = text.select(key, F.explode(told).alias("hit")).select(key, "hit.in_title", "hit.phrase")
         hits = own if hits is None else hits.unionByName(own)
+    table = wanted.select("profile", "kind", "ord", "phrase", "in_title", F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
+    hits = hits.join(table, ["in_title", "phrase"])
     kinds = ["reject", "dealbreaker", "target", "adjacent", "positive", "negative"]
     low_cap = F.when((F.col("kind") == "cap") & (F.col("most") <= 4), F.struct("ord", "most", "name"))
     counts = hits.groupBy("profile", key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.min(low_cap).alias("cap"))

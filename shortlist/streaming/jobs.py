@@ -66,7 +66,7 @@ def ingest_deduplicated(rows: DataFrame, key: str, time: str, keep: str = "14 da
     return stamped.withWatermark(time, keep).dropDuplicatesWithinWatermark([key])
 
 
-def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 64) -> StreamingQuery:
+def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 16) -> StreamingQuery:
     """First row per key over all time: each batch is checked against what earlier ones stored.
 
     Rows lie in folders by a hash of their key and, in these, by batch: a batch reads
@@ -82,7 +82,7 @@ def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: l
             met = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
             known = spark.read.schema(layout).parquet(path).where(F.col("bucket").isin(met) & (F.col("batch") < number)).select(key)
             fresh = fresh.join(known, key, "left_anti")
-        writer = fresh.select(*batch.columns, "bucket", "batch").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
+        writer = fresh.select(*batch.columns, "bucket", "batch").repartition("bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(path)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
