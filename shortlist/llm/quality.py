@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, pieces, sample_texts
 
 WORDS, SHAPES = 1 << 15, 1 << 12
 SIZE = WORDS + SHAPES + 1
@@ -39,7 +39,7 @@ def _shape(word: bytes) -> bytes:
 class Features:
     """Hashed features of texts; a bounded memo keeps the buckets of words met before."""
 
-    def __init__(self, memo: int = 600_000):
+    def __init__(self, memo: int = 200_000):
         self.memo, self.known = memo, {}
         self.buckets = np.zeros((1 << 16, 2), np.int32)
 
@@ -122,18 +122,23 @@ class OrdinalModel:
         return _logistic(s[:, None] - self.cuts[None, :])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 4000) -> OrdinalModel:
-    """``ratings`` has doc_id and grade (whole numbers); held-out ids are left aside."""
+def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 4000, max_chars: int = 8 << 20, max_grades: int = 100) -> OrdinalModel:
+    """``ratings`` has doc_id and grade (whole numbers); held-out ids are left aside.
+
+    Of each grade at most ``max_rows`` rows and ``max_chars`` characters are used; more
+    than ``max_grades`` grades are an error.
+    """
     usable = ratings.where("doc_id is not null and grade is not null").where(~held_out()).select("doc_id", "grade").distinct()
-    picks = None
-    for row in usable.select("grade").distinct().orderBy("grade").collect():
-        own = usable.where(F.col("grade") == row[0]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        picks = own if picks is None else picks.unionByName(own)
-    if picks is None:
-        return OrdinalModel([], [])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("doc_id", "grade", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["grade"], r["text"] or ""))
-    return OrdinalModel([r["text"] or "" for r in rows], [int(r["grade"]) for r in rows])
+    grades = [r[0] for r in usable.select("grade").distinct().orderBy("grade").limit(max_grades + 1).collect()]
+    if len(grades) > max_grades:
+        raise ValueError(f"more than {max_grades} grades")
+    texts, given = [], []
+    for g in grades:
+        picked = usable.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id")
+        own = sample_texts(docs, picked, max_rows, max_chars)
+        texts += own
+        given += [int(g)] * len(own)
+    return OrdinalModel(texts, given)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, at_least: int, threshold: float = 0.5) -> DataFrame:
@@ -145,12 +150,13 @@ def grade(docs: DataFrame, model: OrdinalModel, at_least: int, threshold: float
         grades = np.array(own.grades, float)
         place = np.searchsorted(grades, at_least)
         for batch in batches:
-            tails = own.tails([t.as_py() or "" for t in batch.column("text")])
-            expected = grades[0] + tails @ np.diff(grades)
-            chance = np.concatenate([np.ones((len(tails), 1)), tails], axis=1)
-            tail = chance[:, place] if place < len(grades) else np.zeros(len(tails))
-            columns = [batch.column("doc_id"), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= threshold)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "keep"])
+            for start, texts in pieces(batch.column("text"), 1 << 20):
+                tails = own.tails(texts)
+                expected = grades[0] + tails @ np.diff(grades)
+                chance = np.concatenate([np.ones((len(tails), 1)), tails], axis=1)
+                tail = chance[:, place] if place < len(grades) else np.zeros(len(tails))
+                columns = [batch.column("doc_id").slice(start, len(texts)), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= threshold)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "tail_probability", "keep"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, keep boolean")
