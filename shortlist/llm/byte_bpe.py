@@ -10,7 +10,10 @@ Only the vocabulary's tables travel with the tasks (about 1 MB each for 50,000
 tokens). Each worker keeps a bounded memo of pre-tokens it has met.
 
 Null and empty texts give no ids. Texts of any length are handled a text at a
-time. Lone surrogates cannot occur in Spark strings. Other columns are kept.
+time. Lone surrogates cannot occur in Spark strings. Ranks are all different, so
+there are no ties but of place, which the leftmost pair wins. Repeated rows have
+their ids each; an empty table gives an empty result. Other columns, of any name,
+are kept.
 """
 
 from __future__ import annotations
