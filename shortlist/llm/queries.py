@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.find_repeats(_table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +49,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_probability", "keep")
 
 
+def with_replies(talks: DataFrame) -> DataFrame:
+    """The messages, three of four of them after a quote of the first two lines that stand one to three turns before.
+
+    The table quotes nothing; so quoting replies are made of its own messages, by a
+    hash of conversation and turn.
+    """
+    back = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)).cast("int")
+    said = talks.where("conv_id is not null and turn is not null").groupBy(F.col("conv_id").alias("said_in"), F.col("turn").alias("said_at")).agg(F.min("text").alias("said"))
+    replies = talks.withColumn("back", back).join(said, (F.col("conv_id") == F.col("said_in")) & (F.col("turn") - F.col("back") == F.col("said_at")) & (F.col("back") > 0), "left")
+    quote = F.transform(F.slice(F.split("said", "\n"), 1, 2), lambda line: F.concat(F.lit("> "), line))
+    return replies.select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.array_join(quote, "\n"), F.col("text"))).alias("text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
+    return chat.link_quotes(with_replies(_table(spark, sf_dir, "conversations")))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoder = token_files.WordEncoder(vocabulary, end_id=1, special=True)
+    encoder = token_files.WordEncoder(vocabulary, end_id=1)
     path = token_files.new_path(spark)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    token_files.write_files(_table(spark, sf_dir, "documents"), path, encoder, encoder.vocabulary(vocabulary), files)
+    token_files.write_files(_table(spark, sf_dir, "documents"), path, encoder, encoder.vocabulary(vocabulary))
     return token_files.with_starts(staged(token_files.read_files(spark, path), "read-back"))
 
 

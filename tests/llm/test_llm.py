@@ -150,6 +150,19 @@ def test_bpe_frames(edges, empty, bpe):
     assert byte_bpe.round_trip(empty, bpe).count() == 0
 
 
+def test_columns_of_any_name(spark, bpe):
+    docs = frame(spark, [(1, "a b"), (2, None), (3, "a  b")]).withColumnsRenamed({"n": "a.b", "rep": "__text", "kept": "c`d"})
+    coded = byte_bpe.decode(byte_bpe.encode(docs, bpe), bpe)
+    assert coded.columns == [*docs.columns, "token_ids", "decoded"]
+    assert {r.doc_id: bytes(r.decoded) for r in coded.collect()} == {1: b"a b", 2: b"", 3: b"a  b"}
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert toxicity.reject(docs, model).columns == docs.columns and toxicity.reject(docs, model).count() == 3
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {1, 2}
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_groups(named).collect()} == {"d1": "d1", "d2": "d2", "d3": "d1"}
+
+
 # 4
 
 
@@ -216,7 +229,7 @@ def test_jaccard_groups_are_bounded(spark):
 def test_jaccard_ids_with_two_sets_do_not_cancel(spark):
     rows = [(1, 5, 10), (1, 5, 11), (1, 7, 10), (2, 6, 10), (2, 6, 11), (2, 7, 10)]
     members = spark.createDataFrame([(*r, r[1]) for r in rows], "token long, rep long, n long, label long")
-    bits = jaccard_join.bitmap(np.arange(10, dtype=np.uint64), 1).tobytes()
+    bits = jaccard_join.wide_bits(np.arange(10, dtype=np.uint64))
     maps = spark.createDataFrame([(k, bits) for k in (5, 6, 7)], "rep long, bits binary")
     assert {tuple(r) for r in jaccard_join._across(members, maps, 80, 512).collect()} == {(5, 7), (6, 7)}
 
@@ -307,16 +320,77 @@ def test_quoted_lines_link(spark):
     }
 
 
+def _linked(rows):
+    """What link_quotes says of (conv_id, turn, text) rows, one message after the other."""
+    quote = re.compile(r"^[ \t]*>[> \t]*")
+    normal = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+
+    def runs(text):
+        out, last = [], None
+        for line in re.split(r"\r?\n", text):
+            mark = quote.match(line)
+            rest = line[mark.end() :] if mark else line
+            kind = -1 if not re.search(r"\S", rest) else mark.group().count(">") if mark else 0
+            if kind != last:
+                out.append((kind, []))
+            out[-1][1].append(rest)
+            last = kind
+        return [(k, normal(" ".join(x)), len(x)) for k, x in out if k >= 0]
+
+    own, lengths = collections.defaultdict(set), collections.defaultdict(set)
+    for c, t, text in rows:
+        if c is not None and t is not None:
+            lengths[c] |= {n for k, p, n in runs(text or "") if k and p}
+    for c, t, text in rows:
+        if c is None or t is None:
+            continue
+        plain = [x for x in re.split(r"\r?\n", text or "") if not quote.match(x)]
+        told = [x for x in map(normal, plain) if x]
+        found = {normal("\n".join(plain))} | {p for k, p, _ in runs(text or "") if not k}
+        found |= {" ".join(told[a : a + n]) for n in lengths[c] for a in range(len(told) - n + 1)}
+        own[c] |= {(t, p) for p in found if p}
+    out = []
+    for c, t, text in rows:
+        quoted = [(k, p) for k, p, _ in runs(text or "") if k and p]
+        hits = [(-k, max(x)) for k, p in quoted if c is not None and t is not None and (x := [u for u, q in own[c] if q == p and u < t])]
+        content = "\n".join(x for x in (text or "").split("\n") if not quote.match(x)).strip(" ")
+        out.append((str(c), str(t), content, len(quoted), len(hits), str(max(hits)[1] if hits else None)))
+    return sorted(out)
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(9)
+    lines = ["yes", "no  way", "Some longer line", "a", "", "it is so", "\t", "why?", "ünï code", "x" * 5000]
+    rows = []
+    for c, n in ((1, 12), (2, 40), (3, 150), (4, 3), (None, 5)):
+        said = []
+        for t in range(n):
+            text = [rng.choice(lines) for _ in range(rng.randint(0, 6))]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                old = rng.choice(said) if said and rng.random() < 0.8 else [rng.choice(lines)]
+                a = rng.randint(0, max(0, len(old) - 1))
+                mark = rng.choice(["> ", ">", "> > ", " >> "])
+                text = [mark + x for x in old[a : a + rng.randint(1, 3)]] + text if rng.random() < 0.7 else text + [mark + x for x in old[a : a + 2]]
+            said.append(text)
+            body = rng.choice(["\n", "\n", "\r\n"]).join(text)
+            rows += [(c, None if rng.random() < 0.03 else t, None if rng.random() < 0.03 else body)] * rng.choice([1, 1, 1, 2])
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.link_quotes(df.withColumns({"hash": F.lit("clash"), "lines": F.lit("clash"), "a.b": F.lit(1)})).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.content, r.n_quotes, r.n_linked, str(r.reply_to)) for r in got) == _linked(rows)
+    assert sum(r.n_linked for r in got) > 50
+
+
 # 7
 
 
 def test_token_files(spark, edges, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    rows = [(i, t) for i, t in EDGES if i is not None and i != 3] + [(20, "İ Σας <|endoftext|> don't\x1cstop"), (10, "é́ e\n\nf")]
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdéß, ") for _ in range(rng.randint(1, 9))) for _ in range(600_000))
+    rows = [(i, t) for i, t in EDGES if i is not None and i != 3] + [(20, "İ Σας <|endoftext|> don't\x1cstop"), (10, "é́ e\n\nf"), (15, long)]
     out = token_files.new_path(spark)
-    token_files.write_files(frame(spark, rows), out, token_files.WordEncoder(path, 1), token_files.WordEncoder.vocabulary(path), 3)
+    token_files.write_files(frame(spark, rows), out, token_files.WordEncoder(path, 1), token_files.WordEncoder.vocabulary(path), 1 << 20)
     got = {r.doc_id: r for r in token_files.with_starts(staged(token_files.read_files(spark, out), "back")).collect()}
     start = 0
     for i, t in sorted(rows):
@@ -325,7 +399,7 @@ def test_token_files(spark, edges, empty):
         start += len(ids)
     for df, n in ((edges, len(EDGES)), (empty, 0)):
         out = token_files.new_path(spark)
-        token_files.write_files(df, out, token_files.WordEncoder(path, 1), token_files.WordEncoder.vocabulary(path), 2)
+        token_files.write_files(df, out, token_files.WordEncoder(path, 1), token_files.WordEncoder.vocabulary(path), 1 << 14)
         assert token_files.with_starts(token_files.read_files(spark, out)).count() == n
 
 
@@ -347,6 +421,17 @@ def test_packing(bits):
     assert (token_files.unpack(token_files.pack(ids, bits), 1000, bits) == ids).all()
     file = token_files.TokenFile(token_files.to_file(np.arange(4), np.array([0, 10, 900, 90]), ids, bits, block=64))
     assert (file.document(2) == ids[10:910]).all() and len(file.document(0)) == 0
+    assert file.crc32().tolist() == [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(4)]
+
+
+def test_word_encoder_forgets():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, coder = Tokenizer.from_file(path), token_files.WordEncoder(path, 1, memo=50)
+    for part in range(5):
+        texts = [f"w{part}{i} again  x{i % 7}\n" for i in range(30)] + ["", " "]
+        counts, ids = coder.encode(texts)
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == list(itertools.chain(*want))
 
 
 # 8
@@ -386,10 +471,17 @@ def test_mixing(spark):
 def test_repeated_rows_are_in_shard_order(spark):
     docs = frame(spark, [(i, "w " * (1 + i % 50)) for i in range(300)], extra=False).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 3))
     mixed = staged(mixing.mix(docs, ["doc_id"], words_per_block=200), "mixed")
-    out = mixing.repeat_rows(docs, mixed, "doc_id").withColumn("part", F.spark_partition_id()).collect()
+    out = mixing.repeat_rows(docs, mixed, ["doc_id"]).withColumn("part", F.spark_partition_id()).collect()
     order = [(r.part, r.shard, r.position) for r in out]
     assert order == sorted(order) and [x[1:] for x in order] == sorted(x[1:] for x in order)
-    draws = [(r.doc_id, p.shard, p.position) for r in mixed.collect() for p in r.places if 2 * p.words >= r.size]
+    rows = mixed.collect()
+    draws = [(r.doc_id, p.shard, p.position) for r in rows for p in r.places]
+    words = collections.Counter()
+    for x in mixing.repeat_rows(docs, mixed, ["doc_id"]).collect():
+        words[x.doc_id] += len(x.text.split())
+    assert words == {r.doc_id: r.taken for r in rows if r.taken}
+    # the shards are disjoint parts of the tree's size: blocks of a source go to them by its counts
+    assert all(len({(p.shard, p.position) for p in r.places}) == len(r.places) for r in rows)
     assert sorted((r.doc_id, r.shard, r.position) for r in out) == sorted(draws) and len({x[1] for x in draws}) > 1
 
 
@@ -493,9 +585,15 @@ def test_pipeline_stages(spark, tmp_path, bpe):
     assert {r.doc_id for r in kept[2].collect()} == want
     mixed = collections.Counter(r.doc_id for r in kept[3].collect())
     assert set(mixed) <= want and max(mixed.values()) <= 2
-    for r in kept[4].collect():
-        ids = bpe.encode(clean[r.doc_id])
-        assert r.exact and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+    drawn = kept[3].collect()
+    # only the last draw of a source is cut
+    cut = collections.Counter(r.source for r in drawn if r.text != clean[r.doc_id])
+    assert not cut or max(cut.values()) == 1
+    assert all(clean[r.doc_id].split()[: len(r.text.split())] == r.text.split() and r.n_chars == len(r.text) for r in drawn)
+    got = kept[4].collect()
+    ids = [(r.doc_id, bpe.encode(r.text)) for r in drawn]
+    want = [(i, len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest()) for i, x in ids]
+    assert all(r.exact for r in got) and sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted(want)
 
 
 def test_registered_names():
