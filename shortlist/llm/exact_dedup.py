@@ -16,7 +16,7 @@ input are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, staged
@@ -26,17 +26,26 @@ def normalised(name: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(name), F.lit("")), SPACE, " ")
 
 
+def rank() -> Column:
+    """The order in which rows stay: by doc_id, nulls last."""
+    return F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+
+
+def frequent(digests: DataFrame, measures: list, max_hot: int, counters: int) -> DataFrame:
+    """(digest, group_size and the other ``measures``) of at most ``max_hot`` verified frequent digests, staged."""
+    summary = digests.agg(F.expr(f"approx_top_k(hex(digest), {max_hot}, {counters})").alias("top"))
+    candidates = summary.select(F.explode("top").alias("c")).where(F.col("c.count") > 1).select(F.unhex("c.item").alias("digest"))
+    hot = digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*measures).where("group_size > 1")
+    return staged(hot, "hot-digests")
+
+
 def decide(digests: DataFrame, max_hot: int = 1000, counters: int = 20_000) -> DataFrame:
     """(row_key, doc_id, digest) -> the same with keep_id, group_size and kept.
 
     ``digests`` is read several times: pass a staged table.
     """
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id")
-    measures = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min_by("row_key", rank).alias("winner")]
-    summary = digests.agg(F.expr(f"approx_top_k(hex(digest), {max_hot}, {counters})").alias("top"))
-    candidates = summary.select(F.explode("top").alias("c")).where(F.col("c.count") > 1).select(F.unhex("c.item").alias("digest"))
-    hot = digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(*measures).where("group_size > 1")
-    hot = staged(hot, "hot-digests")
+    measures = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.min_by("row_key", rank()).alias("winner")]
+    hot = frequent(digests, measures, max_hot, counters)
     marked = digests.join(F.broadcast(hot), "digest", "left")
     out = ["row_key", "doc_id", "digest", "keep_id", "group_size", (F.col("row_key") == F.col("winner")).alias("kept")]
     alike = Window.partitionBy("digest")
@@ -44,7 +53,7 @@ def decide(digests: DataFrame, max_hot: int = 1000, counters: int = 20_000) -> D
         "*",
         F.min("doc_id").over(alike).alias("keep_id"),
         F.count(F.lit(1)).over(alike).alias("group_size"),
-        F.min_by("row_key", rank).over(alike).alias("winner"),
+        F.min_by("row_key", rank()).over(alike).alias("winner"),
     )
     return marked.where("winner is not null").select(*out).unionByName(rest.select(*out))
 
@@ -58,12 +67,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    name = "exact_row"
-    while name in docs.columns:
-        name += "_"
-    keyed = staged(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
-    digests = keyed.select(F.col(name).alias("row_key"), "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("digest"))
-    kept = decide(staged(digests, "digests")).where("kept").select(F.col("row_key").alias(name))
-    return keyed.join(kept, name, "left_semi").drop(name)
+def drop_exact_copies(docs: DataFrame, max_hot: int = 1000, counters: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Copies of frequent digests go on the map side, as their winners are broadcast;
+    what is left is shuffled once, and of a digest's rows a partial aggregate sends one.
+    """
+    digest = F.unhex(F.sha2(normalised(), 256))
+    digests = staged(docs.select("doc_id", digest.alias("digest")), "digests")
+    hot = frequent(digests, [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")], max_hot, counters)
+    rows = docs.select("doc_id", digest.alias("digest"), F.struct(*[docs[f"`{c.replace('`', '``')}`"] for c in docs.columns]).alias("row"))
+    marked = rows.join(F.broadcast(hot), "digest", "left")
+    left = marked.where(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return left.groupBy("digest").agg(F.min_by("row", rank()).alias("row")).select("row.*")

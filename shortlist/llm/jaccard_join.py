@@ -555,7 +555,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, part: in
         members = _labelled(shared, sets, links)
     pairs = staged(_across(members, _bitmaps(sets).drop("n"), percent, part), "pairs")
     links = links.unionByName(_verified(pairs, sets, percent))
-    final = components(links).withColumnRenamed("node", "rep")
+    final = components(links).withColumnRenamed("node", "rep")  # it has read the links
+    release(sets, pairs, members, shared)
     of_class = classes.select(*digest, "rep").join(final, "rep", "left").select(*digest, "rep", F.coalesce("label", "rep").alias("component_id"))
     out = own.select("doc_id", *digest).join(of_class, digest, "left")
     ids = {"component_id": "component_id", "set_first": "rep"}

@@ -147,9 +147,10 @@ def mix(
     return out.select(*key, "source", "size", "source_size", "target", taken.alias("taken"), "places")
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
+def repeat_rows(docs: DataFrame, mixed: DataFrame, key: list[str]) -> DataFrame:
     """The mixed rows with their documents, ``shard``, ``position`` and ``whole``: one for each draw.
 
+    Rows of ``docs`` with one ``key`` (not null) are alike: any of them stands for all draws.
     The last draw of a source may be cut: its text is then the first words of the
     document, one blank apart, and ``whole`` is false; so the words of the rows are
     those that ``taken`` counts.
@@ -157,9 +158,10 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, key: str) -> DataFrame:
     Rows are in order of shard and position, over and within partitions, so files
     written from them hold the shards one after the other, each shuffled.
     """
-    draws = mixed.select(key, "size", F.explode("places").alias("place"))
-    parts = draws.select(key, "place.shard", "place.position", F.col("place.words").alias("mix_words"), (F.col("place.words") == F.col("size")).alias("whole"))
-    placed = docs.join(parts, key)
+    draws = mixed.select(*key, "size", F.explode("places").alias("place"))
+    parts = draws.select(*key, "place.shard", "place.position", F.col("place.words").alias("mix_words"), (F.col("place.words") == F.col("size")).alias("whole"))
+    one = docs.withColumn("mix_turn", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("mix_turn = 1").drop("mix_turn")
+    placed = one.join(parts, key)
     first = F.array_join(F.slice(F.split(F.regexp_replace("text", f"^{SPACE}", ""), SPACE), F.lit(1), F.col("mix_words").cast("int")), " ")
     cut = placed.withColumn("text", F.when(F.col("whole"), F.col("text")).otherwise(first)).drop("mix_words")
-    return cut.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position", key)
+    return cut.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position", *key)
