@@ -11,7 +11,8 @@ holds whole documents in ascending doc_id order:
     data      the blocks; each is padded to whole bytes
 
 All numbers are little-endian. A block is unpacked by itself with numpy, so any
-range of ids is read without what stands before it.
+range of ids is read without what stands before it. A file is put together, and
+read, by one task; a text lies whole in one file, whatever its length.
 
 Spark commits the files (one per range of doc_ids, through its own file writer,
 whose row separator follows the last byte), so that a task that runs twice or
@@ -19,7 +20,8 @@ an executor that is lost leaves no half-written file, and any store that Spark
 can write to will do. Files are read back with Spark's ``binaryFile`` source.
 
 Null and empty texts give the end id alone. Null doc_ids sort first; documents
-with one doc_id are ordered by their text. An empty table gives no files.
+with one doc_id are ordered by their text, and repeated rows each have their ids. An
+empty table gives no files. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir
+from .common import pieces, shared_dir, word_hashes
 
 MAGIC = b"SLTOKEN1"
 BLOCK = 1 << 16
@@ -96,6 +98,19 @@ class TokenFile:
             parts.append(unpack(self.data[self.base + int(self.offsets[b]) : self.base + int(self.offsets[b + 1])], count, self.bits))
         return np.concatenate(parts)[start - first * self.block : end - first * self.block]
 
+    def crc32(self) -> np.ndarray:
+        """The crc32 of the ids of each document as little-endian unsigned 32-bit integers; each block is unpacked once."""
+        out = np.zeros(len(self.doc_ids), np.int64)
+        for b in range(len(self.offsets) - 1):
+            low = b * self.block
+            ids = self.ids(low, min(low + self.block, self.n_ids)).astype("<u4").tobytes()
+            k = int(np.searchsorted(self.starts, low, "right")) - 1
+            while k < len(out) and self.starts[k] < low + self.block:
+                part = ids[4 * max(0, int(self.starts[k]) - low) : 4 * (int(self.starts[k + 1]) - low)]
+                out[k] = zlib.crc32(part, int(out[k]))
+                k += 1
+        return out
+
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
@@ -105,26 +120,26 @@ class WordEncoder:
 
     The file's normaliser and splitter never join characters over a blank or a
     line feed, nor do its special tokens hold one, so the ids of a text are those
-    of its pieces, in order. With ``special``, special tokens in a text get their own
-    ids, as a plain call of the library gives; otherwise they are text like any other.
+    of its pieces, in order. Special tokens in a text get their own ids, as a plain
+    call of the library gives. Pieces are found again by a 64-bit hash; up to
+    ``memo`` of them are remembered, at 16 bytes and their ids each.
     """
 
-    def __init__(self, path: str, end_id: int, memo: int = 1_000_000, special: bool = False):
-        self.path, self.end_id, self.memo, self.special, self.tokenizer = path, end_id, memo, special, None
+    def __init__(self, path: str, end_id: int, memo: int = 1 << 20):
+        self.path, self.end_id, self.memo, self.tokenizer = path, end_id, memo, None
 
     def __getstate__(self):
-        return {"path": self.path, "end_id": self.end_id, "memo": self.memo, "special": self.special, "tokenizer": None}
+        return {"path": self.path, "end_id": self.end_id, "memo": self.memo, "tokenizer": None}
 
     def _open(self) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = not self.special
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     @staticmethod
     def vocabulary(path: str) -> int:
@@ -132,35 +147,57 @@ class WordEncoder:
 
         return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
+    def _look_up(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Where each piece stands in ``start`` and ``size``; new ones are encoded."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > self.memo:
+            self._forget()
+        at = np.searchsorted(self.known, distinct)
+        at[at == len(self.known)] = 0
+        new = first[self.known[at] != distinct] if len(self.known) else first
+        if len(new):
+            starts, sizes, ids, total = [], [], [self.flat], len(self.flat)
+            for i in range(0, len(new), 20_000):
+                words = [data[a:b].tobytes().decode() for a, b in zip(begin[new[i : i + 20_000]].tolist(), end[new[i : i + 20_000]].tolist(), strict=True)]
+                made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                size = np.fromiter(map(len, made), np.int32, len(made))
+                sizes.append(size)
+                starts.append(total + np.cumsum(size) - size)
+                ids.append(np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
+                total += len(ids[-1])
+            known = np.concatenate([self.known, hashes[new]])
+            order = np.argsort(known)
+            self.known = known[order]
+            self.start = np.concatenate([self.start, *starts])[order].astype(np.int32)
+            self.size = np.concatenate([self.size, *sizes])[order]
+            self.flat = np.concatenate(ids)
+            at = np.searchsorted(self.known, distinct)
+        return at[back]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text with its end id, all ids) of some texts."""
         if self.tokenizer is None:
             self._open()
-        if len(self.known) > self.memo:
-            self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words, known = list(chain.from_iterable(split)), self.known
-        fresh = list(set(words).difference(known))
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        start, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(size)
-        made = np.repeat(start - (ends - size), size)
-        body = self.flat[made + np.arange(len(made))]
-        ends = np.concatenate([[0], ends])[np.cumsum(per_text)]
-        counts = np.diff(ends, prepend=0) + 1
-        return counts, np.insert(body, ends, np.uint32(self.end_id))
-
-
-def write_files(docs: DataFrame, path: str, encoder: WordEncoder, vocabulary: int, files: int) -> None:
-    """Encode ``docs`` (doc_id, text) and write the token files of ``path``, one for each range of doc_ids."""
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        edge = np.flatnonzero(np.diff(((data == 32) | (data == 10)).astype(np.int8)))
+        begin, end = edge[0::2] + 1, edge[1::2] + 1
+        at = self._look_up(data, begin, end, word_hashes(data, begin, end, 43))
+        size, start = self.size[at], self.start[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        body = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.searchsorted(begin, np.cumsum([len(r) + 1 for r in raw]), "right")
+        ends = np.concatenate([[0], ends])[stops]
+        return np.diff(ends, prepend=0) + 1, np.insert(body, ends, np.uint32(self.end_id))
+
+
+def write_files(docs: DataFrame, path: str, encoder: WordEncoder, vocabulary: int, file_bytes: int = 16 << 20) -> None:
+    """Encode ``docs`` (doc_id, text) and write the token files of ``path``, one for each range of doc_ids.
+
+    A file holds about ``file_bytes`` of text, and is put together in one task.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = size // file_bytes + 1
     bits = bits_for(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
 
@@ -190,10 +227,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 if not len(data):
                     continue
                 file = TokenFile(data)
-                crc = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(len(file.doc_ids))]
                 own = pd.array(file.doc_ids, "Int64")
                 own[file.doc_ids == NULL_ID] = pd.NA
-                yield pd.DataFrame({"file": name, "doc_id": own, "inside": file.starts[:-1], "n_tokens": np.diff(file.starts), "ids_crc32": crc, "ids": file.n_ids})
+                yield pd.DataFrame({"file": name, "doc_id": own, "inside": file.starts[:-1], "n_tokens": np.diff(file.starts), "ids_crc32": file.crc32(), "ids": file.n_ids})
 
     return raw.select("path", "content").mapInPandas(run, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long, ids long")
 
