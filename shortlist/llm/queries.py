@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, fingerprints, jaccard_join, mixing, quality, suffix_dedup, token_files, toxicity
+from . import byte_bpe, chat, exact_dedup, filter_audit, fingerprints, jaccard_join, mixing, quality, simhash, suffix_dedup, token_files, toxicity
 from .common import held_out, staged
 
 
@@ -87,11 +87,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, width=3)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failing(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_suffix_dedup, op3_byte_bpe, op4_jaccard_join, op5_quality,
         op6_chat_format, op7_token_files, op8_mixing, op9_exact_dedup, op10_fingerprints,
+        op12_simhash, op13_filter_audit,
     )
 }
 
@@ -104,4 +113,42 @@ ORACLE = {
                doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
         from n window w as (partition by t)
     """,
+    "op13_filter_audit": r"""
+        with d as (
+            select coalesce(source, '') as part, coalesce(text, '') as t, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+                   exists (select 1 from labels l where l.doc_id = documents.doc_id and l.quality = 1) as good,
+                   exists (select 1 from labels l where l.doc_id = documents.doc_id and l.toxic = 1) as toxic
+            from documents
+        ), f as (
+            select part, good, toxic, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+                   100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+                   coalesce(doc_id > min(doc_id) over (partition by t), false) as e
+            from d
+        ), k as (
+            select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end
+                   || case when d then 'D' else '' end || case when e then 'E' else '' end as fails,
+                   count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+            from f group by all
+        ), letters(x) as (
+            values ('A'), ('B'), ('C'), ('D'), ('E')
+        ), orders as (
+            select v.x || w.x || x.x || y.x || z.x as filter_order from letters v, letters w, letters x, letters y, letters z
+            where len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5
+        ), steps as (
+            select filter_order, cast(step as int) as step, filter_order[step] as own, filter_order[1:step - 1] as before from orders, range(1, 6) r(step)
+        ), m as (
+            select part, filter_order, step, own, n, good, toxic, fails,
+                   contains(fails, own) as hit, regexp_matches(fails, '[_' || before || ']') as earlier
+            from k, steps
+        ), g as (
+            select part, filter_order, step, own, cast(sum(case when not hit and not earlier then n else 0 end) as bigint) as kept,
+                   cast(sum(case when hit and not earlier then n else 0 end) as bigint) as removed, cast(sum(case when hit and earlier then n else 0 end) as bigint) as redundant,
+                   cast(sum(case when fails = own then n else 0 end) as bigint) as unique_fails,
+                   cast(sum(case when hit and not earlier then good else 0 end) as bigint) as good_lost, cast(sum(case when hit and not earlier then toxic else 0 end) as bigint) as toxic_lost
+            from m group by part, filter_order, step, own
+        )
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               cast(sum(removed) over (partition by part, own) as bigint) as shapley from g
+    """,
 }
