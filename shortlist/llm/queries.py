@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, exact_dedup, filter_audit, fingerprints, jaccard_join, mixing, quality, simhash, suffix_dedup, token_files, toxicity
+from . import byte_bpe, chat, exact_dedup, filter_audit, fingerprints, hard_negatives, jaccard_join, mixing, quality, simhash, suffix_dedup, token_files, toxicity
 from .common import held_out, staged
 
 
@@ -87,6 +87,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every seventh vec_id is moved on by one, so that some rows are near others of a wrong label."""
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0, k=5, percent=80, scale=256)
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2, width=3)
 
@@ -100,7 +107,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_suffix_dedup, op3_byte_bpe, op4_jaccard_join, op5_quality,
         op6_chat_format, op7_token_files, op8_mixing, op9_exact_dedup, op10_fingerprints,
-        op12_simhash, op13_filter_audit,
+        op11_hard_negatives, op12_simhash, op13_filter_audit,
     )
 }
 
@@ -113,6 +120,27 @@ ORACLE = {
                doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256
         from n window w as (partition by t)
     """,
+    "op11_hard_negatives": """
+        with c as (
+            select vec_id, label, embedding, generate_subscripts(embedding, 1) as i, unnest(embedding) as x from embeddings
+        ), odd as (
+            select distinct vec_id from c where x is null or isnan(x) or isinf(x)
+        ), w as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list(cast(floor(256 * cast(x as double)) as double) order by i) as v
+            from c where label is not null and vec_id not in (from odd) group by vec_id, label
+        ), s as (
+            select a.vec_id as anchor_id, w.vec_id, w.label = a.label as same, cast(list_inner_product(a.v, w.v) as bigint) as score
+            from w a join w on a.vec_id <> w.vec_id where a.vec_id % 100 = 0
+        ), p as (
+            select anchor_id, vec_id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select anchor_id, positive_id, cast(row_number() over k as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id) where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+        window k as (partition by anchor_id, positive_id order by score desc, vec_id)
+        qualify row_number() over k <= 5
+    """,
     "op13_filter_audit": r"""
         with d as (
             select coalesce(source, '') as part, coalesce(text, '') as t, doc_id,
