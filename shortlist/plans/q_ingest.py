@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from shortlist.functions import text as X
@@ -14,17 +11,7 @@ from shortlist.plans.base import query
 from shortlist.plans.q_rules import ID, ID_SQL
 from shortlist.sources import normalise as S
 from shortlist.sources import tables
-
-
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that executors share; it goes when the driver's JVM ends."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="shortlist-"))
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+from shortlist.sources.staging import scratch
 
 
 def _ats_raw(spark, d):

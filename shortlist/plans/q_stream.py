@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlist.plans import bindings as B
 from shortlist.plans.base import query
-from shortlist.plans.q_ingest import scratch
+from shortlist.sources.staging import scratch
 from shortlist.streaming import jobs
 
 POSTING = ["url", "title", "company", "location", "application_url", "fit_score", "discovered_at", "scored_at", "l_orderkey"]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shortlist.functions.text import first_non_empty
+from shortlist.sources.staging import numbered
 
 LONG_ENOUGH = 200  # characters from which a description counts as the full one
 
@@ -140,11 +141,10 @@ def map_search_location(matrix: DataFrame, countries: DataFrame, boards: DataFra
 
 
 def shard(df: DataFrame, parts: int, part: int, order: list[str]) -> DataFrame:
-    """The rows of one of ``parts`` shards, round robin in a stable order (for small inputs such as search matrices)."""
+    """The rows of one of ``parts`` shards, round robin in a stable order; rows are numbered range by range (``numbered``)."""
     if not 1 <= part <= parts:
         raise ValueError(f"part must be from 1 to {parts}")
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("place", place).where(F.col("place") % parts == part - 1).drop("place")
+    return numbered(df, order, "__place").where(F.col("__place") % parts == part - 1).drop("__place")
 
 
 def shard_by_hash(df: DataFrame, parts: int, part: int, key: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from shortlist.operators.dedup import first_per_key
-from shortlist.operators.digest import HISTORY, history_rows, split_by_history
+from shortlist.operators.digest import HISTORY, history_rows, split_by_history, with_fingerprints
 
 SINKS: dict[str, Callable[[DataFrame, str], None]] = {}
 
@@ -48,16 +52,46 @@ def stored(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
 
 
-def enrich_stream(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: the same after a restart, another one for a new checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def each_batch(rows: DataFrame, checkpoint: str, step: Callable[[DataFrame, str], None]) -> StreamingQuery:
+    """Run ``step`` (batch, name) for each batch until the source is drained.
+
+    A name is made of the stream's id and the number of the batch. So a batch that is replayed
+    after a failure has its old name and may replace what it wrote, and the batches of
+    another checkpoint never have that name, though their numbers start at 0 again.
+    """
+
+    def named(batch: DataFrame, number: int) -> None:
+        step(batch, f"{stream_id(batch.sparkSession, checkpoint)}-{number}")
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(named).start()
+
+
+def enrich_stream(pending: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str | None = None) -> StreamingQuery:
     """Work on pending rows batch by batch until none is left; errors are rows of the result.
 
-    Each batch has a folder of its own, so that a batch that is replayed replaces its rows.
+    Each batch has a folder of its own (``each_batch``). With ``key``, rows whose key an
+    earlier batch or run has worked on are left out, so that a row costs its work once.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def step(batch: DataFrame, name: str) -> None:
+        if key:
+            batch = batch.join(_others(batch, path, name, key), key, "left_anti").select(*batch.columns)
+        work(batch).write.mode("overwrite").parquet(f"{path}/batch={name}")
+
+    return each_batch(pending, checkpoint, step)
+
 
-    return pending.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+def _others(batch: DataFrame, path: str, name: str, key: str) -> DataFrame:
+    """The keys that other batches stored at the path."""
+    spark = batch.sparkSession
+    kind = T.StructType([batch.schema[key]])
+    others = [f"{path}/{x}" for x in stored(spark, path) if x.startswith("batch=") and x != f"batch={name}"]
+    return spark.read.schema(kind).parquet(*others) if others else spark.createDataFrame([], kind)
 
 
 def ingest_deduplicated(rows: DataFrame, key: str, time: str, keep: str = "14 days") -> DataFrame:
@@ -69,53 +103,133 @@ def ingest_deduplicated(rows: DataFrame, key: str, time: str, keep: str = "14 da
 def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = 16) -> StreamingQuery:
     """First row per key over all time: each batch is checked against what earlier ones stored.
 
-    Rows lie in folders by a hash of their key and, in these, by batch: a batch reads
-    the keys of its own buckets alone, and replaces its rows when it is replayed.
+    Rows lie in folders by a hash of their key and, in these, by batch (``each_batch``): a
+    batch reads the keys of its own buckets alone, replaces its rows when it is replayed,
+    and sees what runs with other checkpoints stored. One stream at a time writes to a path.
     """
 
-    def store(batch: DataFrame, number: int) -> None:
+    def store(batch: DataFrame, name: str) -> None:
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        fresh = first_per_key(batch, key, order).withColumns({"bucket": bucket, "batch": F.lit(number)})
+        fresh = first_per_key(batch, key, order).withColumns({"bucket": bucket, "batch": F.lit(name)})
         if stored(spark, path):
-            layout = T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+            layout = T.StructType([*batch.schema, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.StringType())])
             met = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
-            known = spark.read.schema(layout).parquet(path).where(F.col("bucket").isin(met) & (F.col("batch") < number)).select(key)
+            known = spark.read.schema(layout).parquet(path).where(F.col("bucket").isin(met) & (F.col("batch") != name)).select(key)
             fresh = fresh.join(known, key, "left_anti")
         writer = fresh.select(*batch.columns, "bucket", "batch").repartition("bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(path)
 
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(store).start()
+    return each_batch(rows, checkpoint, store)
+
+
+def _log(spark: SparkSession, history_path: str, without: str = "") -> DataFrame:
+    """The rows of a history log but for those of one part."""
+    parts = [f"{history_path}/{x}" for x in stored(spark, history_path) if x.startswith("part=") and x != f"part={without}"]
+    return spark.read.schema(HISTORY_SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], HISTORY_SCHEMA)
+
 
+def _send(rows: DataFrame, key: str, history_path: str, out_path: str, name: str) -> None:
+    """Store what a batch sends, and its history; of postings that share a role the first goes out."""
+    spark = rows.sparkSession
+    columns = [c for c in rows.columns if c not in ("seen", "primary_fp", "role_fp")]
+    first_per_key(rows, "role_fp", [key]).select(*columns).write.mode("overwrite").parquet(f"{out_path}/batch={name}")
+    back = spark.read.schema(rows.select(*columns).schema).parquet(f"{out_path}/batch={name}")
+    history_rows(back, F.col("scored_at").cast("timestamp")).write.mode("overwrite").parquet(f"{history_path}/part={name}")
 
-def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str, run: str = "") -> StreamingQuery:
+
+def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str) -> StreamingQuery:
     """Pass on postings whose fingerprints the durable history does not know, and add them to it.
 
-    The history is a log: every batch adds the rows of what it sent, in a folder
-    named by run and batch, and a fingerprint in any folder but its own is known. So
-    a batch that is replayed gives the same rows again, and a new run (another
-    ``run`` with a checkpoint of its own) goes on with what earlier ones sent.
-    ``compact_history`` gives one row a fingerprint.
+    The history is a log: every batch adds the rows of what it sent in a part named like the batch
+    (``each_batch``), and a fingerprint in any part but its own is known. So a batch that is
+    replayed gives the same rows again, and a run with a new checkpoint goes on with what earlier
+    ones sent. ``compact_history`` gives one row a fingerprint, and ``rewrite_history`` makes the
+    log that short. One stream at a time writes to a history.
     """
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark, name = batch.sparkSession, f"{run}{number}"
-        own = f"part={name}"
-        others = [f"{history_path}/{x}" for x in stored(spark, history_path) if x.startswith("part=") and x != own]
-        history = spark.read.schema(HISTORY_SCHEMA).parquet(*others) if others else spark.createDataFrame([], HISTORY_SCHEMA)
-        fresh = split_by_history(batch, history, key).where(~F.col("seen"))
-        # of postings that share a role in one batch the first goes out
-        sent = first_per_key(fresh, "role_fp", [key]).select(*batch.columns)
-        sent.write.mode("overwrite").parquet(f"{out_path}/batch={name}")
-        back = spark.read.schema(sent.schema).parquet(f"{out_path}/batch={name}")
-        history_rows(back, F.col("scored_at").cast("timestamp")).write.mode("overwrite").parquet(f"{history_path}/{own}")
+    def step(batch: DataFrame, name: str) -> None:
+        fresh = split_by_history(batch, _log(batch.sparkSession, history_path, name), key).where(~F.col("seen"))
+        _send(fresh, key, history_path, out_path, name)
+
+    return each_batch(rows, checkpoint, step)
+
+
+class FirstMet(StatefulProcessor):
+    """Of the rows (fp, key, ..) of one fingerprint that was not met before, the one with the least key; and the fingerprint is met."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.met = handle.getValueState("met", "known boolean", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        frames = list(rows)
+        if not self.met.exists() and frames:
+            self.met.update((True,))
+            every = pd.concat(frames)
+            yield every.sort_values("key").head(1)
 
-    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+    def handleInitialState(self, key, initial, timer_values) -> None:
+        self.met.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def suppress_with_state(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str, keep: timedelta | None = None) -> StreamingQuery:
+    """As ``suppress_reposts``, with the known fingerprints in the state store, so that a batch reads no history.
+
+    The state starts with the fingerprints of the stored history when the checkpoint is new, and every batch
+    still adds to that log, so a later run with another checkpoint knows them too. ``keep`` bounds the state:
+    a fingerprint is forgotten so long after it was met. A fingerprint counts as met once a
+    posting with it arrives, sent or not; ``suppress_reposts`` counts those of sent postings alone.
+    Of postings of one batch that share a fingerprint the one with the least key may go out.
+    """
+    spark = rows.sparkSession
+    prints = F.array_distinct(F.array("primary_fp", "role_fp"))
+    asked = with_fingerprints(rows).select(F.col(key).cast("string").alias("key"), F.size(prints).alias("prints"), F.to_json(F.struct(*rows.columns)).alias("row"), F.explode(prints).alias("fp"))
+    known = _log(spark, history_path).select(F.col("fingerprint").alias("fp")).distinct()
+    millis = None if keep is None else int(keep.total_seconds() * 1000)
+    met = asked.groupBy("fp").transformWithStateInPandas(
+        FirstMet(millis), "key string, prints int, row string, fp string", "append", "none" if keep is None else "processingTime", initialState=known.groupBy("fp")
+    )
+    schema = rows.schema
+
+    def step(batch: DataFrame, name: str) -> None:
+        fresh = batch.groupBy("key", "row").agg(F.count(F.lit(1)).alias("first"), F.max("prints").alias("prints")).where("first = prints")
+        back = fresh.select(F.from_json("row", schema).alias("row")).select("row.*")
+        _send(with_fingerprints(back), key, history_path, out_path, name)
+
+    needed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if keep is not None:  # else a state with a lifetime asks for batch after batch, and the stream is never drained
+        needed["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {k: spark.conf.get(k, None) for k in needed}
+    try:
+        for k, v in needed.items():
+            spark.conf.set(k, v)
+        return each_batch(met, checkpoint, step)  # a stream keeps the settings that it starts with
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def rewrite_history(spark: SparkSession, history_path: str) -> None:
+    """Put one part with one row a fingerprint in the place of all parts, while no stream writes.
+
+    The new part is whole before the old ones go; if the job is lost between, rows are there twice, which changes nothing.
+    """
+    old = [x for x in stored(spark, history_path) if x.startswith("part=")]
+    compact_history(spark, history_path).write.parquet(f"{history_path}/part=compact-{uuid.uuid4().hex}")
+    for x in old:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{history_path}/{x}")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def compact_history(spark: SparkSession, history_path: str) -> DataFrame:
     """One row a fingerprint of a history log: first and last time, and the rest as last sent."""
-    log = spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{history_path}/{x}" for x in stored(spark, history_path) if x.startswith("part=")])
+    log = _log(spark, history_path)
     rest = F.max_by(F.struct(*HISTORY[3:]), F.struct("last_seen_at", "url"))
     both = log.groupBy("fingerprint").agg(F.min("first_notified_at").alias("first_notified_at"), F.max("last_seen_at").alias("last_seen_at"), rest.alias("r"))
     return both.select("fingerprint", "first_notified_at", "last_seen_at", *[F.col(f"r.{c}").alias(c) for c in HISTORY[3:]])

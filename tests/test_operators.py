@@ -8,7 +8,6 @@ from shortlist.functions import text as X
 from shortlist.operators import digest, filters, lifecycle, pages, quality, reports, responses
 from shortlist.sources import normalise as S
 from shortlist.sources import tables
-from shortlist.streaming import jobs
 
 
 def one(spark, column, **values):
@@ -186,44 +185,6 @@ def test_sections_of_rows_without_a_score(spark):
     assert got == {1: (True, 2), 2: (False, 2), 3: (True, 2), 4: (False, 2), 5: (True, 1)}
 
 
-POSTING = "url string, title string, company string, location string, application_url string, fit_score int, discovered_at timestamp, scored_at timestamp"
-
-
-def _posting(n, role="r"):
-    return (f"https://b.example/{n}", role, "c", "l", None, 8, datetime.datetime(2024, 1, n + 1), datetime.datetime(2024, 2, n + 1))
-
-
-def test_history_outlives_checkpoints(spark, tmp_path):
-    sent = []
-    for run, rows in (("one", [_posting(1, "a"), _posting(2, "b")]), ("two", [_posting(1, "a"), _posting(3, "b"), _posting(4, "d")])):
-        df = spark.createDataFrame(rows, POSTING)
-        df.coalesce(1).write.parquet(f"{tmp_path}/{run}/in")
-        stream = jobs.source(spark, f"{tmp_path}/{run}/in", df.schema)
-        jobs.suppress_reposts(stream, f"{tmp_path}/history", f"{tmp_path}/{run}/out", f"{tmp_path}/{run}/cp", "url", run).awaitTermination()
-        sent.append(sorted(r.url[-1] for r in spark.read.parquet(f"{tmp_path}/{run}/out").collect()))
-    # 3 has the role of 2
-    assert sent == [["1", "2"], ["4"]]
-    history = jobs.compact_history(spark, f"{tmp_path}/history")
-    assert history.count() == history.select("fingerprint").distinct().count() == 6
-
-
-def test_first_row_per_key_over_batches_and_replays(spark, tmp_path):
-    schema = "url string, n int"
-    for k, rows in enumerate(([("a", 1), ("a", 2), ("b", 3)], [("b", 4), ("c", 5)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
-    for replay in range(2):
-        for k in range(2):
-            stream = jobs.source(spark, f"{tmp_path}/in{k}", spark.read.parquet(f"{tmp_path}/in0").schema)
-            # a checkpoint of its own makes each run start with batch 0 again
-            jobs.ingest_exact(stream, f"{tmp_path}/out", f"{tmp_path}/cp{replay}", "url", ["n"], buckets=4).awaitTermination()
-            break
-    assert sorted((r.url, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1), ("b", 3)]
-    done = jobs.enrich_stream(jobs.source(spark, f"{tmp_path}/in1", spark.read.parquet(f"{tmp_path}/in0").schema), lambda b: b, f"{tmp_path}/work", f"{tmp_path}/cpw")
-    done.awaitTermination()
-    jobs.enrich_stream(jobs.source(spark, f"{tmp_path}/in1", spark.read.parquet(f"{tmp_path}/in0").schema), lambda b: b, f"{tmp_path}/work", f"{tmp_path}/cpw2").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/work").count() == 2
-
-
 def test_versions_of_a_table(spark, tmp_path):
     path = f"{tmp_path}/table"
     with pytest.raises(FileNotFoundError):
