@@ -119,7 +119,7 @@ def h12_cascade(spark, d):
 
 
 @query("""
-    with t as (select doc_id, case when doc_id % 5 in (0, 1) and length(trim(text)) >= 60 then 1 when doc_id % 5 = 3 and length(trim(text)) >= 110 then 2 when doc_id % 5 = 4 then 3 else 0 end as tier from documents)
+    with t as (select doc_id, case when doc_id % 5 in (0, 1) and length(trim(text)) >= 50 then 1 when doc_id % 5 = 3 and length(trim(text)) >= 100 then 2 when doc_id % 5 = 4 then 3 else 0 end as tier from documents)
     select tier, count(*) as pages from t group by tier""")
 def h12_tiers(spark, d):
     model = B.table(spark, d, "documents").where("doc_id % 5 = 4").select("doc_id", F.lit("from a model").alias("full_description"), F.lit(None).cast("string").alias("application_url"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shortlist.plans import bindings as B
 from shortlist.plans.base import query
+from shortlist.plans.q_digest import PRINTS
 from shortlist.sources.staging import scratch
 from shortlist.streaming import jobs
 
@@ -38,9 +39,9 @@ def m2_ingest_exact(spark, d):
     return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("stored"))
 
 
-@query()
+@query("select count(distinct url) as urls from postings")
 def m2_ingest_within_watermark(spark, d):
-    """First row per URL within the retention, with bounded state."""
+    """First row per URL within the retention, with bounded state; one batch has all rows, so that none is late."""
     base = scratch(spark, "m2w")
     rows = B.postings(spark, d).select("url", "title", F.col("discovered_at").cast("timestamp").alias("discovered_at"))
     schema = _as_files(rows, f"{base}/in", 2)
@@ -49,14 +50,37 @@ def m2_ingest_within_watermark(spark, d):
     return spark.read.schema(schema).parquet(f"{base}/out").agg(F.count_distinct("url").alias("urls"))
 
 
-@query()
+KEYED = "keyed as (select distinct url || '#' || l_partkey || '#' || l_suppkey as k, l_orderkey % 2 as run, url, title, primary_fp, role_fp from prints)"
+
+
+def _two_runs(spark, d, name, suppress):
+    """Postings of even orders, then those of odd ones, by two streams with checkpoints of their own and one history: what both sent."""
+    base = scratch(spark, name)
+    rows = B.postings(spark, d).select(F.concat_ws("#", "url", "l_partkey", "l_suppkey").alias("k"), *POSTING).dropDuplicates(["k"])
+    for run in (0, 1):
+        schema = _as_files(rows.where(F.col("l_orderkey") % 2 == run), f"{base}/in{run}", 4)
+        suppress(jobs.source(spark, f"{base}/in{run}", schema), f"{base}/history", f"{base}/out", f"{base}/cp{run}", "k").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query(f"""
+    with {PRINTS}, {KEYED}, one as (select *, row_number() over (partition by role_fp order by k) as n from keyed where run = 0),
+    known as (select unnest([primary_fp, role_fp]) as fp from one where n = 1),
+    two as (select *, row_number() over (partition by role_fp order by k) as n from keyed where run = 1 and primary_fp not in (from known) and role_fp not in (from known))
+    select k, title from one where n = 1 union all select k, title from two where n = 1""")
 def m3_suppress_reposts(spark, d):
-    """Postings of two batches; the second one's reposts are held back by the durable history."""
-    base = scratch(spark, "m3")
-    rows = B.postings(spark, d).select(*POSTING)
-    schema = _as_files(rows, f"{base}/in", 2)
-    jobs.suppress_reposts(jobs.source(spark, f"{base}/in", schema, files=1), f"{base}/history", f"{base}/out", f"{base}/cp", "url").awaitTermination()
-    return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("sent"), F.count_distinct("url").alias("urls"))
+    """What two runs send; the second one's reposts are held back by the durable history."""
+    return _two_runs(spark, d, "m3", jobs.suppress_reposts).select("k", "title")
+
+
+@query(f"""
+    with {PRINTS}, {KEYED}, first as (select run, fp, min(k) as k from (select run, k, unnest([primary_fp, role_fp]) as fp from keyed) group by run, fp),
+    met as (select *, k = (select k from first where fp = primary_fp and first.run = keyed.run) and k = (select k from first where fp = role_fp and first.run = keyed.run) as own from keyed),
+    known as (select unnest([primary_fp, role_fp]) as fp from met where run = 0 and own)
+    select k, title from met where own and (run = 0 or primary_fp not in (from known) and role_fp not in (from known))""")
+def m3_suppress_with_state(spark, d):
+    """As above with the state store, which counts a fingerprint from the first posting of a run that has it."""
+    return _two_runs(spark, d, "m3-state", jobs.suppress_with_state).select("k", "title")
 
 
 @query("select cast(created_at as date) as day, count(*) as calls, cast(sum(prompt_tokens) as bigint) as prompt_tokens, cast(sum(completion_tokens) as bigint) as completion_tokens from usage group by 1")
