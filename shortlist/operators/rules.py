@@ -12,6 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shortlist.functions.phrases import with_phrases
 from shortlist.functions.text import collapse, contains_phrase, first_items, first_phrase, matched_phrases
 
 
@@ -169,30 +170,25 @@ def phrase_table(spark: SparkSession, prefs: dict[str, Preferences]) -> DataFram
 PHRASE_COLUMNS = "profile string, kind string, ord int, phrase string, max_score int, name string"
 
 
-def _marked(phrases: Column, in_title: bool) -> Column:
-    return F.transform(phrases, lambda p: F.struct(F.lit(in_title).alias("in_title"), p.alias("phrase")))
-
-
-def score_many(postings: DataFrame, phrases: DataFrame, key: str, at_once: int = 200) -> DataFrame:
+def score_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
     """(profile, key, score, rule) for every profile of ``phrases`` (``PHRASE_COLUMNS``), as ``score_by_rules`` gives them.
 
-    Each different phrase is one compiled pattern, whatever number of profiles it
-    serves; ``at_once`` of them are tried in one scan. Only matches are joined with the
-    profiles, and only their counts by profile are shuffled. ``key`` names each posting.
+    Postings are scanned once: an automaton of all different phrases walks through title and
+    text, whatever number of profiles a phrase serves. A posting's matches are summed up by profile before
+    anything is shuffled. ``key`` names each posting.
     """
     text = postings.select(key, collapse(F.col("title")).alias("title"), posting_text().alias("text"))
     wanted = phrases.withColumn("in_title", F.col("kind").isin("target", "adjacent", "reject"))
     # a configuration: its different phrases meet on the driver
-    different = sorted((r["in_title"], r["phrase"]) for r in wanted.select("in_title", "phrase").distinct().collect())
-    hits = None
-    for start in range(0, len(different) or 1, at_once):
-        block = different[start : start + at_once]
-        found = [matched_phrases(F.col(column), [p for title, p in block if title == flag]) for column, flag in (("title", True), ("text", False))]
-        told = F.concat(_marked(found[0], True), _marked(found[1], False))
-        own = text.select(key, F.explode(told).alias("hit")).select(key, "hit.in_title", "hit.phrase")
-        hits = own if hits is None else hits.unionByName(own)
-    table = wanted.select("profile", "kind", "ord", "phrase", "in_title", F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
-    hits = hits.join(table, ["in_title", "phrase"])
+    different = wanted.select("in_title", "phrase").distinct().collect()
+    lists = {"title": sorted(r["phrase"] for r in different if r["in_title"]), "text": sorted(r["phrase"] for r in different if not r["in_title"])}
+    found = with_phrases(text, key, lists)
+    number = phrases.sparkSession.createDataFrame([(c == "title", p, i) for c in lists for i, p in enumerate(lists[c])], "in_title boolean, phrase string, number int")
+    marked = lambda c: F.transform(c, lambda i: F.struct(F.lit(c == "title").alias("in_title"), i.alias("number")))
+    hits = found.select(key, F.explode(F.concat(marked("title"), marked("text"))).alias("hit")).select(key, "hit.*")
+    wanted = wanted.join(number, ["in_title", "phrase"])
+    table = wanted.select("profile", "kind", "ord", "number", "in_title", F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
+    hits = hits.join(table, ["in_title", "number"])
     kinds = ["reject", "dealbreaker", "target", "adjacent", "positive", "negative"]
     low_cap = F.when((F.col("kind") == "cap") & (F.col("most") <= 4), F.struct("ord", "most", "name"))
     counts = hits.groupBy("profile", key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.min(low_cap).alias("cap"))
