@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shortlist.functions.text import canonical, html_escape, short_summary
 from shortlist.operators.dedup import digest_best
 from shortlist.operators.lifecycle import upsert
+from shortlist.operators.packing import pack_messages  # noqa: F401
 
 HISTORY = ["fingerprint", "first_notified_at", "last_seen_at", "url", "application_url", "title", "company", "location", "fit_score"]
 HISTORY_RULES = {"first_notified_at": "keep", "last_seen_at": "replace", "fit_score": "replace"}
@@ -94,26 +95,6 @@ def compact_line(fit: Column) -> Column:
     return F.concat(line, F.when(short != "", F.concat(F.lit(" — "), short)).otherwise(""))
 
 
-def pack_messages(lines: DataFrame, by: str, order: list[str], limit: int = 3800) -> DataFrame:
-    """(by, line) -> (by, part, lines, size): greedy parts of at most ``limit`` characters, in order.
-
-    A digest is one list of lines, so each one is packed by itself; its size is
-    bounded by what a digest shows.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    start = F.struct(F.lit(1).alias("part"), F.lit(0).alias("size"), F.array().cast("array<struct<part:int,size:int>>").alias("out"))
-
-    def add(acc, x):
-        n = F.length(x["line"])
-        over = (acc["size"] > 0) & (acc["size"] + 1 + n > limit)
-        part = F.when(over, acc["part"] + 1).otherwise(acc["part"])
-        size = F.when(over | (acc["size"] == 0), n).otherwise(acc["size"] + 1 + n)
-        return F.struct(part.alias("part"), size.alias("size"), F.concat(acc["out"], F.array(F.struct(part.alias("part"), size.alias("size")))).alias("out"))
-
-    packed = lines.groupBy(by).agg(F.aggregate(ordered, start, add)["out"].alias("out"))
-    return packed.select(by, F.explode("out").alias("x")).groupBy(by, F.col("x.part").alias("part")).agg(F.count(F.lit(1)).alias("lines"), F.max("x.size").alias("size"))
-
-
 def delivery_merge(df: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
     """Outcomes (key, outcome, reason, at): sent and closed rows count as notified, failed ones keep an error alone."""
     o = outcomes.select(F.col(key).alias("o_key"), "outcome", "reason", "at")
