@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from shortlist.operators.key_filter import key_filter, with_may_hold
+from shortlist.sources.staging import staged
 from pyspark.sql import types as T
 
 #: The columns of the postings table; every one but ``url`` may be null.
@@ -88,12 +91,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str]) -> D
     return joined.select(*out)
 
 
-def insert_new(existing: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The rows of ``batch`` to store: the first of each key that ``existing`` does not have."""
+def insert_new(existing: DataFrame, batch: DataFrame, key: str, order: list[str], stored: DataFrame | None = None, bits: int = 1 << 24) -> DataFrame:
+    """The rows of ``batch`` to store: the first of each key that ``existing`` does not have.
+
+    With ``stored``, a filter of the keys of ``existing`` (``key_filter`` with ``bits``), rows whose keys it surely does not hold are
+    new without a join. The others meet only those stored keys that a filter of their own lets
+    through, so that most of ``existing`` is scanned for its key column and never shuffled.
+    """
     from shortlist.operators.dedup import first_per_key
 
-    fresh = first_per_key(batch.where(F.col(key).isNotNull() & (F.col(key) != "")), key, order)
-    return fresh.join(existing.select(key), key, "left_anti").select(*batch.columns)
+    fresh = first_per_key(batch.where(F.col(key).isNotNull() & (F.col(key) != "")), key, order).select(*batch.columns)
+    if stored is None:
+        return fresh.join(existing.select(key), key, "left_anti").select(*batch.columns)
+    marked = staged(with_may_hold(fresh, key, stored, bits, "__may"), "marked")
+    doubtful = marked.where("__may")
+    asked = with_may_hold(existing.select(key), key, key_filter(doubtful, key, bits), bits, "__may").where("__may").select(key)
+    return marked.where("not __may").unionByName(doubtful.join(asked, key, "left_anti").select(*marked.columns)).select(*batch.columns)
 
 
 def run_state(starts: DataFrame, finishes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from shortlist.plans import bindings as B
 from shortlist.plans.base import query
 from shortlist.plans.q_ingest import CANON
 from shortlist.plans.q_rules import ID, ID_SQL
+from shortlist.sources import tables
+from shortlist.sources.staging import scratch
 
 PRINTS = f"""prints as (select *, sha256(case when {CANON.format(c='application_url')} <> '' then 'application_url:' || {CANON.format(c='application_url')} when {CANON.format(c='url')} <> '' then 'url:' || {CANON.format(c='url')} else 'role' end) as primary_fp,
     sha256('role:' || {CANON.format(c='title')} || '|' || {CANON.format(c='company')} || '|' || {CANON.format(c='location')}) as role_fp from postings)"""
@@ -39,6 +41,14 @@ def d2_digest_candidates(spark, d):
     return D.digest_candidates(B.postings(spark, d), 8).select(*ID, "title", "fit_score")
 
 
+@query(f"with {SEEN} select {ID_SQL}, was_seen as seen from seen")
+def d3_bucketed_history(spark, d):
+    """As below, with the history stored by buckets of its fingerprints, so that it is not shuffled."""
+    path = scratch(spark, "history")
+    known = tables.write_bucketed(history(spark, d), f"history_{path[-32:]}", "fingerprint", 16, path)
+    return D.split_by_history(D.digest_candidates(keyed(spark, d), 8), known, "k").select(*ID, "seen")
+
+
 @query(f"with {SEEN} select {ID_SQL}, was_seen as seen from seen")
 def d3_suppress_history(spark, d):
     return D.split_by_history(D.digest_candidates(keyed(spark, d), 8), history(spark, d), "k").select(*ID, "seen")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shortlist.functions import text as X
-from shortlist.operators import lifecycle
+from shortlist.operators import key_filter, lifecycle
 from shortlist.plans import bindings as B
 from shortlist.plans.base import query
 from shortlist.plans.q_rules import ID, ID_SQL
@@ -150,14 +150,25 @@ def s15_fill_company(spark, d):
     return S.fill_company(rows).select(*ID, "company")
 
 
-@query("""
+INSERTED = """
     with first as (select *, row_number() over (partition by url order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as rn from postings)
-    select url, title, l_partkey from first where rn = 1 and url not in (select url from postings where l_orderkey % 3 = 0)""")
+    select url, title, l_partkey from first where rn = 1 and url not in (select url from postings where l_orderkey % 3 = 0)"""
+
+
+@query(INSERTED)
 def s16_insert_new(spark, d):
     p = B.postings(spark, d)
     return lifecycle.insert_new(p.where("l_orderkey % 3 = 0"), p, "url", B.K).select("url", "title", "l_partkey")
 
 
+@query(INSERTED)
+def s16_insert_filtered(spark, d):
+    """The same with a filter of the stored keys."""
+    p = B.postings(spark, d)
+    stored = p.where("l_orderkey % 3 = 0")
+    return lifecycle.insert_new(stored, p, "url", B.K, key_filter.key_filter(stored, "url")).select("url", "title", "l_partkey")
+
+
 @query()
 def s17_text_sink(spark, d):
     """Digest lines written as text and read back."""

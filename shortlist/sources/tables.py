@@ -2,7 +2,8 @@
 
 A version is a folder ``v<number>`` that counts once Spark's writer has committed it
 (``_SUCCESS``), so a reader sees the last whole version while the next one is written, and
-a failed write leaves no trace in what is read.
+a failed write leaves no trace in what is read. A table has one writer at a time: two would
+take the same number. An update by key or a delete writes the whole table anew.
 """
 
 from __future__ import annotations
@@ -48,6 +49,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         system.delete(where, True)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """``df`` as a catalogue table whose files are dealt and sorted by a hash of ``key``; what joins it by that key is shuffled to its
+    buckets, and the table stays where it is. Give as many buckets as ``spark.sql.shuffle.partitions`` or more, else both sides may move.
+    """
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def update_table(spark: SparkSession, path: str, changes: DataFrame, key: str, rules: dict[str, Column], partition_by: list[str] | None = None) -> None:
     """``update_by_key`` on the table."""
     write_table(update_by_key(read_table(spark, path), changes, key, rules), path, partition_by)
