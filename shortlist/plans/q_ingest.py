@@ -181,6 +181,16 @@ def s17_text_sink(spark, d):
     return spark.read.text(path)
 
 
+@query("select l_orderkey as place, title as line from postings")
+def s17_committed_lines(spark, d):
+    """Lines through the data source that commits whole writes, and back."""
+    from shortlist.streaming.jobs import to_committed
+
+    path = scratch(spark, "committed")
+    to_committed(B.postings(spark, d).select(F.col("l_orderkey").alias("place"), F.col("title").alias("line")), path)
+    return spark.read.format("committed_lines").load(path)
+
+
 @query("select status, count(*) as postings, count(distinct url) as urls from postings group by status")
 def s19_table_sink(spark, d):
     """Postings written as a table partitioned by status, and read back."""
@@ -267,12 +277,12 @@ def x9_word_count(spark, d):
 def f1_registered_sources(spark, d):
     """All registered normalisers over their raw frames, in one union."""
     docs = B.table(spark, d, "documents")
-    ats = docs.select(F.concat(F.lit("https://d.example/doc/"), "doc_id").alias("external_url"), F.substring("text", 1, 40).alias("title"), F.col("source").alias("employer"), F.col("lang").alias("location"), F.col("text").alias("job_description"), F.col("lang").alias("fetched_at"))
+    ats = docs.select(F.concat(F.lit("https://d.example/doc/"), "doc_id").alias("external_url"), F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("employer"), F.col("lang").alias("location"), F.col("text").alias("job_description"), F.col("lang").alias("fetched_at"))
     board = B.postings(spark, d).select("url", "title", "company", "location", "site", F.lit("q").alias("query_label"), F.lit(False).alias("is_remote"), F.col("l_extendedprice").alias("salary_min"), F.lit(None).cast("double").alias("salary_max"), F.lit("USD").alias("currency"), F.lit("yearly").alias("interval"), "application_url", F.lit(None).cast("string").alias("date_posted"), "description")
     return S.normalise_all({"ats": ats, "board": board}).select("url", "title", "company", "location", "site", "salary")
 
 
-@query()
+@query("select unnest(['text', 'parquet', 'committed']) as sink, (select count(*) from postings) as lines")
 def f2_registered_sinks(spark, d):
     """A digest through every registered sink, read back and counted."""
     from shortlist.operators.digest import compact_line
@@ -283,6 +293,7 @@ def f2_registered_sinks(spark, d):
     for name, sink in SINKS.items():
         path = scratch(spark, name)
         sink(lines, path)
-        back = (spark.read.text(path) if name == "text" else spark.read.parquet(path)).agg(F.count(F.lit(1)).alias("lines")).select(F.lit(name).alias("sink"), "lines")
+        reader = {"text": spark.read.format("text"), "parquet": spark.read.format("parquet"), "committed": spark.read.format("committed_lines")}[name]
+        back = reader.load(path).agg(F.count(F.lit(1)).alias("lines")).select(F.lit(name).alias("sink"), "lines")
         out = back if out is None else out.unionByName(back)
     return out

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from shortlist.operators.dedup import first_per_key
 from shortlist.operators.digest import HISTORY, history_rows, split_by_history, with_fingerprints
+from shortlist.sources.committed import CommittedLines
 
 SINKS: dict[str, Callable[[DataFrame, str], None]] = {}
 
@@ -40,6 +41,13 @@ def to_parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+@register_sink("committed")
+def to_committed(rows: DataFrame, path: str) -> None:
+    """Lines that count once the whole write has ended (``CommittedLines``)."""
+    rows.sparkSession.dataSource.register(CommittedLines)
+    rows.write.format("committed_lines").mode("append").save(path)
+
+
 def source(spark: SparkSession, path: str, schema: T.StructType, files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)

@@ -105,10 +105,6 @@ def _lines(rows, ask):
     assert len(rows) == ask("select count(*) from postings")[0][0] and all(r.value.startswith("• <b>[") for r in rows)
 
 
-def _sinks(rows, ask):
-    assert {(r.sink, r.lines) for r in rows} == {(k, ask("select count(*) from postings")[0][0]) for k in ("text", "parquet")}
-
-
 def _sources(rows, ask):
     assert len(rows) == ask("select (select count(*) from documents) + (select count(*) from postings)")[0][0]
 
@@ -127,7 +123,6 @@ EXPECTED = {
     "x7_short_summary": _summaries,
     "d9_pack_messages": _packed,
     "f1_registered_sources": _sources,
-    "f2_registered_sinks": _sinks,
 }
 
 
