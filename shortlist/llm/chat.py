@@ -10,7 +10,8 @@ reply skips back starts a branch; the messages after it belong to that branch.
 
 ``order_key`` sorts a conversation into reply order: a branch follows the message
 it answers, and goes on before that message's own line goes on. Keys are text of
-equal-width turns, so no conversation is ever gathered in one task.
+equal-width turns. Windows over the turns of a conversation that has branches sort its messages in one
+task, which can spill; texts are not in a window that looks for quotes.
 
 Null texts are empty; rows with a null conv_id or turn link with nothing and keep a
 null order key; repeated rows each stay. Quotes without an original are removed
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 QUOTE = r"^[ \t]*>[> \t]*"
 LINE_END = r"\r?\n"
@@ -111,16 +112,14 @@ def _ordered(answered: DataFrame, silent: DataFrame) -> DataFrame:
     )
     so_far = Window.partitionBy("conv_id").orderBy("at", F.col("start").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = points.withColumn("above", F.last("start", ignorenulls=True).over(so_far)).where("branch is not null").select("conv_id", "branch", F.col("at").alias("parent"), "above")
-    todo = staged(above, "above")
     step = F.concat(_turn(F.col("parent")), F.lit("."), _turn(F.col("branch")), F.lit("."))
-    paths = todo.where("above is null").select("conv_id", "branch", step.alias("path"))
-    todo = todo.where("above is not null")
-    done = paths
-    while not todo.isEmpty():
-        paths = staged(todo.join(paths.select("conv_id", F.col("branch").cast("long").alias("above"), "path"), ["conv_id", "above"]).select("conv_id", "branch", F.concat("path", step).alias("path")), "paths")
-        done = done.unionByName(paths)
-        todo = staged(todo.join(done.select("conv_id", "branch"), ["conv_id", "branch"], "left_anti"), "todo")
-    done = staged(done, "all-paths")
+    done = staged(above.select("conv_id", "branch", "above", step.alias("path")), "paths")
+    # each round doubles how far up a path reaches, so deep nesting takes few rounds, and each plan reads one table
+    while not done.where("above is not null").isEmpty():
+        up = done.select("conv_id", F.col("branch").cast("long").alias("above"), F.col("above").alias("further"), F.col("path").alias("upper"))
+        longer = done.join(up, ["conv_id", "above"], "left").select("conv_id", "branch", F.col("further").alias("above"), F.concat(F.coalesce("upper", F.lit("")), "path").alias("path"))
+        shorter, done = done, staged(longer, "paths")
+        release(shorter)
     branched = done.select("conv_id").distinct()
     marks = done.select("conv_id", F.col("branch").alias("turn"), "path")
     inside = every.join(branched, "conv_id", "left_semi")
