@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import RangeHash, pieces, staged
 
 GRAM = 16
-PIECE = 3 << 18
+PIECE = 3 << 18  # characters that are hashed at a time
 #: Kinds of rows: a block, a suffix, and a run of suffixes that are known to repeat.
 BLOCK, SUFFIX, KNOWN = 0, 1, 2
 #: ``at`` packs a run's start (32 bits), its number of suffixes (30) and its kind (2): shuffled rows stay short.
