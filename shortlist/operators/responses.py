@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,40 +76,58 @@ def parse_score(text: Column) -> Column:
     return F.struct(score.alias("score"), fields["FIT"].alias("fit"), fields["GAP"].alias("gap"), fields["KEYWORDS"].alias("keywords"), error.alias("error"))
 
 
-def _strict(text: str) -> str | None:
-    try:
-        return json.dumps(json.loads(text))
-    except (ValueError, RecursionError):
-        return None
+_TOKEN = r"(?s)\\.|[\"{}\[\]]|[^\"{}\[\]\\]+|\\"
 
 
-def json_of(text: str | None) -> str | None:
-    """The JSON in a response: the whole text, else a fenced block, else the outermost braces, else a prefix."""
-    text = (text or "").strip()
-    if (found := _strict(text)) is not None:
-        return found
-    for block in text.split("```")[1::2]:
-        block = block.strip()
-        if (found := _strict(block[4:].strip() if block.lower().startswith("json") else block)) is not None:
-            return found
-    start, end = text.find("{"), text.rfind("}")
-    while 0 <= start < end:
-        if (found := _strict(text[start : end + 1])) is not None:
-            return found
-        end = text.rfind("}", start, end)
-    return None
+def _balanced(text: Column) -> Column:
+    """struct<n, tokens>: the tokens of a text, and how many of them make up its first bracketed value (0: it never closes)."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    state = lambda depth, inside, n, end: F.struct(depth.alias("depth"), inside.alias("inside"), n.alias("n"), end.alias("end"))
 
+    def step(s: Column, token: Column) -> Column:
+        n, out = s["n"] + 1, ~s["inside"]
+        depth = s["depth"] + F.when(out & token.isin("{", "["), 1).when(out & token.isin("}", "]"), -1).otherwise(0)
+        closes = (s["end"] == 0) & out & token.isin("}", "]") & (depth == 0)
+        return state(depth, F.when(token == '"', out).otherwise(s["inside"]), n, F.when(closes, n).otherwise(s["end"]))
+
+    end = F.aggregate(tokens, state(F.lit(0), F.lit(False), F.lit(0), F.lit(0)), step)["end"]
+    return F.struct(end.alias("n"), tokens.alias("tokens"))
+
+
+def _if_valid(text: Column) -> Column:
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
+def _whole(text: Column) -> Column:
+    """The text if it is one JSON value and nothing else. The parser alone would let more text follow it."""
+    found = _balanced(text)
+    bracketed = text.rlike(r"^[{\[]") & (found["n"] == F.size(found["tokens"]))
+    plain = text.rlike(r"^(-?[0-9][0-9.eE+-]*|true|false|null)$")
+    quotes = F.filter(found["tokens"], lambda t: t == '"')
+    quoted = text.rlike(r'^"') & (F.size(quotes) == 2) & (F.element_at(found["tokens"], -1) == '"')
+    return F.when(bracketed | plain | quoted, _if_valid(text))
 
-def extract_json(df: DataFrame, column: str) -> DataFrame:
-    """Add ``json`` (text or null) and ``json_error``; Spark's own JSON functions accept trailing text, so Python parses."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["json"] = [json_of(t) for t in frame[column]]
-            yield frame
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "json string"])
-    return df.mapInPandas(run, fields).withColumn("json_error", F.when(F.col("json").isNull(), "no JSON in response"))
+
+def json_of(text: Column) -> Column:
+    """The JSON in a response, as it stands there: the whole text, else a fenced block, else what the first brace opens.
+
+    Strict: no NaN, no comments, no key twice in one object.
+    """
+    text = _trimmed(F.coalesce(text, F.lit("")))
+    parts = F.split(text, "```")
+    fenced = F.filter(F.transform(parts, lambda x, i: F.when(i % 2 == 1, _whole(_trimmed(F.regexp_replace(_trimmed(x), "^(?i)json", ""))))), lambda x: x.isNotNull())
+    opened = _balanced(F.substr(text, F.instr(text, "{")))
+    braced = F.when(F.contains(text, F.lit("{")) & (opened["n"] > 0), _if_valid(F.array_join(F.slice(opened["tokens"], 1, opened["n"]), "")))
+    return F.coalesce(_whole(text), F.get(fenced, F.lit(0)), braced)
+
+
+def extract_json(df: DataFrame, column: str) -> DataFrame:
+    """Add ``json`` (text or null) and ``json_error``."""
+    return df.withColumn("json", json_of(F.col(column))).withColumn("json_error", F.when(F.col("json").isNull(), "no JSON in response"))
 
 
 def strip_preamble(text: Column, marker: str) -> Column:

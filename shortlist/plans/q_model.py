@@ -48,7 +48,8 @@ def g3_parse_score(spark, d):
     return B.responses(spark, d).withColumn("r", responses.parse_score(F.col("raw"))).select("url", "attempt", F.col("r.score").alias("score"), F.col("r.error").alias("error"))
 
 
-@query()
+@query("""
+    select url, attempt, case when attempt % 4 < 3 then cast(json_object('n', attempt, 't', raw) as varchar) end as json, case when attempt % 4 = 3 then 'no JSON in response' end as json_error from responses""")
 def g4_extract_json(spark, d):
     """JSON in responses: plain, fenced, with text around it, and none."""
     body = F.to_json(F.struct(F.col("attempt").alias("n"), F.col("raw").alias("t")))

@@ -1,5 +1,6 @@
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,12 +71,38 @@ def test_marker_lines(spark, text, want):
     assert (r.error is None) == (want[0] is not None)
 
 
-def test_json_in_responses():
-    assert json.loads(responses.json_of('{"a": 1}')) == {"a": 1}
-    assert json.loads(responses.json_of('Sure\n```json\n{"a": [1]}\n```')) == {"a": [1]}
-    assert json.loads(responses.json_of('x {"a": 2} y } z')) == {"a": 2}
-    assert responses.json_of("none") is None and responses.json_of(None) is None
-    assert responses.json_of("7") == "7"
+def _json_in(text):
+    """The same search with Python's parser."""
+
+    def strict(x):
+        try:
+            json.loads(x, parse_constant=lambda _: 1 / 0, object_pairs_hook=lambda p: dict(p) if len(dict(p)) == len(p) else 1 / 0)
+            return x
+        except (ValueError, ZeroDivisionError):
+            return None
+
+    text = (text or "").strip()
+    if strict(text) is not None:
+        return text
+    for block in text.split("```")[1::2]:
+        block = block.strip()
+        block = block[4:].strip() if block.lower().startswith("json") else block
+        if strict(block) is not None:
+            return block
+    start = text.find("{")
+    return next((text[start : e + 1] for e in range(len(text) - 1, start, -1) if text[e] == "}" and strict(text[start : e + 1]) is not None), None) if start >= 0 else None
+
+
+def test_json_in_responses(spark):
+    rng = random.Random(4)
+    whole = ['{"a": 1}', '{"a": [1, {"b": "}"}]}', "7", "-1.5e3", '"x\\"y"', "null", "[1, 2]", '{"a": "\\\\"}', '{"a":1,"a":2}', '{"a": NaN}', "{'a': 1}", '{"a": 01}', "{", "}", "", '"', '{"t": "line\\nx ``` y"}', '{"é": "日本"}', "tru", "[1,]"]
+    texts = [*whole, None, "none", "Sure\n```json\n{\"a\": [1]}\n```", 'x {"a": 2} y } z', "```JSON 5```", "``` {} ``` ```{\"b\": 1}```", '{"a": 1} ```{"b": 2}```', '{"k": "' + 'a\\n' * 20_000 + '"} end', "\u00a0{}\u2003"]
+    texts += ["".join(rng.choice([*whole, " ", "```", "json", "x", "\n"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    found = responses.extract_json(df, "t")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString() and "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.json for r in found.collect()}
+    assert {i: (t, got[i]) for i, t in enumerate(texts)} == {i: (t, _json_in(t)) for i, t in enumerate(texts)}
 
 
 def test_attempts(spark):

@@ -30,16 +30,6 @@ def _flat(text):
     return "\n".join(x for x in (line.strip() for line in re.sub("[<>&]", " ", text or "").split("\n")) if x)
 
 
-def _json(rows, ask):
-    raw = {(u, a): t for u, a, t in ask("select url, attempt, raw from responses")}
-    assert len(rows) == len(raw)
-    for r in rows:
-        if r.attempt % 4 == 3:
-            assert r.json is None and r.json_error
-        else:
-            assert json.loads(r.json) == {"n": r.attempt, "t": raw[r.url, r.attempt]}
-
-
 def _assembled(rows, ask):
     docs = {d: (t, s) for d, t, s in ask("select doc_id, text, source from documents")}
     assert len(rows) == len(docs)
@@ -111,7 +101,6 @@ def _sources(rows, ask):
 
 #: What the rows of queries without SQL must be.
 EXPECTED = {
-    "g4_extract_json": _json,
     "g13_assemble_document": _assembled,
     "h3_json_ld": _json_ld,
     "h6_css": _css,
