@@ -10,6 +10,7 @@ import re
 import duckdb
 import pytest
 
+from shortlist.functions import text as X
 from shortlist.operators import pages
 from shortlist.plans import registry
 from shortlist.plans.bindings import with_views
@@ -66,14 +67,31 @@ def _cascade(rows, ask):
         assert r.application_url == (f"https://d.example/apply/{r.doc_id}" if tier == 1 and r.doc_id % 2 == 0 else f"/go/{r.doc_id}" if k == 3 else f"/x/{r.doc_id}")
 
 
+def _words_without_noise(raw):
+    """The words of a page outside the tags that are dropped, by patterns alone."""
+    body = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|svg|iframe|nav|header|footer)\b.*?</\1\s*>", " ", raw)
+    return re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", body)))
+
+
 def _contents(rows, ask):
     raw = dict(ask("select page_id, html from pages"))
     assert len(rows) == len(raw)
     for r in rows:
         tags = {n.tag for n in pages.parse(r.content).walk()}
         assert not tags & pages.NOISE and len(r.content) <= len(raw[r.page_id]) + 50_000
-        words = re.findall(r"\w{6,}", pages.parse(r.content).lines())
-        assert all(w in html.unescape(raw[r.page_id]) for w in words)
+        words = re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", r.content)))
+        every = _words_without_noise(raw[r.page_id])
+        at = " ".join(every).find(" ".join(words))
+        assert words and at >= 0 if every else not words  # the words of one part of the page, in order
+
+
+def _cleaned(rows, ask):
+    raw = dict(ask("select page_id, html from pages"))
+    for r in rows:
+        assert re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", r.content))) == _words_without_noise(raw[r.page_id])
+        for n in pages.parse(r.content).walk():
+            assert all(k in pages.KEEP_ATTRS or k.startswith(("data-", "aria-")) for k in n.attrs)
+            assert all(len(c) < 30 and not re.fullmatch(r"[a-z]{1,2}-\d+", c) for c in n.attrs.get("class", "").split()) and len(n.attrs.get("class", "").split()) <= 3
 
 
 def _packed(rows, ask):
@@ -85,10 +103,35 @@ def _packed(rows, ask):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in parts.values())
 
 
-def _summaries(rows, ask):
-    assert len(rows) == ask("select count(*) from documents")[0][0]
-    assert all(r.summary and len(r.summary) <= 301 for r in rows)
+def _summary(text):
+    """The summary of one text, step by step."""
+    out = re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", text.replace("\\-", "-").replace("\\*", "*"))
+    out = re.sub(r"https?://[^ \t\n\r]+", "", out)
+    out = re.sub(r"[`*_>#]+", "", out)
+    out = re.sub(r"[ \t\n\r]*[-•][ \t\n\r]+", " ", out)
+    out = re.sub(rf"(?ai)\b({'|'.join(X.HEADINGS)})\b[ ]*:?,?", "", out)
+    out = re.sub(r"[ \t\n\r\x0b\f]+", " ", out).strip(" -–—:;,.")
+    if not out:
+        return "No description."
+    said = [x for x in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", out) if x]
+    start = next((i for i, x in enumerate(said[:8]) if re.search(rf"(?ai)\b({'|'.join(X.SIGNALS)})\b", x)), 0)
+    chosen = ""
+    for x in said[start : start + 3]:
+        longer = f"{chosen} {x}" if chosen else x
+        if len(longer) > 300 and chosen:
+            break
+        chosen = longer
+        if len(chosen) >= 180:
+            break
+    return chosen if len(chosen) <= 300 else re.sub(r" [^ ]*$", "", chosen[:300]).rstrip(".,;:") + "…"
+
 
+def _summaries(rows, ask):
+    key = "doc_id" if "doc_id" in rows[0] else "url"
+    text = {d if key == "doc_id" else u: t for d, u, t in ask("select doc_id, url, full_description from doc_postings")}
+    assert len(rows) == len(text)
+    for r in rows:
+        assert r.summary == _summary(text[r[key]] or "")
 
 
 def _lines(rows, ask):
@@ -105,7 +148,7 @@ EXPECTED = {
     "h3_json_ld": _json_ld,
     "h6_css": _css,
     "h8_main_content": _contents,
-    "h9_clean_content_html": _contents,
+    "h9_clean_content_html": _cleaned,
     "h12_cascade": _cascade,
     "h18_model_extract_requests": lambda rows, ask: _contents([r for r in rows if len(r.content) < 30_000], lambda q: [x for x in ask(q) if x[0] in {r.page_id for r in rows if len(r.content) < 30_000}]),
     "s17_text_sink": _lines,
