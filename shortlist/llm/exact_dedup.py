@@ -4,8 +4,9 @@ A mergeable Misra-Gries summary (``approx_top_k``) names the digests that may
 be frequent; an exact count over all rows verifies them. The verified winners,
 at most ``max_hot`` rows by construction, are broadcast and resolve their
 copies on the map side without a shuffle. All other digests are shuffled as
-usual; their groups are small by the guarantee of the summary, which misses
-nothing more frequent than rows / ``counters``.
+usual. The summary misses nothing more frequent than rows / ``counters``, but only
+its ``max_hot`` first ones are winners: a group outside them has at most rows /
+``max_hot`` rows, or may be missed by the summary, and is resolved by the shuffle.
 
 Texts are equal when identical after each run of ASCII white space became one
 space. Nulls count as empty texts. Of equal texts the row with the smallest

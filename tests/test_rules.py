@@ -59,10 +59,9 @@ def test_many_profiles_score_as_one_by_one(spark):
     texts = ["spark, SQL and C++", "unpaid night shift", "Spark (core) / sql", "night shift travel sql spark", None]
     rows = [(i * len(texts) + j, t, None, None, x, None) for i, t in enumerate(titles) for j, x in enumerate(texts)]
     df = spark.createDataFrame(rows, "k int, title string, company string, location string, description string, full_description string")
-    for at_once in (200, 3):
-        many = {(r.profile, r.k): (r.score, r.rule) for r in rules.score_many(df, rules.phrase_table(spark, profiles), "k", at_once).collect()}
-        for name, prefs in profiles.items():
-            one = {r.k: r.r for r in rules.with_rule_result(df, prefs, "r").collect()}
-            for k, r in one.items():
-                assert many.get((name, k)) == ((r.score, r.rule) if r else None), (name, rows[k])
+    many = {(r.profile, r.k): (r.score, r.rule) for r in rules.score_many(df, rules.phrase_table(spark, profiles), "k").collect()}
+    for name, prefs in profiles.items():
+        one = {r.k: r.r for r in rules.with_rule_result(df, prefs, "r").collect()}
+        for k, r in one.items():
+            assert many.get((name, k)) == ((r.score, r.rule) if r else None), (name, rows[k])
     assert len(many) > 20
