@@ -597,4 +597,4 @@ def test_pipeline_stages(spark, tmp_path, bpe):
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
