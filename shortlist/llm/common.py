@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shortlist.sources.staging import shared_dir
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,19 +21,6 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        ctx = spark.sparkContext
-        known = ctx._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="shortlist-")
-        ctx.setCheckpointDir(found)
-    return found
-
-
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
