@@ -172,6 +172,19 @@ def h17_closed_posting(spark, d):
     return f.select("page_id", P.closed_posting(F.col("url"), F.col("status"), F.col("html"), F.col("error"), ["lichkeit", "tionre"]).alias("closed"))
 
 
+PHRASES = "[" + ", ".join(f"'{p}'" for p in P.CLOSED) + "]"
+
+
+@query(f"""
+    with {FETCH}, b as (select *, lower(substr(coalesce(upper({PHRASES}[page_id % 16 + 1]), '') || ' ' || html, 1, 5000)) as low from fetches)
+    select page_id, case when error is not null or status = 403 then null when status in (404, 410) then 'HTTP ' || status else 'says: ' || list_filter({PHRASES}, lambda p: contains(low, p))[1] end as closed from b""")
+def h17_default_phrases(spark, d):
+    """The phrases that are looked for unless others are given; each stands at the head of some pages."""
+    said = F.coalesce(F.upper(F.get(F.array(*[F.lit(p) for p in P.CLOSED]), (F.col("page_id") % 16).cast("int"))), F.lit(""))
+    f = fetches(spark, d).withColumn("html", F.concat_ws(" ", said, "html"))
+    return f.select("page_id", P.closed_posting(F.col("url"), F.col("status"), F.col("html"), F.col("error")).alias("closed"))
+
+
 @query()
 def h18_model_extract_requests(spark, d):
     return P.model_extract_requests(B.table(spark, d, "pages"), "page_id")
