@@ -54,13 +54,34 @@ def _lines(messages: DataFrame) -> DataFrame:
     return split.select("row_key", "conv_id", "turn", "at", F.length(F.regexp_replace(prefix, "[^>]", "")).alias("level"), F.regexp_replace("raw", QUOTE, "").alias("line"))
 
 
-def _line_runs(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, text, lengths) -> (conv_id, from_turn, passage): consecutive lines of its own, as many as a length says."""
+def _sums(words: Column) -> list[Column]:
+    """Of a list of words: how many, the sum of their hashes, and the sum of hashes times places."""
+    whole = lambda x, digits=38: x.cast(f"decimal({digits},0)")
+    hashes = F.transform(words, lambda x: whole(F.xxhash64(x), 20))
+    added = lambda values: F.aggregate(values, whole(F.lit(0)), lambda total, x: whole(total + x))
+    placed = F.transform(hashes, lambda x, i: whole(x * whole(i, 10)))
+    return [whole(F.size(words), 10), added(hashes), added(placed)]
+
+
+def _line_runs(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, from_turn, hash, size): the wanted passages that consecutive lines of a message make, as many as the passage has.
+
+    Running sums over the lines of a message give the sums of any run of them at once, so a run is
+    compared by numbers, where it starts with the passage's first word; no run is joined as text.
+    """
     lines = F.filter(F.transform(F.split("text", LINE_END), lambda x: F.when(~x.rlike(QUOTE), _normal(x))), lambda x: x != "")
-    fits = F.filter("lengths", lambda k: k <= F.size("own_lines"))
-    runs = messages.select("conv_id", F.col("turn").alias("from_turn"), lines.alias("own_lines"), "lengths").select("*", F.explode(fits).alias("length"))
-    starts = F.explode(F.sequence(F.lit(1), F.size("own_lines") - F.col("length") + 1)).alias("first")
-    return runs.select("conv_id", "from_turn", "own_lines", "length", starts).select("conv_id", "from_turn", F.array_join(F.slice("own_lines", F.col("first"), F.col("length")), " ").alias("passage"))
+    rows = messages.select("row_key", "conv_id", F.col("turn").alias("from_turn"), F.posexplode(lines).alias("at", "line"))
+    n, s, w = _sums(F.split("line", " "))
+    summed = rows.select("row_key", "conv_id", "from_turn", "at", F.xxhash64(F.substring_index("line", " ", 1)).alias("first"), n.alias("n"), s.alias("s"), w.alias("w"))
+    so_far = Window.partitionBy("row_key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = summed.withColumn("n_to", F.sum("n").over(so_far)).withColumn("w", F.col("w") + (F.col("n_to") - F.col("n")) * F.col("s"))
+    sums = staged(counted.withColumns({"s_to": F.sum("s").over(so_far), "w_to": F.sum("w").over(so_far)}), "line sums")
+    before = [(F.col(f"{x}_to") - F.col(x)).alias(f"{x}_before") for x in ("n", "s", "w")]
+    starts = sums.select("row_key", "conv_id", "from_turn", "first", "at", *before).join(wanted, ["conv_id", "first"])
+    ends = sums.select("row_key", F.col("at").alias("end"), "n_to", "s_to", "w_to")
+    runs = starts.withColumn("end", F.col("at") + F.col("lines") - 1).join(ends, ["row_key", "end"])
+    same = (F.col("n_to") - F.col("n_before") == F.col("n")) & (F.col("s_to") - F.col("s_before") == F.col("s")) & (F.col("w_to") - F.col("w_before") - F.col("n_before") * F.col("s") == F.col("w"))
+    return runs.where(same).select("conv_id", "from_turn", "hash", "size")
 
 
 def _last_before(quoted: DataFrame, originals: DataFrame) -> DataFrame:
@@ -82,14 +103,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     else:
         passages = _passages(_lines(quoting))
         quoted = passages.where("level > 0 and passage != ''")
-        hashed = staged(quoted.select("row_key", "conv_id", "turn", "level", "run", "lines", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size")), "quoted")
-        talks = hashed.groupBy("conv_id").agg(F.collect_set("lines").alias("lengths"))
-        near = staged(own.join(talks, "conv_id").withColumn("row_key", F.monotonically_increasing_id()), "near")
+        hash_of = [F.xxhash64("passage").alias("hash"), F.length("passage").alias("size")]
+        n, s, w = _sums(F.split("passage", " "))
+        hashed = staged(quoted.select("row_key", "conv_id", "turn", "level", "run", "lines", *hash_of, F.xxhash64(F.substring_index("passage", " ", 1)).alias("first"), n.alias("n"), s.alias("s"), w.alias("w")), "quoted")
+        near = staged(own.join(hashed.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("row_key", F.monotonically_increasing_id()), "near")
         body = F.array_join(F.filter(F.split("text", LINE_END), lambda x: ~x.rlike(QUOTE)), "\n")
         whole = near.select("conv_id", F.col("turn").alias("from_turn"), _normal(body).alias("passage"))
         parts = _passages(_lines(near)).where("level = 0").select("conv_id", F.col("turn").alias("from_turn"), "passage")
-        passages = whole.unionByName(parts).unionByName(_line_runs(near)).where("passage != ''")
-        originals = passages.select("conv_id", "from_turn", F.xxhash64("passage").alias("hash"), F.length("passage").alias("size"))
+        whole_or_part = whole.unionByName(parts).where("passage != ''").select("conv_id", "from_turn", *hash_of)
+        wanted = hashed.select("conv_id", "first", "lines", "n", "s", "w", "hash", "size").distinct()
+        originals = whole_or_part.unionByName(_line_runs(near, wanted))
         found = _last_before(hashed, originals.join(hashed.select("conv_id", "hash", "size").distinct(), ["conv_id", "hash", "size"], "left_semi").distinct())
         per_run = found.groupBy("row_key", "run", "level").agg(F.max("from_turn").alias("from_turn"))
         rank = F.when(F.col("from_turn").isNotNull(), F.struct(-F.col("level"), F.col("from_turn")))
