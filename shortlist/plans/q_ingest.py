@@ -169,7 +169,8 @@ def s16_insert_filtered(spark, d):
     return lifecycle.insert_new(stored, p, "url", B.K, key_filter.key_filter(stored, "url")).select("url", "title", "l_partkey")
 
 
-@query()
+@query(r"""select '• <b>[' || coalesce(fit_score, 7) || ']</b> <a href="' || replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' || substr(title, 1, 60) || '</a> — '
+    || substr(coalesce(company, site), 1, 30) || ' · ' || substr(location, 1, 25) || ' — ' || trim(substr(split_part(score_reasoning, chr(10), 1), 1, 80)) as value from postings""")
 def s17_text_sink(spark, d):
     """Digest lines written as text and read back."""
     from shortlist.operators.digest import compact_line
