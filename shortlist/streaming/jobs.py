@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,30 +164,61 @@ def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoi
     return each_batch(rows, checkpoint, step)
 
 
+DIGEST = 16  # bytes of a fingerprint that the state keeps
+
+
 class FirstMet(StatefulProcessor):
-    """Of the rows (fp, key, ..) of one fingerprint that was not met before, the one with the least key; and the fingerprint is met."""
+    """Of the rows (fp, key, ..) of each fingerprint of a bucket that was not met before, the one with the least key; and the fingerprint is met.
+
+    A bucket is one value: its fingerprints, cut to ``DIGEST`` bytes, and with a lifetime the times they were met.
+    So a batch asks the store once for a bucket, however many fingerprints are in it.
+    """
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle) -> None:
-        self.met = handle.getValueState("met", "known boolean", self.keep_ms)
+        self.met = handle.getValueState("met", "prints binary, since binary")
+
+    def _known(self, now: int) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints that still count, and when they were met."""
+        prints, since = self.met.get() if self.met.exists() else (b"", b"")
+        prints, since = np.frombuffer(prints, f"S{DIGEST}"), np.frombuffer(since, np.int64)
+        if self.keep_ms is None:
+            return prints, since
+        fresh = since + self.keep_ms > now
+        return prints[fresh], since[fresh]
+
+    def _add(self, known: tuple[np.ndarray, np.ndarray], prints: np.ndarray, now: int) -> None:
+        since = b"" if self.keep_ms is None else np.concatenate([known[1], np.full(len(prints), now, np.int64)]).tobytes()
+        self.met.update((np.concatenate([known[0], prints]).tobytes(), since))
+
+    def _now(self, timer_values) -> int:
+        return 0 if self.keep_ms is None else timer_values.getCurrentProcessingTimeInMs()
 
     def handleInputRows(self, key, rows, timer_values):
-        frames = list(rows)
-        if not self.met.exists() and frames:
-            self.met.update((True,))
-            every = pd.concat(frames)
-            yield every.sort_values("key").head(1)
+        frames = [x for x in rows if len(x)]
+        if not frames:
+            return
+        now = self._now(timer_values)
+        known = self._known(now)
+        every = pd.concat(frames)
+        prints = np.frombuffer(b"".join(x[:DIGEST] for x in every["fp"]), f"S{DIGEST}")
+        first = every[~np.isin(prints, known[0])].sort_values("key").drop_duplicates("fp")
+        if len(first):
+            self._add(known, np.frombuffer(b"".join(x[:DIGEST] for x in first["fp"]), f"S{DIGEST}"), now)
+            yield first.drop(columns=["bucket", "fp"])
 
     def handleInitialState(self, key, initial, timer_values) -> None:
-        self.met.update((True,))
+        now = self._now(timer_values)
+        for prints in initial["prints"]:
+            self._add(self._known(now), np.frombuffer(prints, f"S{DIGEST}"), now)
 
     def close(self) -> None:
         pass
 
 
-def suppress_with_state(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str, keep: timedelta | None = None) -> StreamingQuery:
+def suppress_with_state(rows: DataFrame, history_path: str, out_path: str, checkpoint: str, key: str, keep: timedelta | None = None, buckets: int = 2048) -> StreamingQuery:
     """As ``suppress_reposts``, with the known fingerprints in the state store, so that a batch reads no history.
 
     The state starts with the fingerprints of the stored history when the checkpoint is new, and every batch
@@ -194,19 +226,26 @@ def suppress_with_state(rows: DataFrame, history_path: str, out_path: str, check
     a fingerprint is forgotten so long after it was met. A fingerprint counts as met once a
     posting with it arrives, sent or not; ``suppress_reposts`` counts those of sent postings alone.
     Of postings of one batch that share a fingerprint the one with the least key may go out.
+    The store has a value for each of ``buckets`` of fingerprints: a batch reads and writes a bucket that
+    it meets as a whole, and one checkpoint stays with one number of buckets.
     """
     spark = rows.sparkSession
     prints = F.array_distinct(F.array("primary_fp", "role_fp"))
-    asked = with_fingerprints(rows).select(F.col(key).cast("string").alias("key"), F.size(prints).alias("prints"), F.to_json(F.struct(*rows.columns)).alias("row"), F.explode(prints).alias("fp"))
-    known = _log(spark, history_path).select(F.col("fingerprint").alias("fp")).distinct()
+    bucket = lambda fp: F.pmod(F.xxhash64(fp), F.lit(buckets)).cast("int").alias("bucket")
+    made = with_fingerprints(rows).select(F.col(key).cast("string").alias("key"), F.size(prints).cast("int").alias("prints"), F.to_json(F.struct(*rows.columns)).alias("row"), prints.alias("both"))
+    # the posting travels with one of its fingerprints; its hash tells rows of one key apart
+    each = made.select("key", "prints", F.xxhash64("row").alias("hash"), "row", F.posexplode("both").alias("place", "print"))
+    asked = each.select("key", "prints", "hash", F.when(F.col("place") == 0, F.col("row")).alias("row"), F.unhex("print").alias("fp"), bucket("print"))
+    fp = F.col("fingerprint")
+    known = _log(spark, history_path).select("fingerprint").distinct().groupBy(bucket(fp)).agg(F.unhex(F.array_join(F.collect_list(F.substring(fp, 1, 2 * DIGEST)), "")).alias("prints"))
     millis = None if keep is None else int(keep.total_seconds() * 1000)
-    met = asked.groupBy("fp").transformWithStateInPandas(
-        FirstMet(millis), "key string, prints int, row string, fp string", "append", "none" if keep is None else "processingTime", initialState=known.groupBy("fp")
+    met = asked.groupBy("bucket").transformWithStateInPandas(
+        FirstMet(millis), "key string, prints int, hash long, row string", "append", "none" if keep is None else "processingTime", initialState=known.groupBy("bucket")
     )
     schema = rows.schema
 
     def step(batch: DataFrame, name: str) -> None:
-        fresh = batch.groupBy("key", "row").agg(F.count(F.lit(1)).alias("first"), F.max("prints").alias("prints")).where("first = prints")
+        fresh = batch.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("first"), F.max("prints").alias("prints"), F.max("row").alias("row")).where("first = prints")
         back = fresh.select(F.from_json("row", schema).alias("row")).select("row.*")
         _send(with_fingerprints(back), key, history_path, out_path, name)
 

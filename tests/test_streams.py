@@ -5,6 +5,7 @@ import os
 import shutil
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,44 @@ def test_watermark_drops_what_is_late_and_keeps_what_comes_again(spark, tmp_path
     # d is older than the watermark (day 26) and gone; a is new again after its 14 days; c at day 42 is a repeat
     assert [x for x in got if x[0] != "a"] == [("b", 0), ("c", 40), ("e", 60), ("f", 41)]
     assert [x[1] for x in got if x[0] == "a"] in ([0, 42], [1, 42])
+
+
+class Store:
+    """A state store of one key that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.asked += 1
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return self.value
+
+    def update(self, value):
+        self.asked += 1
+        self.value = value
+
+
+def test_the_state_is_asked_by_buckets(spark):
+    store = Store()
+    met = jobs.FirstMet(None)
+    met.init(store)
+    prints = [n.to_bytes(32, "big")[::-1] for n in range(500)]
+    frame = lambda keys, fps: pd.DataFrame({"bucket": 0, "key": keys, "fp": fps})
+    met.handleInitialState((0,), pd.DataFrame({"prints": [b"".join(p[: jobs.DIGEST] for p in prints[:100])]}), None)
+    first = pd.concat(met.handleInputRows((0,), iter([frame([f"b{n}" for n in range(500)], prints), frame([f"a{n}" for n in range(500)], prints)]), None))
+    assert sorted(first["key"]) == sorted(f"a{n}" for n in range(100, 500))
+    assert not list(met.handleInputRows((0,), iter([frame(["0"] * 500, prints)]), None))
+    assert store.asked < 10
+
+
+def test_a_bucket_keeps_fingerprints_apart(spark, tmp_path):
+    batches = [[posting(1, "a"), posting(2, "b")], [posting(3, "c"), posting(4, "b"), posting(6, "a", "https://x.example/6")], [posting(5, "c"), posting(7, "d")]]
+    jobs.suppress_with_state(files(spark, f"{tmp_path}/in", batches, POSTING), f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/cp", "url", buckets=1).awaitTermination()
+    assert sorted(r.url[-1] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["1", "2", "3", "7"]
