@@ -87,3 +87,10 @@ def test_page_columns_stay(spark):
     df = spark.createDataFrame([(1, "x", 2.5, "<main>m</main>")], "`a.b` int, url string, tokens double, html string")
     assert pages.extract_content(df).columns == ["a.b", "url", "tokens", "content"] and pages.extract_css(df).first()["tokens"] == 2.5
     assert pages.extract_css(df.limit(0)).count() == 0
+
+
+def test_a_long_part_is_measured_without_breaks_and_noise(spark):
+    page = lambda said: f"<body><div class='ad'>x</div><article><nav>{'n' * 99}</nav><h1>t</h1><p>{said}</p></article></body>"
+    rows = [(1, page("w" * 199)), (2, page("w" * 200)), (3, page("&amp;" + "w" * 195)), (4, page("w" * 49_980))]
+    got = {r.id: r.content.startswith("<h1>") for r in pages.extract_content(spark.createDataFrame(rows, "id int, html string")).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True}
