@@ -20,3 +20,11 @@ def test_main_part(spark, tmp_path, name):
     page = lambda n: f'<html><body><div class="ad">ad</div><article><h1>head</h1><p>{"w" * n}</p><ul><li>x</li></ul></article></body></html>'
     got, wanted = rows(spark, tmp_path, name, "pages", spark.createDataFrame([(n, "u", page(n)) for n in range(185, 205)], "page_id long, url string, html string"))
     assert got == wanted
+
+
+def test_tiers(spark, tmp_path):
+    ends = ["", "&&&", "<<", ">>", "<b>", "###"]
+    texts = ["w" * (n - len(end)) + end for n in (49, 50, 51, 99, 100, 101) for end in ends]
+    docs = [(5 * i + k, text, "s") for i, text in enumerate(texts) for k in range(5)]
+    got, wanted = rows(spark, tmp_path, "h12_tiers", "documents", spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert got == wanted
