@@ -9,6 +9,8 @@ is then packed by itself. A list of any length is packed without one task that h
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,37 +68,35 @@ class Block:
         return out
 
 
-def _lists(items: list) -> Iterator[tuple[bool, object, np.ndarray]]:
-    """(whether it is the first, name, sizes) of the lists of a block, in order."""
-    start = 0
-    for i in range(1, len(items) + 1):
-        if i == len(items) or items[i]["list"] != items[start]["list"]:
-            yield start == 0, items[start]["list"], np.array([x["size"] for x in items[start:i]])
-            start = i
+def _lists(block: pd.DataFrame) -> Iterator[tuple[bool, object, np.ndarray]]:
+    """(whether it is the first, name, sizes) of the lists of a block (place, list, size), in order."""
+    block = block.sort_values("place")
+    names, sizes = block["list"].to_numpy(object), block["size"].to_numpy(np.int64)
+    numbers, _ = pd.factorize(names, use_na_sentinel=False)
+    starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(names)] if len(names) else []
+    for a, b in itertools.pairwise(starts):
+        yield a == 0, None if pd.isna(names[a]) else names[a], sizes[a:b]
 
 
 def pack_messages(lines: DataFrame, by: str, order: list[str], limit: int = 3800, block: int = 10_000) -> DataFrame:
     """(by, line) -> (by, part, lines, size): greedy parts of at most ``limit`` characters, in order; a longer line is a part of its own.
 
     Rows are numbered in the order of list, ``order`` and length, and cut in blocks of ``block`` lines; only their
-    lengths move. A null line is empty; null is a list like any other.
+    lengths move, and a worker holds one block at a time. A null line is empty; null is a list like any other.
     """
     kind = lines.schema[by].dataType  # lists travel by their names, which pandas keeps as they are
     length = F.length(F.coalesce("line", F.lit("")))
     rows = numbered(lines.select(F.col(by).cast("string").alias("list"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], length.alias("size")), ["list", *[f"o{i}" for i in range(len(order))], "size"])
-    of_block = F.floor(F.col("place") / block).alias("block")
-    blocks = rows.groupBy(of_block).agg(F.array_sort(F.collect_list(F.struct("place", "list", "size"))).alias("items"))
+    blocks = rows.select(F.floor(F.col("place") / block).alias("block"), "place", "list", "size").groupBy("block")
 
-    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for number, items in zip(frame["block"], frame["items"], strict=True):
-                for first, name, sizes in _lists(list(items)):
-                    ended, left = Block(sizes, limit).table()
-                    if not first:  # such a list starts here
-                        ended, left = ended[:1], left[:1]
-                    out.append((name, number, first, ended.tobytes(), left.tobytes()))
-            yield pd.DataFrame(out, columns=["list", "block", "first", "ended", "left"])
+    def summed(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for first, name, sizes in _lists(lines):
+            ended, left = Block(sizes, limit).table()
+            if not first:  # such a list starts here
+                ended, left = ended[:1], left[:1]
+            out.append((name, key[0], first, zlib.compress(ended.tobytes()), zlib.compress(left.tobytes())))  # most sizes leave the same
+        return pd.DataFrame(out, columns=["list", "block", "first", "ended", "left"])
 
     def started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, size, before = [], 0, 0
@@ -107,20 +107,18 @@ def pack_messages(lines: DataFrame, by: str, order: list[str], limit: int = 3800
                     name, size, before = [r.list], 0, 0
                 if r.first:
                     out.append((r.block, size, before))
-                ended, left = (np.frombuffer(x, np.int32) for x in (r.ended, r.left))
+                ended, left = (np.frombuffer(zlib.decompress(x), np.int32) for x in (r.ended, r.left))
                 before += int(ended[size])
                 size = int(left[size])
             yield pd.DataFrame(out, columns=["block", "open", "before"])
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for items, size, before in zip(frame["items"], frame["open"], frame["before"], strict=True):
-                for first, name, sizes in _lists(list(items)):
-                    out += [(name, int(first) * before + k + 1, n, most) for k, n, most in Block(sizes, limit).parts(size if first else 0)]
-            yield pd.DataFrame(out, columns=["list", "part", "lines", "size"], dtype=object)
+    def packed(lines: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        out, size, before = [], int(start["open"].iloc[0]), int(start["before"].iloc[0])
+        for first, name, sizes in _lists(lines):
+            out += [(name, int(first) * before + k + 1, n, most) for k, n, most in Block(sizes, limit).parts(size if first else 0)]
+        return pd.DataFrame(out, columns=["list", "part", "lines", "size"], dtype=object)
 
-    tables = blocks.mapInPandas(summed, "list string, block long, first boolean, ended binary, left binary")
+    tables = blocks.applyInPandas(summed, "list string, block long, first boolean, ended binary, left binary")
     starts = tables.repartition("list").sortWithinPartitions("list", "block").mapInPandas(started, "block long, open int, before int")
-    parts = blocks.join(starts, "block").mapInPandas(packed, "list string, part int, lines long, size int")
+    parts = blocks.cogroup(starts.groupBy("block")).applyInPandas(packed, "list string, part int, lines long, size int")
     return parts.groupBy(F.col("list").cast(kind).alias(by), "part").agg(F.sum("lines").alias("lines"), F.max("size").alias("size"))

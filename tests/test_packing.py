@@ -57,3 +57,9 @@ def test_numbers_are_consecutive(spark):
     assert [(r.a, r.b) for r in found.orderBy("n").collect()] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert sorted(r.n for r in found.collect()) == list(range(500))
     assert numbered(df.where("false"), ["a", "b"], "n").count() == 0
+
+
+def test_a_worker_holds_one_block(spark):
+    df = spark.createDataFrame([(1, i, "x") for i in range(20)], "by int, i int, line string")
+    plan = pack_messages(df, "by", ["i"], 5, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInPandas" in plan
