@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,13 @@ def test_a_long_part_is_measured_without_breaks_and_noise(spark):
     rows = [(1, page("w" * 199)), (2, page("w" * 200)), (3, page("&amp;" + "w" * 195)), (4, page("w" * 49_980))]
     got = {r.id: r.content.startswith("<h1>") for r in pages.extract_content(spark.createDataFrame(rows, "id int, html string")).collect()}
     assert got == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_batches_of_long_pages_are_small(spark, monkeypatch):
+    caught, df = [], spark.createDataFrame([("x",)], "html string")
+    real = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: caught.append(f) or real(self, f, schema))
+    E.tokenise(df)
+    pages = pa.RecordBatch.from_pydict({"c0": [f"<p>{'a' * 10_000}</p>"] * 1000})
+    sizes = [b.num_rows for b in caught[0](iter([pages]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 200
