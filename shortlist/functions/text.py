@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,21 +109,32 @@ def clean_description(c: Column, headings: list[str] = HEADINGS) -> Column:
     return F.btrim(F.regexp_replace(out, r"[ \t\n\r\x0b\f]+", " "), F.lit(" -–—:;,."))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def short_summary(c: Column, limit: int = 300, enough: int = 180, signals: list[str] = SIGNALS, empty: str = "No description.") -> Column:
     """At most three sentences from the first telling one on, within ``limit`` characters."""
-    text = clean_description(c)
-    said = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
     tells = rf"(?i)\b({'|'.join(signals)})\b"
-    start = F.coalesce(F.array_min(F.filter(F.transform(F.slice(said, 1, 8), lambda s, i: F.when(s.rlike(tells), i)), lambda i: i.isNotNull())), F.lit(0))
-    picked = F.slice(said, start + 1, 3)
     state = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
 
+    def picked(said: Column) -> Column:
+        start = F.coalesce(F.array_min(F.filter(F.transform(F.slice(said, 1, 8), lambda s, i: F.when(s.rlike(tells), i)), lambda i: i.isNotNull())), F.lit(0))
+        return F.slice(said, start + 1, 3)
+
     def add(acc, s):
-        longer = F.when(acc["text"] == "", s).otherwise(F.concat(acc["text"], F.lit(" "), s))
-        over = (F.length(longer) > limit) & (acc["text"] != "")
-        return F.when(acc["done"] | over, F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(longer.alias("text"), (F.length(longer) >= enough).alias("done")))
-
-    chosen = F.aggregate(picked, state, add)["text"]
-    cut = F.substring(chosen, 1, limit)
-    short = F.concat(F.rtrim(F.regexp_replace(cut, r" [^ ]*$", ""), F.lit(".,;:")), F.lit("…"))
-    return F.when(text == "", F.lit(empty)).when(F.length(chosen) <= limit, chosen).otherwise(short)
+        return once(
+            F.when(acc["text"] == "", s).otherwise(F.concat(acc["text"], F.lit(" "), s)),
+            lambda longer: F.when(acc["done"] | ((F.length(longer) > limit) & (acc["text"] != "")), F.struct(acc["text"].alias("text"), F.lit(True).alias("done"))).otherwise(F.struct(longer.alias("text"), (F.length(longer) >= enough).alias("done"))),
+        )
+
+    def shortened(chosen: Column) -> Column:
+        short = F.concat(F.rtrim(F.regexp_replace(F.substring(chosen, 1, limit), r" [^ ]*$", ""), F.lit(".,;:")), F.lit("…"))
+        return F.when(F.length(chosen) <= limit, chosen).otherwise(short)
+
+    def summary(text: Column) -> Column:
+        said = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+        return F.when(text == "", F.lit(empty)).otherwise(once(F.aggregate(once(said, picked), state, add)["text"], shortened))
+
+    return once(clean_description(c), summary)

@@ -235,3 +235,10 @@ def test_link_beside_a_button(spark):
     assert {r.id: r.css_apply_url for r in pages.extract_css(df.drop("url")).collect()} == {1: "/go/1", 2: None, 3: None, 4: "/go/4", 5: "/go/5"}
     assert {r.id: r.application_url for r in pages.cascade(df, "id").collect()} == {1: "/go/1", 2: "u2", 3: None, 4: "/go/4", 5: "/go/5"}
 
+
+
+def test_a_summary_cleans_its_text_once(spark):
+    from shortlist.functions.text import short_summary
+
+    plan = spark.createDataFrame([("a",)], "t string").select(short_summary(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("https?://[^") == 1
