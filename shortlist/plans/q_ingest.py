@@ -11,7 +11,7 @@ from shortlist.plans.base import query
 from shortlist.plans.q_rules import ID, ID_SQL
 from shortlist.sources import normalise as S
 from shortlist.sources import tables
-from shortlist.sources.staging import scratch
+from shortlist.sources.staging import scratch, staged
 
 
 def _ats_raw(spark, d):
@@ -289,7 +289,7 @@ def f2_registered_sinks(spark, d):
     from shortlist.operators.digest import compact_line
     from shortlist.streaming.jobs import SINKS
 
-    lines = B.postings(spark, d).select(F.col("l_orderkey").alias("place"), compact_line(F.col("score_reasoning")).alias("line"))
+    lines = staged(B.postings(spark, d).select(F.col("l_orderkey").alias("place"), compact_line(F.col("score_reasoning")).alias("line")), "lines")  # made once for all sinks
     out = None
     for name, sink in SINKS.items():
         path = scratch(spark, name)
