@@ -240,5 +240,21 @@ def test_link_beside_a_button(spark):
 def test_a_summary_cleans_its_text_once(spark):
     from shortlist.functions.text import short_summary
 
-    plan = spark.createDataFrame([("a",)], "t string").select(short_summary(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("https?://[^") == 1
+    made = spark.createDataFrame([("a",)], "t string").select(short_summary(F.col("t")).alias("s"))
+    assert made._jdf.queryExecution().analyzed().expressions().mkString().count("[`*_>#]+") == 1
+
+
+def test_postings_meet_orders_first(spark):
+    from shortlist.plans import bindings
+
+    plan = bindings.postings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "o_orderkey" in [x for x in plan.splitlines() if "Join Inner" in x][-1]
+
+
+def test_sinks_share_one_join(spark, monkeypatch):
+    from shortlist.plans import bindings, q_ingest
+
+    seen, real = [], bindings.postings
+    monkeypatch.setattr(q_ingest, "staged", lambda df, name, made=q_ingest.staged: seen.append(name) or made(df, name))
+    monkeypatch.setattr(bindings, "postings", lambda *args: real(*args).limit(10))
+    assert {r.lines for r in q_ingest.f2_registered_sinks(spark, "/root/testdata/sf0.001").collect()} == {10} and seen == ["lines"]
