@@ -14,9 +14,18 @@ from shortlist.streaming import jobs
 POSTING = ["url", "title", "company", "location", "application_url", "fit_score", "discovered_at", "scored_at", "l_orderkey"]
 
 
-def _as_files(rows, path, files):
-    rows.repartition(files).write.parquet(path)
-    return rows.sparkSession.read.parquet(path).schema
+def _as_files(rows, path, batches=1):
+    """``rows`` as files for a stream: (path for the stream, schema, files per batch).
+
+    Each task writes what it has, a file for each batch, so the files are as many as the rows need and no task
+    takes more for there being few batches.
+    """
+    if batches == 1:
+        rows.write.parquet(path)
+        return path, rows.schema, None
+    rows.withColumn("deal", F.monotonically_increasing_id() % batches).write.partitionBy("deal").parquet(path)
+    files = len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+    return f"{path}/*", rows.schema, -(-files // batches)
 
 
 @query("select count(*) as stored, count(distinct url) as urls from (select url from postings where status = 'active' and detail_scraped_at is null)")
@@ -24,8 +33,7 @@ def m1_enrich_stream(spark, d):
     """Pending rows worked on in batches until none is left."""
     base = scratch(spark, "m1")
     todo = B.postings(spark, d).where("status = 'active' and detail_scraped_at is null").select("url", "title")
-    schema = _as_files(todo, f"{base}/in", 4)
-    stream = jobs.source(spark, f"{base}/in", schema, files=2)
+    stream = jobs.source(spark, *_as_files(todo, f"{base}/in", 2))
     jobs.enrich_stream(stream, lambda batch: batch.withColumn("status", F.lit("ok")), f"{base}/out", f"{base}/cp").awaitTermination()
     return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("url").alias("urls"))
 
@@ -34,8 +42,8 @@ def m1_enrich_stream(spark, d):
 def m2_ingest_exact(spark, d):
     """First row per URL over all batches."""
     base = scratch(spark, "m2")
-    schema = _as_files(B.postings(spark, d).select("url", "title", "l_orderkey"), f"{base}/in", 3)
-    jobs.ingest_exact(jobs.source(spark, f"{base}/in", schema, files=1), f"{base}/out", f"{base}/cp", "url", ["l_orderkey", "title"]).awaitTermination()
+    given = _as_files(B.postings(spark, d).select("url", "title", "l_orderkey"), f"{base}/in", 3)
+    jobs.ingest_exact(jobs.source(spark, *given), f"{base}/out", f"{base}/cp", "url", ["l_orderkey", "title"]).awaitTermination()
     return spark.read.parquet(f"{base}/out").agg(F.count(F.lit(1)).alias("stored"))
 
 
@@ -44,10 +52,10 @@ def m2_ingest_within_watermark(spark, d):
     """First row per URL within the retention, with bounded state; one batch has all rows, so that none is late."""
     base = scratch(spark, "m2w")
     rows = B.postings(spark, d).select("url", "title", F.col("discovered_at").cast("timestamp").alias("discovered_at"))
-    schema = _as_files(rows, f"{base}/in", 2)
-    kept = jobs.ingest_deduplicated(jobs.source(spark, f"{base}/in", schema), "url", "discovered_at")
+    given = _as_files(rows, f"{base}/in")
+    kept = jobs.ingest_deduplicated(jobs.source(spark, *given), "url", "discovered_at")
     kept.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out").agg(F.count_distinct("url").alias("urls"))
+    return spark.read.schema(rows.schema).parquet(f"{base}/out").agg(F.count_distinct("url").alias("urls"))
 
 
 KEYED = "keyed as (select distinct url || '#' || l_partkey || '#' || l_suppkey as k, l_orderkey % 2 as run, url, title, primary_fp, role_fp from prints)"
@@ -59,8 +67,7 @@ def _two_runs(spark, d, name, suppress):
     rows = B.postings(spark, d).select(F.concat_ws("#", "url", "l_partkey", "l_suppkey").alias("k"), *POSTING)
     for run in (0, 1):
         chosen = rows.where(F.col("l_orderkey") % 2 == run).dropDuplicates(["k"])  # a key holds its order, so runs share none
-        schema = _as_files(chosen, f"{base}/in{run}", 4)
-        suppress(jobs.source(spark, f"{base}/in{run}", schema), f"{base}/history", f"{base}/out", f"{base}/cp{run}", "k").awaitTermination()
+        suppress(jobs.source(spark, *_as_files(chosen, f"{base}/in{run}")), f"{base}/history", f"{base}/out", f"{base}/cp{run}", "k").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
@@ -94,7 +101,6 @@ def m4_usage_by_day(spark, d):
 def m4_usage_stream(spark, d):
     """Totals by day from the stream itself, in complete mode."""
     base = scratch(spark, "m4")
-    schema = _as_files(B.usage(spark, d).select("created_at", "prompt_tokens", "completion_tokens"), f"{base}/in", 3)
-    totals = jobs.usage_by_day(jobs.source(spark, f"{base}/in", schema, files=1))
+    totals = jobs.usage_by_day(jobs.source(spark, *_as_files(B.usage(spark, d).select("created_at", "prompt_tokens", "completion_tokens"), f"{base}/in", 3)))
     totals.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -166,3 +166,15 @@ def test_a_bucket_keeps_fingerprints_apart(spark, tmp_path):
     batches = [[posting(1, "a"), posting(2, "b")], [posting(3, "c"), posting(4, "b"), posting(6, "a", "https://x.example/6")], [posting(5, "c"), posting(7, "d")]]
     jobs.suppress_with_state(files(spark, f"{tmp_path}/in", batches, POSTING), f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/cp", "url", buckets=1).awaitTermination()
     assert sorted(r.url[-1] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["1", "2", "3", "7"]
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_stream_inputs_are_written_by_all_tasks(spark, tmp_path, batches):
+    from shortlist.plans.q_stream import _as_files
+
+    path, schema, files = _as_files(spark.range(0, 8000, 1, 8), f"{tmp_path}/in", batches)
+    assert len(list(tmp_path.rglob("part-*.parquet"))) == 8 * batches
+    assert files == (None if batches == 1 else 8)
+    met = []
+    jobs.each_batch(jobs.source(spark, path, schema, files), f"{tmp_path}/cp", lambda batch, name: met.append((batch.columns, batch.agg(F.count_distinct("id")).first()[0]))).awaitTermination()
+    assert len(met) == batches and sum(n for _, n in met) == 8000 and all(c == ["id"] for c, _ in met)
