@@ -126,7 +126,8 @@ def ingest_exact(rows: DataFrame, path: str, checkpoint: str, key: str, order: l
             met = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
             known = spark.read.schema(layout).parquet(path).where(F.col("bucket").isin(met) & (F.col("batch") != name)).select(key)
             fresh = fresh.join(known, key, "left_anti")
-        writer = fresh.select(*batch.columns, "bucket", "batch").repartition("bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
+        # a bucket of many rows is written by several tasks
+        writer = fresh.select(*batch.columns, "bucket", "batch").hint("rebalance", "bucket").write.partitionBy("bucket", "batch").option("partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(path)
 
     return each_batch(rows, checkpoint, store)
