@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -20,7 +21,8 @@ def first_non_empty(*columns: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of (Unicode) white space become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    # a single space is left alone, so most texts have nothing to replace
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def normal_phrase(c: Column) -> Column:
@@ -36,13 +38,29 @@ def canonical(c: Column) -> Column:
 
 
 def phrase_pattern(phrase: str) -> str:
-    """A pattern for a phrase in any case that no word character touches."""
+    """A pattern for a phrase in any case that no word character touches.
+
+    What stands before it is looked at where the phrase was found, and not at each place of the text.
+    """
     safe = re.sub(r"([^\w\s])", r"\\\1", phrase)
-    return rf"(?iuU)(?<!\w){safe}(?!\w)"
+    return rf"(?iuU){safe}(?<!\w{safe})(?!\w)"
+
+
+def ascii_lower(c: Column) -> Column:
+    """The text in lower case where it is ASCII, else null: ``low`` for the functions below, worth a column of its own."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text))
+
 
+def _maybe(low: Column, phrases: list[str]) -> Column:
+    """False where no phrase stands in the lower-case text; null where that is null."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p.lower())) for p in phrases])
 
-def contains_phrase(c: Column, phrase: str) -> Column:
-    return F.coalesce(c, F.lit("")).rlike(phrase_pattern(phrase))
+
+def contains_phrase(c: Column, phrase: str, low: Column | None = None) -> Column:
+    """With ``low`` a search for bytes comes before the pattern, for phrases in ASCII."""
+    found = F.coalesce(c, F.lit("")).rlike(phrase_pattern(phrase))
+    return found if low is None or not phrase.isascii() else F.coalesce(_maybe(low, [phrase]), F.lit(True)) & found
 
 
 def contains_any(c: Column, phrases: list[str]) -> Column:
@@ -51,20 +69,27 @@ def contains_any(c: Column, phrases: list[str]) -> Column:
     return F.coalesce(c, F.lit("")).rlike(f"(?iuU)(?:{every})")
 
 
-def matched_phrases(c: Column, phrases: list[str]) -> Column:
+def _worth_trying(c: Column, phrases: list[str], low: Column | None) -> Column:
+    """False only where the text holds none of the phrases."""
+    if low is None or not all(p.isascii() for p in phrases):
+        return contains_any(c, phrases)
+    return F.when(low.isNull(), contains_any(c, phrases)).otherwise(_maybe(low, phrases))
+
+
+def matched_phrases(c: Column, phrases: list[str], low: Column | None = None) -> Column:
     """The phrases that the text holds, in their order."""
-    hits = [F.when(contains_phrase(c, p), F.lit(p)) for p in phrases]
+    hits = [F.when(contains_phrase(c, p, low), F.lit(p)) for p in phrases]
     none = F.array().cast("array<string>")
     if len(hits) < 2:
         return F.array_compact(F.array(*hits)) if hits else none
-    return F.when(contains_any(c, phrases), F.array_compact(F.array(*hits))).otherwise(none)
+    return F.when(_worth_trying(c, phrases, low), F.array_compact(F.array(*hits))).otherwise(none)
 
 
-def first_phrase(c: Column, phrases: list[str]) -> Column:
-    hits = [F.when(contains_phrase(c, p), F.lit(p)) for p in phrases]
+def first_phrase(c: Column, phrases: list[str], low: Column | None = None) -> Column:
+    hits = [F.when(contains_phrase(c, p, low), F.lit(p)) for p in phrases]
     if len(hits) < 2:
         return hits[0] if hits else F.lit(None).cast("string")
-    return F.when(contains_any(c, phrases), F.coalesce(*hits))
+    return F.when(_worth_trying(c, phrases, low), F.coalesce(*hits))
 
 
 def first_items(items: Column, n: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.functions.phrases import with_phrases
-from shortlist.functions.text import collapse, contains_phrase, first_items, first_phrase, matched_phrases
+from shortlist.functions.text import ascii_lower, collapse, contains_phrase, first_items, first_phrase, matched_phrases
 
 
 @dataclass(frozen=True)
@@ -64,26 +64,38 @@ def _result(score, fit, gap, keywords, rule) -> Column:
     return F.struct(as_col(score).cast("int").alias("score"), as_col(fit).alias("fit"), as_col(gap).alias("gap"), as_col(keywords).alias("keywords"), as_col(rule).alias("rule"))
 
 
-def score_by_rules(prefs: Preferences, title: Column | None = None, text: Column | None = None) -> Column:
-    """struct<score, fit, gap, keywords, rule>, or null where no rule decides; ``title`` and ``text`` may stand for what is made of the columns."""
+def _found(p: Preferences, title: Column, text: Column, title_low: Column | None = None, text_low: Column | None = None) -> dict[str, Column]:
+    """What the rules of cleaned preferences look for in a posting."""
+    caps = {f"cap{i}": matched_phrases(text, c.patterns, text_low) for i, c in enumerate(p.hard_caps) if _most(c) <= 4}
+    titles = {"rejected": p.reject_roles, "target": p.target_roles, "adjacent": p.adjacent_roles}
+    texts = {"breakers": p.dealbreakers, "good": p.positive_signals, "bad": p.negative_signals}
+    return caps | {k: first_phrase(title, v, title_low) for k, v in titles.items()} | {k: matched_phrases(text, v, text_low) for k, v in texts.items()}
+
+
+def _most(cap: Cap) -> int:
+    return 10 if cap.max_score is None else cap.max_score
+
+
+def score_by_rules(prefs: Preferences, title: Column | None = None, text: Column | None = None, found: dict[str, Column] | None = None) -> Column:
+    """struct<score, fit, gap, keywords, rule>, or null where no rule decides; ``title``, ``text`` and ``found`` may stand for what is made of the columns."""
     p = prefs.cleaned()
     if p.is_empty():
         return F.lit(None).cast("struct<score:int,fit:string,gap:string,keywords:string,rule:string>")
     title, text = title if title is not None else collapse(F.col("title")), text if text is not None else posting_text()
+    found = found or _found(p, title, text)
     company = F.coalesce(F.nullif(collapse(F.col("company")), F.lit("")), F.lit("unknown company"))
-    rejected, breakers = first_phrase(title, p.reject_roles), matched_phrases(text, p.dealbreakers)
+    rejected, breakers = found["rejected"], found["breakers"]
     rules = [
         F.when(rejected.isNotNull(), _result(2, "", F.concat(F.lit("title is a rejected role: "), rejected), "", "reject_role")),
         F.when(F.size(breakers) > 0, _result(2, "", F.concat(F.lit("dealbreaker: "), first_items(breakers, 5)), first_items(breakers, 5), "dealbreaker")),
     ]
-    for cap in p.hard_caps:
-        most = 10 if cap.max_score is None else cap.max_score
+    for i, cap in enumerate(p.hard_caps):
+        most = _most(cap)
         if most <= 4:
-            hits = matched_phrases(text, cap.patterns)
+            hits = found[f"cap{i}"]
             name = F.lit(cap.name) if cap.name else first_items(hits, 5)
             rules.append(F.when(F.size(hits) > 0, _result(max(1, min(10, most)), "", F.concat(F.lit("hard cap: "), name), first_items(hits, 5), f"hard_cap:{cap.name or 'configured'}")))
-    target, adjacent = first_phrase(title, p.target_roles), first_phrase(title, p.adjacent_roles)
-    good, bad = matched_phrases(text, p.positive_signals), matched_phrases(text, p.negative_signals)
+    target, adjacent, good, bad = (found[k] for k in ("target", "adjacent", "good", "bad"))
     enough = (F.size(good) >= 2) if p.positive_signals else F.lit(True)
     with_role = lambda role: first_items(F.concat(good, F.array(role)), 8)
     rules.append(
@@ -96,10 +108,16 @@ def score_by_rules(prefs: Preferences, title: Column | None = None, text: Column
 
 
 def with_rule_result(df: DataFrame, prefs: Preferences, name: str = "rule_result") -> DataFrame:
-    """``df`` with ``score_by_rules`` as a column; title and text are made once, and most rows are told from one pattern a list."""
-    title, text = collapse(F.col("title")), posting_text()
-    made = df.withColumns({"__rule_title": title, "__rule_text": text})
-    return made.withColumn(name, score_by_rules(prefs, F.col("__rule_title"), F.col("__rule_text"))).drop("__rule_title", "__rule_text")
+    """``df`` with ``score_by_rules`` as a column; title, text and what is found in them are made once, signals only where a role fits."""
+    p = prefs.cleaned()
+    col = lambda k: F.col(f"__rule_{k}")
+    made = df.withColumns({"__rule_title": collapse(F.col("title")), "__rule_text": posting_text()})
+    made = made.withColumns({f"__rule_{k}_low": ascii_lower(col(k)) for k in ("title", "text")})
+    found = _found(p, col("title"), col("text"), col("title_low"), col("text_low"))
+    made = made.withColumns({f"__rule_{k}": v for k, v in found.items() if k not in ("good", "bad")})
+    made = made.withColumns({f"__rule_{k}": F.when(col("target").isNotNull() | col("adjacent").isNotNull(), found[k]) for k in ("good", "bad")})
+    made = made.withColumn(name, score_by_rules(prefs, col("title"), col("text"), {k: col(k) for k in found}))
+    return made.drop(*[f"__rule_{k}" for k in ("title", "text", "title_low", "text_low", *found)])
 
 
 def apply_hard_caps(result: Column, prefs: Preferences) -> Column:
@@ -152,7 +170,7 @@ def adjusted(df: DataFrame, result: str, prefs: Preferences) -> DataFrame:
 
 def route(df: DataFrame, prefs: Preferences) -> tuple[DataFrame, DataFrame]:
     """(rows that a rule decides, with their result; rows that need a model)."""
-    scored = with_rule_result(df, prefs)
+    scored = with_rule_result(df, prefs)  # what needs both at once reads the column, and not the two frames: each scores anew
     return scored.where(F.col("rule_result").isNotNull()), scored.where(F.col("rule_result").isNull()).drop("rule_result")
 
 
