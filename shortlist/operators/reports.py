@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from shortlist.operators.filters import pending
 
 
-def pipeline_stats(df: DataFrame, attempts: int = 5, min_score: int = 7) -> DataFrame:
-    """All stage counts in one pass."""
+def stages(attempts: int = 5, min_score: int = 7) -> dict[str, Column]:
+    """The condition of each stage count."""
     active = F.col("status") == "active"
     has = lambda c: F.col(c).isNotNull()
     no_letter = F.col("cover_letter_path").isNull() | (F.col("cover_letter_path") == "")
     spent = lambda c: F.coalesce(F.col(c), F.lit(0)) >= attempts
-    counts = {
+    return {
+        "total": F.lit(True),
         "inactive": F.col("status") != "active",
         "pending_detail": active & ~has("detail_scraped_at"),
         "with_description": active & has("full_description"),
@@ -30,7 +31,19 @@ def pipeline_stats(df: DataFrame, attempts: int = 5, min_score: int = 7) -> Data
         "apply_errors": has("apply_error"),
         "ready_to_apply": active & has("cover_letter_path") & ~has("applied_at") & has("application_url"),
     }
-    return df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+def pipeline_stats(df: DataFrame, attempts: int = 5, min_score: int = 7) -> DataFrame:
+    """All stage counts in one pass."""
+    return df.agg(*[F.count_if(c).alias(n) for n, c in stages(attempts, min_score).items()])
+
+
+def stats_changes(df: DataFrame, before: Column, attempts: int = 5, min_score: int = 7) -> DataFrame:
+    """Stage counts of the rows that were there ``before`` and of all rows, from one pass: stage, before, after, change."""
+    counts = stages(attempts, min_score)
+    both = df.agg(*[F.count_if(c & when).alias(f"{when_name}_{n}") for n, c in counts.items() for when_name, when in (("b", before), ("a", F.lit(True)))])
+    pairs = F.array(*[F.struct(F.lit(n).alias("stage"), F.col(f"b_{n}").alias("before"), F.col(f"a_{n}").alias("after")) for n in counts])
+    return both.select(F.explode(pairs).alias("s")).select("s.*").withColumn("change", F.col("after") - F.col("before"))
 
 
 def by_site(df: DataFrame) -> DataFrame:

@@ -59,3 +59,27 @@ def test_a_bucketed_history_stays_where_it_is(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("drop table if exists history_test")
     assert got == sorted((r.k, r.seen) for r in digest.split_by_history(df, old, "k").collect()) and any(s for _, s in got)
+
+
+def test_stage_changes_come_from_one_pass(spark):
+    from shortlist.operators import lifecycle, reports
+    from shortlist.plans import bindings as B
+    from shortlist.plans.q_reports import l9_stage_changes
+
+    sf = "/root/testdata/sf0.001"
+    found = l9_stage_changes(spark, sf)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+    p = B.postings(spark, sf)
+    two = lifecycle.stage_changes(reports.pipeline_stats(p.where("l_linenumber <= 3")), reports.pipeline_stats(p))
+    assert sorted(found.collect()) == sorted(two.collect())
+
+
+def test_filtered_insert_keeps_only_what_is_stored(spark, monkeypatch):
+    from shortlist.operators import lifecycle
+    from shortlist.plans import q_ingest
+
+    kept, staged = [], lifecycle.staged
+    monkeypatch.setattr(lifecycle, "staged", lambda df, name: kept.append(df.columns) or staged(df, name))
+    q_ingest.s16_insert_filtered(spark, "/root/testdata/sf0.001")
+    assert kept and all("url" in c and "full_description" not in c for c in kept)
