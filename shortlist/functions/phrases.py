@@ -41,7 +41,7 @@ class Phrases:
         for i, p in enumerate(phrases):
             folded = fold(p)
             if folded:
-                self.automaton.add_word(folded, (len(folded), *self.automaton.get(folded, (0,))[1:], i))
+                self.automaton.add_word(folded, (len(folded), [*self.automaton.get(folded, (0, []))[1], i]))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
@@ -50,12 +50,18 @@ class Phrases:
         """The numbers of the phrases, in order."""
         if self.empty or not text:
             return []
-        text, found = fold(text), set()
-        for last, (size, *numbers) in self.automaton.iter(text):
-            first = last + 1 - size
-            if (first == 0 or not _is_word(text[first - 1])) and (last + 1 == len(text) or not _is_word(text[last + 1])):
-                found.update(numbers)
-        return sorted(found)
+        text, found = fold(text), []
+        end = len(text) - 1
+        for last, (size, numbers) in self.automaton.iter(text):
+            if (last == end or not _is_word(text[last + 1])) and (last < size or not _is_word(text[last - size])):
+                found += numbers
+        return sorted(set(found)) if len(found) > 1 else found
+
+    def find_all(self, texts: pa.Array) -> pa.Array:
+        """The numbers for each text; a text that stands there several times is walked through once."""
+        different = texts.dictionary_encode()
+        found = pa.array([self.find(t) for t in different.dictionary.to_pylist()], pa.list_(pa.int32()))
+        return found.take(different.indices).fill_null([])
 
 
 def with_phrases(df: DataFrame, key: str, columns: dict[str, list[str]]) -> DataFrame:
@@ -72,7 +78,7 @@ def with_phrases(df: DataFrame, key: str, columns: dict[str, list[str]]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [Phrases(columns[n]) for n in names]
         for batch in batches:
-            found = [pa.array([a.find(t) for t in batch.column(i).to_pylist()], pa.list_(pa.int32())) for i, a in enumerate(automata, 1)]
+            found = [a.find_all(batch.column(i)) for i, a in enumerate(automata, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found], schema=schema)
 
     return df.select(key, *names).mapInArrow(run, ", ".join([f"`{key}` {kind.simpleString()}", *[f"`{n}` array<int>" for n in names]]))

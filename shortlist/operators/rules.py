@@ -188,28 +188,31 @@ def phrase_table(spark: SparkSession, prefs: dict[str, Preferences]) -> DataFram
 PHRASE_COLUMNS = "profile string, kind string, ord int, phrase string, max_score int, name string"
 
 
-def score_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
-    """(profile, key, score, rule) for every profile of ``phrases`` (``PHRASE_COLUMNS``), as ``score_by_rules`` gives them.
+def match_phrases(postings: DataFrame, phrases: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, title[], text[]): the numbers of the phrases that each posting holds; (in_title, phrase, number)).
 
     Postings are scanned once: an automaton of all different phrases walks through title and
-    text, whatever number of profiles a phrase serves. A posting's matches are summed up by profile before
-    anything is shuffled. ``key`` names each posting.
+    text, whatever number of profiles a phrase serves.
     """
     text = postings.select(key, collapse(F.col("title")).alias("title"), posting_text().alias("text"))
     wanted = phrases.withColumn("in_title", F.col("kind").isin("target", "adjacent", "reject"))
     # a configuration: its different phrases meet on the driver
     different = wanted.select("in_title", "phrase").distinct().collect()
     lists = {"title": sorted(r["phrase"] for r in different if r["in_title"]), "text": sorted(r["phrase"] for r in different if not r["in_title"])}
-    found = with_phrases(text, key, lists)
     number = phrases.sparkSession.createDataFrame([(c == "title", p, i) for c in lists for i, p in enumerate(lists[c])], "in_title boolean, phrase string, number int")
+    return with_phrases(text, key, lists), number
+
+
+def score_matches(found: DataFrame, number: DataFrame, phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(profile, keys, score, rule) of what ``match_phrases`` found; ``keys`` name each of its rows."""
+    wanted = phrases.withColumn("in_title", F.col("kind").isin("target", "adjacent", "reject")).join(number, ["in_title", "phrase"])
     marked = lambda c: F.transform(c, lambda i: F.struct(F.lit(c == "title").alias("in_title"), i.alias("number")))
-    hits = found.select(key, F.explode(F.concat(marked("title"), marked("text"))).alias("hit")).select(key, "hit.*")
-    wanted = wanted.join(number, ["in_title", "phrase"])
+    hits = found.select(*keys, F.explode(F.concat(marked("title"), marked("text"))).alias("hit")).select(*keys, "hit.*")
     table = wanted.select("profile", "kind", "ord", "number", "in_title", F.coalesce("max_score", F.lit(10)).alias("most"), F.coalesce("name", F.lit("configured")).alias("name"))
     hits = hits.join(table, ["in_title", "number"])
     kinds = ["reject", "dealbreaker", "target", "adjacent", "positive", "negative"]
     low_cap = F.when((F.col("kind") == "cap") & (F.col("most") <= 4), F.struct("ord", "most", "name"))
-    counts = hits.groupBy("profile", key).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.min(low_cap).alias("cap"))
+    counts = hits.groupBy("profile", *keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.min(low_cap).alias("cap"))
     signals = phrases.groupBy("profile").agg((F.count_if(F.col("kind") == "positive") == 0).alias("no_signals"))
     n = F.col
     enough = n("no_signals") | (n("positive") >= 2)
@@ -220,7 +223,31 @@ def score_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
         .when((n("target") > 0) & enough, F.struct(F.when((n("positive") >= 3) & (n("negative") == 0), 9).otherwise(8).alias("score"), F.lit("target_role_match").alias("rule")))
         .when((n("adjacent") > 0) & (n("positive") >= 2) & (n("negative") == 0), F.struct(F.lit(7).alias("score"), F.lit("adjacent_role_match").alias("rule")))
     )
-    return counts.join(signals, "profile").withColumn("ruled", ruled).select("profile", key, "ruled.score", "ruled.rule").where("score is not null")
+    return counts.join(signals, "profile").withColumn("ruled", ruled).select("profile", *keys, "ruled.score", "ruled.rule").where("score is not null")
+
+
+def score_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """(profile, key, score, rule) for every profile of ``phrases`` (``PHRASE_COLUMNS``), as ``score_by_rules`` gives them.
+
+    A posting's matches are summed up by profile before anything is shuffled. ``key`` names each posting.
+    """
+    return score_matches(*match_phrases(postings, phrases, key), phrases, [key])
+
+
+def count_many(postings: DataFrame, phrases: DataFrame, key: str) -> DataFrame:
+    """(profile, score, rule, postings): how many different keys have each result of ``score_many``.
+
+    A key may stand on several rows, of different texts too: it counts for each result that one of its
+    rows has; a null key counts for none. A result depends on the matches alone, so keys are counted by
+    their matches, and each combination of these is scored once, however many postings share it.
+    """
+    found, number = match_phrases(postings, phrases, key)
+    by_key = found.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("title", "text"))).alias("all"))
+    alike = by_key.groupBy("all").agg(F.count(key).alias("n"))
+    each = alike.select("all", "n", F.explode("all").alias("one")).select("all", "n", "one.*")
+    scored = score_matches(each, number, phrases, ["all", "n", "title", "text"])
+    # rows of one key with the same result count once
+    return scored.select("all", "n", "profile", "score", "rule").distinct().groupBy("profile", "score", "rule").agg(F.sum("n").alias("postings"))
 
 
 def derive_preferences(profiles: DataFrame, most: int = 12) -> DataFrame:
@@ -238,5 +265,5 @@ def derive_preferences(profiles: DataFrame, most: int = 12) -> DataFrame:
 
 __all__ = [
     "Boost", "Cap", "Preferences", "adjusted", "apply_adjustments", "apply_hard_caps", "apply_location_boosts",
-    "PHRASE_COLUMNS", "contains_phrase", "derive_preferences", "phrase_table", "posting_text", "route", "score_by_rules", "score_many", "with_rule_result",
+    "PHRASE_COLUMNS", "contains_phrase", "count_many", "derive_preferences", "match_phrases", "phrase_table", "posting_text", "route", "score_by_rules", "score_many", "score_matches", "with_rule_result",
 ]

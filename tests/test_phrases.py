@@ -53,3 +53,43 @@ def test_many_profiles_in_one_scan(spark):
     for name in rng.sample(sorted(prefs), 12):
         want = {(name, r.k): (r.r.score, r.r.rule) for r in df.select("k", rules.score_by_rules(prefs[name]).alias("r")).where("r is not null").collect()}
         assert {k: v for k, v in got.items() if k[0] == name} == want
+
+
+def test_null_and_repeated_texts(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, None), (3, "ab c"), (4, ""), (5, "c, AB")], "k int, t string").coalesce(1)
+    got = {r.k: r.t for r in phrases.with_phrases(df, "k", {"t": ["ab", "c", "b"]}).collect()}
+    assert got == {1: [0, 1], 2: [], 3: [0, 1], 4: [], 5: [0, 1]}
+
+
+def test_counts_of_keys_on_several_texts(spark):
+    """A key counts for each result that one of its rows has; no shuffle takes the texts."""
+    rows = [("a", "widget"), ("a", "rod"), ("a", "rod"), ("b", "widget rod"), ("c", "widget"), (None, "widget"), (None, "ring"), ("d", "none")]
+    df = spark.createDataFrame([(k, t, None, "", "role remote", "") for k, t in rows], "k string, title string, company string, location string, description string, full_description string").repartition(3)
+    prefs = {
+        "p": Preferences(target_roles=["widget"], adjacent_roles=["ring"], reject_roles=["rod"], positive_signals=["role", "remote"]),
+        "q": Preferences(adjacent_roles=["ring"], reject_roles=["bolt"], positive_signals=["role", "remote"]),
+    }
+    counted = rules.count_many(df, rules.phrase_table(spark, prefs), "k")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, counted.collect())) == [("p", 2, "reject_role", 2), ("p", 7, "adjacent_role_match", 0), ("p", 8, "target_role_match", 2), ("q", 7, "adjacent_role_match", 0)]
+    assert plan.count("MapInArrow") == 1
+    assert not any("description" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+def test_r11_key_on_several_texts(spark, tmp_path):
+    """Repeated orders give one key several texts; the query counts as its SQL does."""
+    import duckdb
+
+    from shortlist.plans import registry
+
+    for name in ("lineitem", "part", "supplier", "nation", "orders"):
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        if name == "orders":
+            table = table.unionByName(table.withColumn("o_orderpriority", F.when(F.col("o_orderpriority") == "5-LOW", "1-URGENT").otherwise("5-LOW")))
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = registry.QUERIES["r11_score_many"](spark, str(tmp_path)).select("profile", "score", "rule", "postings").collect()
+    duck = duckdb.connect()
+    for name in ("lineitem", "part", "supplier", "nation", "orders"):
+        duck.execute(f"create view {name} as from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = duck.execute(registry.ORACLE["r11_score_many"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
