@@ -120,6 +120,21 @@ def test_suffix_dedup_edges(edges, empty):
     assert suffix_dedup.find_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_query_counts_bytes_not_words(spark, tmp_path):
+    rng = random.Random(12)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    passage = lambda words, n, letters="abcdefgh": " ".join(word(letters, n) for _ in range(words))
+    exact = passage(100, 3)  # 399 bytes
+    shared = [passage(60, 5), passage(60, 7), exact, exact[:-1] + "ab", passage(60, 5, "éüß")]  # 359, 479, 399, 400 and 659 bytes; the third and fourth have 398 in common
+    # capitals and digits stand around the passages and in no passage, so that shared runs are no longer than these
+    texts = [f"{word(top, 300)}{p}{word(low, 300)}" for p in shared for top, low in (("ABCD", "0123"), ("EFGH", "4567"))]
+    frame(spark, list(enumerate(texts))).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == _repeats(texts, 400)
+    assert [got[i].n_removed for i in range(0, len(texts), 2)] == [0, 479, 0, 400, 659]
+    assert all(got[i].n_kept == got[i].n_bytes - got[i].n_removed for i in got)
+
+
 # 3
 
 
