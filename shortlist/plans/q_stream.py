@@ -11,7 +11,7 @@ from shortlist.plans.q_digest import PRINTS
 from shortlist.sources.staging import scratch
 from shortlist.streaming import jobs
 
-POSTING = ["url", "title", "company", "location", "application_url", "fit_score", "discovered_at", "scored_at", "l_orderkey"]
+POSTING = ["url", "title", "company", "location", "application_url", "fit_score", "scored_at"]
 
 
 def _as_files(rows, path, batches=1):
@@ -64,9 +64,10 @@ KEYED = "keyed as (select distinct url || '#' || l_partkey || '#' || l_suppkey a
 def _two_runs(spark, d, name, suppress):
     """Postings of even orders, then those of odd ones, by two streams with checkpoints of their own and one history: what both sent."""
     base = scratch(spark, name)
-    rows = B.postings(spark, d).select(F.concat_ws("#", "url", "l_partkey", "l_suppkey").alias("k"), *POSTING)
+    rows, key = B.postings(spark, d), F.concat_ws("#", "url", "l_partkey", "l_suppkey").alias("k")
     for run in (0, 1):
-        chosen = rows.where(F.col("l_orderkey") % 2 == run).dropDuplicates(["k"])  # a key holds its order, so runs share none
+        # a key holds its order, so runs share none; of rows of one key, which share their fingerprints, a run sends one
+        chosen = rows.where(F.col("l_orderkey") % 2 == run).select(key, *POSTING)
         suppress(jobs.source(spark, *_as_files(chosen, f"{base}/in{run}")), f"{base}/history", f"{base}/out", f"{base}/cp{run}", "k").awaitTermination()
     return spark.read.parquet(f"{base}/out")
 

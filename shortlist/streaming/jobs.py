@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import numpy as np
@@ -168,6 +168,24 @@ def suppress_reposts(rows: DataFrame, history_path: str, out_path: str, checkpoi
 DIGEST = 16  # bytes of a fingerprint that the state keeps
 
 
+def _first(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the rows of each fingerprint the one with the least key, and of those of one key the one with the least hash."""
+    return rows.sort_values([c for c in ("key", "hash") if c in rows]).drop_duplicates("fp")
+
+
+def first_asked(frames: Iterator[pd.DataFrame], most: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The rows of a task without those that another one of it beats to its fingerprint, looked for among about ``most`` rows at a time."""
+    kept, size = [], 0
+    for frame in frames:
+        kept.append(_first(frame))
+        size += len(kept[-1])
+        if size >= most:
+            yield _first(pd.concat(kept))
+            kept, size = [], 0
+    if kept:
+        yield _first(pd.concat(kept))
+
+
 class FirstMet(StatefulProcessor):
     """Of the rows (fp, key, ..) of each fingerprint of a bucket that was not met before, the one with the least key; and the fingerprint is met.
 
@@ -205,7 +223,7 @@ class FirstMet(StatefulProcessor):
         known = self._known(now)
         every = pd.concat(frames)
         prints = np.frombuffer(b"".join(x[:DIGEST] for x in every["fp"]), f"S{DIGEST}")
-        first = every[~np.isin(prints, known[0])].sort_values("key").drop_duplicates("fp")
+        first = _first(every[~np.isin(prints, known[0])])
         if len(first):
             self._add(known, np.frombuffer(b"".join(x[:DIGEST] for x in first["fp"]), f"S{DIGEST}"), now)
             yield first.drop(columns=["bucket", "fp"])
@@ -226,28 +244,32 @@ def suppress_with_state(rows: DataFrame, history_path: str, out_path: str, check
     still adds to that log, so a later run with another checkpoint knows them too. ``keep`` bounds the state:
     a fingerprint is forgotten so long after it was met. A fingerprint counts as met once a
     posting with it arrives, sent or not; ``suppress_reposts`` counts those of sent postings alone.
-    Of postings of one batch that share a fingerprint the one with the least key may go out.
+    Of postings of one batch that share a fingerprint the one with the least key may go out; tasks leave out what
+    loses among their own rows, so a row moves once, with its role, and only if it may be the first with it.
     The store has a value for each of ``buckets`` of fingerprints: a batch reads and writes a bucket that
     it meets as a whole, and one checkpoint stays with one number of buckets.
     """
     spark = rows.sparkSession
     prints = F.array_distinct(F.array("primary_fp", "role_fp"))
     bucket = lambda fp: F.pmod(F.xxhash64(fp), F.lit(buckets)).cast("int").alias("bucket")
-    made = with_fingerprints(rows).select(F.col(key).cast("string").alias("key"), F.size(prints).cast("int").alias("prints"), F.to_json(F.struct(*rows.columns)).alias("row"), prints.alias("both"))
-    # the posting travels with one of its fingerprints; its hash tells rows of one key apart
-    each = made.select("key", "prints", F.xxhash64("row").alias("hash"), "row", F.posexplode("both").alias("place", "print"))
-    asked = each.select("key", "prints", "hash", F.when(F.col("place") == 0, F.col("row")).alias("row"), F.unhex("print").alias("fp"), bucket("print"))
+    row = T.StructType([f for f in rows.schema if f.name != key])
+    made = with_fingerprints(rows).select(F.col(key).cast("string").alias("key"), F.size(prints).cast("int").alias("prints"), F.to_json(F.struct(*row.names)).alias("row"), prints.alias("both"))
+    # the posting travels with its role, which fewer postings are the first to have; its hash tells rows of one key apart
+    each = made.select("key", "prints", F.hash("row").alias("hash"), "row", F.posexplode("both").alias("place", "print"))
+    asked = each.select("key", "prints", "hash", F.when(F.col("place") == F.col("prints") - 1, F.col("row")).alias("row"), F.unhex(F.substring("print", 1, 2 * DIGEST)).alias("fp"), bucket("print"))
+    asked = asked.mapInPandas(first_asked, asked.schema)
     fp = F.col("fingerprint")
     known = _log(spark, history_path).select("fingerprint").distinct().groupBy(bucket(fp)).agg(F.unhex(F.array_join(F.collect_list(F.substring(fp, 1, 2 * DIGEST)), "")).alias("prints"))
     millis = None if keep is None else int(keep.total_seconds() * 1000)
     met = asked.groupBy("bucket").transformWithStateInPandas(
-        FirstMet(millis), "key string, prints int, hash long, row string", "append", "none" if keep is None else "processingTime", initialState=known.groupBy("bucket")
+        FirstMet(millis), "key string, prints int, hash int, row string", "append", "none" if keep is None else "processingTime", initialState=known.groupBy("bucket")
     )
     schema = rows.schema
+    own = F.col("key").cast(schema[key].dataType).alias(key)
 
     def step(batch: DataFrame, name: str) -> None:
         fresh = batch.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("first"), F.max("prints").alias("prints"), F.max("row").alias("row")).where("first = prints")
-        back = fresh.select(F.from_json("row", schema).alias("row")).select("row.*")
+        back = fresh.select(own, F.from_json("row", row).alias("row")).select(key, "row.*").select(*schema.names)
         _send(with_fingerprints(back), key, history_path, out_path, name)
 
     needed = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}

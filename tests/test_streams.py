@@ -1,6 +1,7 @@
 """Streams over restarts, replays and new checkpoints."""
 
 import datetime
+import functools
 import os
 import shutil
 from pathlib import Path
@@ -178,3 +179,20 @@ def test_stream_inputs_are_written_by_all_tasks(spark, tmp_path, batches):
     met = []
     jobs.each_batch(jobs.source(spark, path, schema, files), f"{tmp_path}/cp", lambda batch, name: met.append((batch.columns, batch.agg(F.count_distinct("id")).first()[0]))).awaitTermination()
     assert len(met) == batches and sum(n for _, n in met) == 8000 and all(c == ["id"] for c, _ in met)
+
+
+@pytest.mark.parametrize("run", [jobs.suppress_reposts, functools.partial(jobs.suppress_with_state, buckets=3)])
+def test_rows_of_one_key_send_one(spark, tmp_path, run):
+    at = lambda n: datetime.datetime(2024, 2, 1) + datetime.timedelta(hours=n)
+    rows = [(*posting(k, f"role {k}")[:7], at((7 * k + 5 * n) % 40)) for n in range(40) for k in range(20)]
+    run(files(spark, f"{tmp_path}/in", [rows], POSTING), f"{tmp_path}/history", f"{tmp_path}/out", f"{tmp_path}/cp", "url").awaitTermination()
+    sent = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.url for r in sent) == sorted(posting(k)[0] for k in range(20)) and all(r.title for r in sent)
+
+
+def test_what_loses_in_a_task_does_not_move(spark):
+    frame = lambda n: pd.DataFrame({"key": [f"{k:03}" for k in range(n, n + 100)] * 2, "hash": 0, "fp": [b"r%d" % (k % 3) for k in range(100)] + [b"p%d" % (n + k) for k in range(100)]})
+    (first,) = jobs.first_asked(iter([frame(300), frame(0), frame(600)]))
+    assert len(first) == 303 and sorted(k for k, fp in zip(first["key"], first["fp"]) if fp[:1] == b"r") == ["000", "001", "002"]
+    parts = list(jobs.first_asked(iter([frame(0), frame(300), frame(600)]), most=150))
+    assert [len(x) for x in parts] == [203, 103]
